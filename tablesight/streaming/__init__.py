@@ -1,0 +1 @@
+"""Left empty on purpose: evidence is immutable per run, so there is no streaming surface to offer."""
