@@ -97,6 +97,33 @@ join {nation} on c_nationkey = n_nationkey
 join {region} on n_regionkey = r_regionkey
 """
 
+INPUTS["fleet_a2"] = """
+select run_id, ordinal, column_name, seed, pick, qty, seed % 20 as unique_count, cast(pick % 101 as double) as missing_pct,
+  pick % 101 >= 40 as high_missingness, seed % 11 = 0 as is_one_hot_like,
+  case when seed % 7 = 0 then seed % 5 + 1 end as token_count
+from {fleet_columns}
+"""
+
+INPUTS["fleet_buckets"] = """
+select run_id, 'review_columns' as bucket, column_name as name, ordinal as rank from {fleet_columns} where seed % 6 = 0
+union all select run_id, 'structural_columns', column_name, ordinal from {fleet_columns} where pick % 9 = 0
+union all select run_id, 'reviewer_focus_columns', column_name, qty from {fleet_columns} where qty % 4 = 0
+"""
+
+INPUTS["fleet_roles"] = """
+select run_id, column_name, seed, pick,
+  case pick % 6 when 0 then 'id_key' when 1 then 'time_index' when 2 then 'invariant_attr' when 3 then 'coded_categorical'
+       when 4 then 'measure' else 'measure_item' end as primary_role,
+  seed % 3 = 0 as review_required
+from {fleet_columns}
+"""
+
+INPUTS["fleet_tests"] = """
+select run_id, column_name || ',id' as keys_tested, seed % 4 = 0 as pivot_safety, cast(qty % 7 as double) / 7 as collision_severity_score,
+  cast(pick % 5 as double) as non_key_conflict_group_pct, cast(seed % 9 as double) / 9 as uniqueness_rate, column_name
+from {fleet_columns}
+"""
+
 
 def depends_on(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", sql)))
