@@ -124,6 +124,83 @@ select run_id, column_name || ',id' as keys_tested, seed % 4 = 0 as pivot_safety
 from {fleet_columns}
 """
 
+INPUTS["fleet_members"] = """
+select run_id, column_name, case when column_name like 'Q6Main%' then 'q_6_main_cell_group' when column_name like 'A1%' then 'a_1'
+  when column_name like 'Score%' then 'score' else 'q' end as family_id
+from {fleet_columns} where column_name like 'Q%' or column_name like 'A1%' or column_name like 'Score%'
+"""
+
+INPUTS["fleet_type"] = """
+select run_id, column_name,
+  case seed % 5 when 0 then 'identifier' when 1 then 'ordinal_category' when 2 then 'numeric_measure' when 3 then 'free_text' else 'boolean_flag' end as recommended_logical_type,
+  case when seed % 5 = 2 then 'integer' when seed % 5 = 4 and pick % 3 > 0 then 'boolean' else 'string' end as recommended_storage_type,
+  'trim_whitespace' as transform_actions,
+  case when seed % 4 = 0 then 'requires_child_table_review,split_multiselect_tokens' else 'requires_unit_normalization_review' end as structural_transform_hints,
+  case when pick % 4 = 0 then 'skip_logic_protected' else 'code_not_quantity' end as interpretation_hints,
+  'Reviewed.' as normalization_notes, cast(seed % 100 as double) / 100 as confidence, pick % 5 = 0 as needs_human_review
+from {fleet_columns} where seed % 3 = 0
+union all
+select distinct run_id, 'GhostCol', 'mixed_or_ambiguous', 'string', '', '', 'mixed_content_high_risk', '', cast(0.7 as double), true
+from {fleet_columns} where run_id % 10 = 0
+"""
+
+INPUTS["fleet_missing"] = """
+select run_id, column_name,
+  case pick % 6 when 0 then 'no_material_missingness' when 1 then 'token_missingness_present' when 2 then 'structurally_valid_missingness'
+    when 3 then 'partially_structural_missingness' when 4 then 'unexplained_high_missingness' else 'mixed_missingness_risk' end as missingness_disposition,
+  case seed % 4 when 0 then 'confirmed_structural' when 1 then 'plausible_structural' when 2 then 'not_structurally_explained' else 'not_applicable' end as structural_validity,
+  case qty % 5 when 0 then 'no_action_needed' when 1 then 'protect_from_null_penalty' when 2 then 'retain_with_caution'
+    when 3 then 'review_before_drop' else 'candidate_drop_review' end as recommended_handling,
+  pick % 2 = 0 as skip_logic_protected, pick % 7 = 0 as needs_human_review
+from {fleet_columns} where pick % 4 < 2
+"""
+
+INPUTS["fleet_layout"] = """
+select c.run_id, c.column_name,
+  case when c.column_name like 'Unnamed%' then '' when m.family_id is not null then m.family_id || '_rows' else 'base_rows' end as assigned_table,
+  case when c.column_name like 'Unnamed%' then 'exclude_from_outputs' when m.family_id is not null then 'melt_member'
+       when c.column_name = 'RespondentId' then 'base_key' else 'base_attribute' end as assignment_role,
+  coalesce(m.family_id, '') as source_family_id
+from {fleet_columns} c left join {fleet_members} m on c.run_id = m.run_id and c.column_name = m.column_name
+where c.seed % 13 <> 0
+"""
+
+INPUTS["fleet_defaults"] = """
+select run_id, family_id, 'ordinal_category' as recommended_logical_type, 'string' as recommended_storage_type,
+  case when run_id % 3 = 0 then 'token_missingness_present' else 'structurally_valid_missingness' end as missingness_disposition,
+  case when run_id % 3 = 0 then 'retain_with_caution' else 'protect_from_null_penalty' end as missingness_handling,
+  run_id % 3 <> 0 as skip_logic_protected
+from (select distinct run_id, family_id from {fleet_members} where family_id in ('q_6_main_cell_group', 'a_1') and run_id % 2 = 0) f
+"""
+
+INPUTS["fleet_a17"] = """
+select run_id, column_name,
+  case seed % 3 when 0 then 'numeric_measure' when 1 then 'nominal_category' else 'free_text' end as recommended_logical_type,
+  case when seed % 3 = 0 then 'integer' else 'string' end as recommended_storage_type,
+  case when pick % 5 = 0 then 'token_missingness_present' when pick % 5 = 1 then 'structurally_valid_missingness' else 'no_material_missingness' end as missingness_disposition,
+  case when pick % 5 = 0 then 'retain_with_caution' when pick % 5 = 1 then 'protect_from_null_penalty' else 'no_action_needed' end as missingness_handling,
+  pick % 5 = 1 as skip_logic_protected
+from {fleet_columns}
+"""
+
+INPUTS["fleet_decisions"] = """
+select run_id, ordinal, column_name,
+  case seed % 7 when 0 then 'no_material_missingness' when 1 then 'token_missingness_present' when 2 then 'structurally_valid_missingness'
+    when 3 then 'partially_structural_missingness' when 4 then 'unexplained_high_missingness' when 5 then 'mixed_missingness_risk' end as missingness_disposition,
+  case qty % 5 when 0 then 'no_action_needed' when 1 then 'protect_from_null_penalty' when 2 then 'retain_with_caution'
+    when 3 then 'review_before_drop' else 'candidate_drop_review' end as missingness_handling,
+  case pick % 3 when 0 then 'family_default' when 1 then 'reviewed_missingness_worker' else 'a17_baseline' end as missingness_decision_source,
+  case pick % 4 when 0 then true when 1 then false when 2 then true end as skip_logic_protected,
+  case when seed % 2 = 0 then 'child_repeat_member' else 'base_field' end as canonical_modeling_status,
+  case when pick % 5 = 0 then 'requires_child_table_review,split_multiselect_tokens,requires_wide_to_long_review' else 'split_multiselect_tokens' end as structural_transform_hints,
+  case when run_id % 3 = 0 then false when run_id % 3 = 1 then true end as token_flag,
+  pick % 9 <> 0 as has_base,
+  case when qty % 2 = 0 then 'token_missingness_present' else 'no_material_missingness' end as base_disposition,
+  case when qty % 2 = 0 then 'retain_with_caution' else 'no_action_needed' end as base_handling,
+  case when qty % 3 = 0 then 'family_default' else 'a17_baseline' end as base_source
+from {fleet_columns}
+"""
+
 
 def depends_on(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", sql)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablesight.catalog import profiles as p
 from tablesight.catalog.registry import query
 from tablesight.operators import families, keys, profile, structure
+from tablesight.plans.shared import cut
 
 GRAINS = [["l_orderkey"], ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
           ["l_partkey", "l_suppkey"]]
@@ -457,11 +458,11 @@ from fin
 @query("a17_baseline", _A17, ("dirty_customer",))
 def a17_baseline(tb):
     df = tb.input("dirty_customer")
-    hist = profile.cell_histogram(df, "customer", p.DIRTY)
-    shares = profile.parse_shares(hist)
+    hist = cut(profile.cell_histogram(df, "customer", p.DIRTY))
+    shares = cut(profile.parse_shares(hist))
     rules = structure.skip_logic(df, "customer", ["nation_code"], ["email", "segment"])
     out = structure.baseline_resolution(
-        profile.a2_rows(hist), structure.roles(shares, _members_of(tb)), profile.missingness_catalog(hist),
+        profile.a2_rows(hist, shares), structure.roles(shares, _members_of(tb)), profile.missingness_catalog(hist),
         profile.semantic_anchors(shares), profile.quality(hist),
         profile.quality(hist).select("run_id", "column", F.lit(False).alias("drift_detected")),
         rules, profile.transform_queue(shares), profile.type_queue(shares))

@@ -368,9 +368,9 @@ def glimpses(df: DataFrame, run_id: str | Column, key: str, columns: list[str],
     return parts
 
 
-def a2_rows(hist: DataFrame) -> DataFrame:
+def a2_rows(hist: DataFrame, shares: DataFrame | None = None) -> DataFrame:
     """The per-column evidence row with its nested parts."""
-    shares = parse_shares(hist)
+    shares = parse_shares(hist) if shares is None else shares
     kinds = candidate_types(shares)
     pieces = [
         kinds.select(*KEY, F.struct(F.col("candidate_type").alias("type"), "confidence").alias("top_candidate"),
