@@ -201,6 +201,47 @@ select run_id, ordinal, column_name,
 from {fleet_columns}
 """
 
+INPUTS["bad_types"] = """
+select run_id, ordinal as position, case when seed % 31 = 0 then ' ' else column_name end as column_name,
+  case when seed % 17 = 0 then 'weird' else case seed % 5 when 0 then 'identifier' when 1 then 'categorical_code' when 2 then 'numeric_measure' when 3 then 'date' else 'boolean_flag' end end as recommended_logical_type,
+  case when pick % 13 = 0 then null else case pick % 4 when 0 then 'string' when 1 then 'integer' when 2 then 'date' else 'boolean' end end as recommended_storage_type,
+  case when seed % 7 = 0 then 'trim_whitespace,explode_rows' else 'trim_whitespace' end as transform_actions,
+  case when seed % 19 = 0 then '' else 'note' end as normalization_notes, case when pick % 23 = 0 then 1.5e0 else 0.5e0 end as confidence
+from {fleet_columns}
+"""
+
+INPUTS["bad_layout"] = """
+select run_id, ordinal as position, column_name, seed, pick,
+  case when column_name like 'Q%' then 'child_repeat' when seed % 29 = 0 then 'cube' else 'base_entity' end as kind,
+  case when column_name like 'Q%' and seed % 3 > 0 then 'accepted_family' else 'primary_grain' end as basis,
+  case when column_name like 'Q%' then 'wide_to_long_family' else 'direct_select' end as strategy,
+  case when seed % 5 = 0 then '' else 'row' end as repeat_index_name,
+  case when pick % 3 = 0 then 'id' else 'id,row' end as grain_columns,
+  case when pick % 4 = 0 then '' else 'fam' end as source_family_id, seed % 6 as included_column_count,
+  case when pick % 5 = 0 then '' else column_name end as preview
+from {fleet_columns}
+"""
+
+INPUTS["bad_assign"] = """
+select run_id, ordinal as position, column_name,
+  case seed % 5 when 0 then 'exclude_from_outputs' when 1 then 'melt_member' when 2 then 'base_attribute' when 3 then 'unresolved' else 'pivot_me' end as assignment_role,
+  case when pick % 3 = 0 then '' when pick % 3 = 1 then 'base_rows' else 'nowhere_' || cast(pick % 7 as string) end as assigned_table,
+  case when qty % 2 = 0 then 'fam' else '' end as source_family_id
+from {fleet_columns}
+"""
+
+INPUTS["bad_plan"] = """
+select run_id, ordinal as position, column_name,
+  case pick % 5 when 0 then 'merge_sibling_families_with_wave' when 1 then 'pass_through' when 2 then 'aggregate_scores' when 3 then 'assemble_analysis_mart' else 'mystery' end as strategy,
+  case when seed % 4 = 0 then '' when seed % 4 = 1 then 'term' else 'wave' end as wave_column,
+  case when qty % 3 = 0 then '' when qty % 3 = 1 then 'id,wave' else 'id' end as grain_columns,
+  case when qty % 2 = 0 then 'a,b' else 'a' end as sources,
+  case seed % 3 when 0 then 'family_merge' when 1 then 'score_aggregation' else 'guess' end as derivation_kind,
+  case pick % 4 when 0 then 'treat_as_incorrect' when 1 then 'exclude_from_score' when 2 then 'zero_fill' end as policy,
+  cast(qty % 12 as double) / 10 as confidence
+from {fleet_columns}
+"""
+
 
 def depends_on(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", sql)))

@@ -112,12 +112,24 @@ def json_number(raw: Column) -> Column:
     return F.when(numeric, F.try_variant_get(value, "$", "double"))
 
 
+def is_json(raw: Column) -> Column:
+    """True when the whole text is one JSON value.
+
+    The parser stops after the first value and would accept trailing text, so the text is parsed as
+    the first item of an array whose last item is known.
+    """
+    mark = "end of document"
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), raw, F.lit(f',"{mark}"]'))), "$", "array<variant>")
+    last = F.try_variant_get(F.get(items, F.lit(1)), "$", "string")
+    return F.coalesce((F.size(items) == 2) & (last == mark), F.lit(False))
+
+
 def json_error(raw: Column, field: str) -> Column:
     """Why a JSON object text cannot be used, or null when it can."""
     return (
         F.when(raw.isNull(), F.lit(f"{field} must be a string."))
         .when(trimmed(raw) == "", F.lit(f"{field} is empty."))
-        .when(F.try_parse_json(raw).isNull(), F.lit(f"{field} is not valid JSON"))
+        .when(~is_json(raw), F.lit(f"{field} is not valid JSON"))
         .when(~F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT"),
               F.lit(f"{field} root must be an object."))
     )
