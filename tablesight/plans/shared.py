@@ -3,8 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tablesight-checkpoint-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,9 +22,10 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the shared one the cluster names in ``spark.checkpoint.dir``, so the rows survive
     the loss of any executor. Only where nothing is set, as in a local test, a scratch folder is used.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tablesight-checkpoint-"))
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the session's checkpoints, which every executor can reach."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
