@@ -11,6 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablesight.plans.shared import cut
+
 _CENTS = "cast(round(abs(c_acctbal) * 100) as bigint)"
 _UNITS = f"cast(floor({_CENTS} / 100) as bigint)"
 
@@ -252,6 +254,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._kept: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(str(Path(self.folder) / f"{name}.parquet"))
@@ -261,7 +264,12 @@ class Tables:
         return self.spark.sql(text.replace('"', "`"), **tables)
 
     def input(self, name: str) -> DataFrame:
-        return self.sql(INPUTS[name])
+        """A messy input; the one that many others start from is computed once per query."""
+        if name != "fleet_columns":
+            return self.sql(INPUTS[name])
+        if name not in self._kept:
+            self._kept[name] = cut(self.sql(INPUTS[name]))
+        return self._kept[name]
 
 
 def with_inputs(body: str, *names: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesight.functions import cells
+from tablesight.plans.shared import left_join_lookup
 
 DECIMAL = "decimal(38,9)"
 
@@ -88,8 +89,7 @@ def clean(df: DataFrame, plan: dict[str, Sequence[str]]) -> DataFrame:
 def map_aliases(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
     """Replace normalised category texts by their canonical spelling where an alias is known.
 
-    ``aliases`` has alias and canonical. The join is left to Spark to place: it is broadcast only
-    while its size is under the session's threshold.
+    ``aliases`` has alias and canonical.
     """
     keyed = df.withColumn("alias", normalize_category_tokens(F.col(column)))
-    return keyed.join(aliases, "alias", "left").withColumn(column, F.coalesce("canonical", F.col(column))).drop("alias", "canonical")
+    return left_join_lookup(keyed, aliases, ["alias"]).withColumn(column, F.coalesce("canonical", F.col(column))).drop("alias", "canonical")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesight.functions.transforms import clean
+from tablesight.plans.shared import left_join_lookup
 
 # ---------------------------------------------------------------- canonical tables
 
@@ -76,9 +77,10 @@ def score_answers(responses: DataFrame, key: DataFrame, join_keys: Sequence[str]
     """Mark each response against the key.
 
     ``is_correct`` is 1 or 0, null where the policy gives no score; ``counted`` says whether the
-    response enters the denominator.
+    response enters the denominator. There are as few join keys as items, so the key table is looked
+    up rather than shuffled to.
     """
-    out = responses.join(key.select(*join_keys, answer), list(join_keys), "left")
+    out = left_join_lookup(responses, key.select(*join_keys, answer), join_keys)
     given, right = F.col(value).isNotNull(), F.col(value) == F.col(answer)
     mark = F.when(right, 1).otherwise(0)
     rules: dict[str, tuple[Column, Column]] = {

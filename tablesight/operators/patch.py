@@ -92,15 +92,18 @@ def apply(contract: DataFrame, patches: DataFrame) -> DataFrame:
 def unique_ids(rows: DataFrame) -> DataFrame:
     """Give repeated change ids the first free ``id_1``, ``id_2``... of their run, in order.
 
-    Ids can only clash when they share a root (the id without trailing ``_n`` parts). Roots used
-    once pass through; only clashing roots are folded, one small array each.
+    Ids can only clash when they share a root (the id without trailing ``_n`` parts). Where a root
+    has one spelling, the suffix is a running number. Only roots with several spellings (``a`` beside
+    ``a_1``) need the order-dependent rule, and only those are folded, one array per run and root.
     """
-    rooted = rows.withColumn("root", F.regexp_replace("change_id", r"(_[0-9]+)+$", ""))
     group = ["run_id", "root"]
-    counted = rooted.groupBy(*group).agg(F.count(F.lit(1)).alias("uses"))
-    marked = rooted.join(counted, group)
-    single = marked.filter("uses = 1").withColumn("unique_id", F.col("change_id"))
-    clash = marked.filter("uses > 1")
+    rooted = rows.withColumn("root", F.regexp_replace("change_id", r"(_[0-9]+)+$", ""))
+    mixed = rooted.groupBy(*group).agg((F.min("change_id") != F.max("change_id")).alias("mixed"))
+    marked = rooted.join(mixed, group)
+    place = F.row_number().over(Window.partitionBy("run_id", "change_id").orderBy("position")) - 1
+    plain = marked.filter(~F.col("mixed")).withColumn("place", place).withColumn(
+        "unique_id", F.when(F.col("place") == 0, F.col("change_id")).otherwise(F.concat_ws("_", "change_id", F.col("place").cast("string"))))
+    clash = marked.filter("mixed")
     ids = clash.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("position", "change_id"))).alias("items"))
     free = lambda seen, base: F.when(~F.array_contains(seen, base), base).otherwise(F.element_at(F.filter(
         F.transform(F.sequence(F.lit(1), F.size(seen) + 1), lambda i: F.concat(base, F.lit("_"), i.cast("string"))),
@@ -109,7 +112,7 @@ def unique_ids(rows: DataFrame) -> DataFrame:
     named = ids.select(*group, F.explode(F.arrays_zip("items", seen.alias("names"))).alias("z")).select(
         *group, F.col("z.items.position").alias("position"), F.col("z.names").alias("unique_id"))
     resolved = clash.join(named, [*group, "position"])
-    return single.unionByName(resolved).drop("root", "uses")
+    return plain.drop("place").unionByName(resolved).drop("root", "mixed")
 
 
 def change_log(patches: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tablesight import vocab
 from tablesight.functions import cells
+from tablesight.plans.shared import left_join_lookup
 
 KEY = ["run_id", "column"]
 
@@ -327,15 +328,16 @@ def quality(hist: DataFrame) -> DataFrame:
 def drift(df: DataFrame, run_id: str | Column, order_by: str, columns: list[str]) -> DataFrame:
     """Total-variation distance between the value shares of the early and the late half.
 
-    The halves split the range of ``order_by`` at its midpoint, so no global sort is needed; the
-    boundary is a one-row aggregate per run that joins back on run_id.
+    The halves split the range of ``order_by`` at its midpoint, so no global sort is needed. For one
+    dataset the boundary is a single row and is broadcast; for a fleet it is looked up by run.
     """
     run = _run(run_id)
     at = F.unix_micros(F.col(order_by).cast("timestamp")) if dict(df.dtypes)[order_by].startswith(
         ("timestamp", "date")) else F.col(order_by).cast("double")
     keyed = df.select(run.alias("run_id"), at.alias("at"), *[F.col(c).cast("string") for c in columns])
     bounds = keyed.groupBy("run_id").agg(((F.min("at") + F.max("at")) / 2).alias("middle"))
-    split = keyed.join(bounds, "run_id").withColumn("late", F.col("at") > F.col("middle")).drop("at", "middle")
+    bounded = keyed.join(F.broadcast(bounds), "run_id") if isinstance(run_id, str) else left_join_lookup(keyed, bounds, ["run_id"])
+    split = bounded.withColumn("late", F.col("at") > F.col("middle")).drop("at", "middle")
     long = split.unpivot(["run_id", "late"], columns, "column", "value")
     hist = long.groupBy(*KEY, "value").agg(
         F.count_if(~F.col("late")).alias("early_n"), F.count_if(F.col("late")).alias("late_n")
@@ -345,7 +347,7 @@ def drift(df: DataFrame, run_id: str | Column, order_by: str, columns: list[str]
     totals = hist.groupBy(*KEY).agg(F.sum("early_n").alias("early_total"), F.sum("late_n").alias("late_total"))
     gap = F.abs(F.try_divide("early_n", "early_total") - F.try_divide("late_n", "late_total"))
     return (
-        hist.join(totals, KEY)
+        left_join_lookup(hist, totals, KEY)
         .groupBy(*KEY)
         .agg(F.round(F.coalesce(F.sum(gap), F.lit(0.0)) / 2, 6).alias("drift_distance"))
         .withColumn("drift_detected", F.col("drift_distance") > vocab.DRIFT_DISTANCE)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesight import vocab
 from tablesight.functions import cells
 from tablesight.operators.keys import _grouped
+from tablesight.plans.shared import cut
 
 KEY = ["run_id", "column"]
 
@@ -49,23 +50,24 @@ def roles(shares: DataFrame, members: DataFrame) -> DataFrame:
 def skip_logic(df: DataFrame, run_id: str, triggers: Sequence[str], targets: Sequence[str]) -> DataFrame:
     """Trigger levels that decide whether another column is filled.
 
-    One scan: each trigger is a grouping set, so what is shuffled is levels and not rows. Both
-    ``trigger = v`` and ``trigger <> v`` are tried as the reason for a gap.
+    One scan: each trigger is a grouping set, so what is shuffled is levels and not rows. The level
+    counts are read twice (for themselves and for their totals), so they are cut off from the scan
+    first. Both ``trigger = v`` and ``trigger <> v`` are tried as the reason for a gap.
     """
     base = df.select(*[F.col(f"`{t}`").cast("string").alias(t) for t in triggers],
                      *[cells.is_missing(F.col(f"`{c}`").cast("string")).alias(f"gap_{i}") for i, c in enumerate(targets)])
     levels = _grouped(base, [[t] for t in triggers], [
         F.count(F.lit(1)).alias("n"), *[F.count_if(f"gap_{i}").alias(f"m_{i}") for i in range(len(targets))]])
-    rows = levels.select(
+    rows = cut(levels).select(
         F.col("keys_tested").alias("trigger_column"), F.coalesce(*triggers).alias("level"), "n",
         F.inline(F.array(*[F.struct(F.lit(c).alias("target"), F.col(f"m_{i}").alias("m"))
                            for i, c in enumerate(targets)])),
     ).filter(F.col("trigger_column") != F.col("target"))
-    pair = Window.partitionBy("trigger_column", "target")
-    per = rows.select(
-        "*", F.sum("n").over(pair).alias("all_n"), F.sum("m").over(pair).alias("all_m"),
-        F.count("level").over(pair).alias("n_levels"),
-    ).filter((F.col("n_levels") <= vocab.CODED_LEVELS) & F.col("level").isNotNull() & (F.col("all_m") > 0))
+    totals = rows.groupBy("trigger_column", "target").agg(
+        F.sum("n").alias("all_n"), F.sum("m").alias("all_m"), F.count("level").alias("n_levels"),
+    ).filter((F.col("n_levels") <= vocab.CODED_LEVELS) & (F.col("all_m") > 0)).drop("n_levels")
+    # one row per trigger and target, so the broadcast is as small as the two column lists
+    per = rows.filter(F.col("level").isNotNull()).join(F.broadcast(totals), ["trigger_column", "target"])
     both = per.select("*", F.inline(F.array(
         F.struct(F.lit("=").alias("op"), F.col("n").alias("cn"), F.col("m").alias("cm")),
         F.struct(F.lit("<>").alias("op"), (F.col("all_n") - F.col("n")).alias("cn"), (F.col("all_m") - F.col("m")).alias("cm")),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
@@ -29,3 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder beside the session's checkpoints, which every executor can reach."""
     return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def left_join_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], max_rows: int = 100_000, salts: int = 64) -> DataFrame:
+    """Left join where few distinct keys may each cover most of ``rows``.
+
+    The lookup is counted first, reading no more than ``max_rows`` + 1 of its rows. Within the bound
+    it is broadcast and ``rows`` stay where they are. Beyond it the lookup is repeated per salt and
+    each row draws one salt, so a hot key is spread over that many tasks.
+    """
+    lookup = cut(lookup)
+    if lookup.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(lookup), list(keys), "left")
+    spread = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int"))
+    return salted.join(spread, [*keys, "salt"], "left").drop("salt")

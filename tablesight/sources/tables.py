@@ -34,9 +34,12 @@ def manifest(df: DataFrame, run_id: str | Column, source: str, schema_of: Sequen
 
 
 def write_artifacts(artifacts: dict[str, DataFrame], folder: str) -> None:
-    """One Parquet table per artifact id, partitioned by run. An existing artifact is never replaced."""
+    """One Parquet table per artifact id, partitioned by run. An existing artifact is never replaced.
+
+    ``rebalance`` gathers each run's rows but lets Spark split a run that holds most of them.
+    """
     for artifact, df in artifacts.items():
-        df.repartition("run_id").write.mode("errorifexists").partitionBy("run_id").parquet(f"{folder}/{artifact}")
+        df.hint("rebalance", "run_id").write.mode("errorifexists").partitionBy("run_id").parquet(f"{folder}/{artifact}")
 
 
 def append_run(df: DataFrame, folder: str, artifact: str) -> None:
@@ -46,7 +49,7 @@ def append_run(df: DataFrame, folder: str, artifact: str) -> None:
     clash = df.select(F.col("run_id").cast("string")).distinct().join(there, "run_id", "left_semi").limit(1).count()
     if clash:
         raise ValueError(f"{artifact} already holds one of these runs; artifacts are immutable")
-    df.repartition("run_id").write.mode("append").partitionBy("run_id").parquet(path)
+    df.hint("rebalance", "run_id").write.mode("append").partitionBy("run_id").parquet(path)
 
 
 def read_artifact(spark: SparkSession, folder: str, artifact: str) -> DataFrame:
