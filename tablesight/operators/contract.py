@@ -160,10 +160,14 @@ def synthesize(a2: DataFrame, a17: DataFrame, *, layout: DataFrame, tables: Data
         family = family.join(_packed(part, family, fam_keys, name), fam_keys, "left")
     family = family.join(by_family, fam_keys, "left")
 
+    # The row universe is a narrow union, so every wide input below is a left join on one key and the
+    # growing side is never moved again.
     rows = a2.select(*KEY, "ordinal", F.lit(True).alias("in_a2"))
-    rows = rows.join(_packed(type_decisions, rows, KEY, "typed"), KEY, "full")
-    rows = rows.join(_packed(missingness_decisions, rows, KEY, "missed"), KEY, "full")
-    for part in (_packed(a17, rows, KEY, "a17"), _packed(lay, rows, KEY, "lay"), _packed(codebook, rows, KEY, "code"),
+    for reviewed in (type_decisions, missingness_decisions):
+        rows = rows.unionByName(reviewed.select(*KEY), allowMissingColumns=True)
+    rows = rows.groupBy(*KEY).agg(F.max("ordinal").alias("ordinal"), F.bool_or("in_a2").alias("in_a2"))
+    for part in (_packed(type_decisions, rows, KEY, "typed"), _packed(missingness_decisions, rows, KEY, "missed"),
+                 _packed(a17, rows, KEY, "a17"), _packed(lay, rows, KEY, "lay"), _packed(codebook, rows, KEY, "code"),
                  _packed(variables, rows, KEY, "var"),
                  grain_keys.select(*KEY, F.lit(True).alias("is_grain_key")).distinct(), by_column, family):
         rows = rows.join(part, KEY, "left")

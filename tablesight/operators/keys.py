@@ -123,42 +123,59 @@ def key_overlap_groups(seeds: DataFrame, pair_seeds: DataFrame, cut: float = 0.5
     return seeds.select("run_id", "column", "key_ratio").join(groups, ["run_id", "column"])
 
 
+def _attribute_prints(df: DataFrame, key_sets: KeySets, attributes: Sequence[str]) -> DataFrame:
+    used = sorted({k for s in key_sets for k in s})
+    prints = []
+    for i, a in enumerate(attributes):
+        prints += [F.xxhash64(F.col(f"`{a}`")).alias(f"a_{i}"), F.xxhash64(F.lit("second"), F.col(f"`{a}`")).alias(f"b_{i}")]
+    return df.select(*[F.col(f"`{k}`") for k in used], *prints)
+
+
 def key_stress(df: DataFrame, run_id: str, key_sets: KeySets, attributes: Sequence[str]) -> DataFrame:
-    """Share of repeated key groups within which each attribute varies, plus one example value pair.
+    """Share of repeated key groups within which each attribute varies.
 
-    An attribute with share 0 is an invariant of that key.
+    An attribute with share 0 is an invariant of that key. Values are compared by 128-bit
+    fingerprints, whose fixed width keeps the aggregation hash-based.
     """
-    used = {k for s in key_sets for k in s}
-    extra = [c for c in attributes if c not in used]
-    base = df.select(*[F.col(f"`{c}`") for c in [*sorted(used), *extra]])
-    for i, a in enumerate(attributes):
-        base = base.withColumn(f"text_{i}", F.col(f"`{a}`").cast("string"))
-    groups = _grouped(base, key_sets, [
+    groups = _grouped(_attribute_prints(df, key_sets, attributes), key_sets, [
         F.count(F.lit(1)).alias("n"),
-        *[F.min(f"text_{i}").alias(f"lo_{i}") for i in range(len(attributes))],
-        *[F.max(f"text_{i}").alias(f"hi_{i}") for i in range(len(attributes))],
+        *[((F.min(f"a_{i}") != F.max(f"a_{i}")) | (F.min(f"b_{i}") != F.max(f"b_{i}"))).alias(f"varies_{i}")
+          for i in range(len(attributes))],
     ])
-    drifted = [
-        F.struct(
-            F.lit(a).alias("attribute"), (F.col(f"lo_{i}") != F.col(f"hi_{i}")).alias("varies"),
-            F.concat_ws(" | ", f"lo_{i}", f"hi_{i}").alias("example"),
-        )
-        for i, a in enumerate(attributes)
-    ]
-    rows = groups.filter(F.col("n") > 1).select("keys_tested", F.inline(F.array(*drifted)))
+    rows = groups.filter(F.col("n") > 1).select("keys_tested", F.inline(F.array(*[
+        F.struct(F.lit(a).alias("attribute"), F.col(f"varies_{i}").alias("varies")) for i, a in enumerate(attributes)])))
     return rows.groupBy("keys_tested", "attribute").agg(
-        F.count(F.lit(1)).alias("repeated_groups"),
-        F.count_if("varies").alias("drifted_groups"),
-        F.min(F.when(F.col("varies"), F.col("example"))).alias("example_conflict"),
+        F.count(F.lit(1)).alias("repeated_groups"), F.count_if("varies").alias("drifted_groups"),
     ).filter(
         ~F.array_contains(F.split("keys_tested", ","), F.col("attribute"))
     ).select(
         F.lit(run_id).alias("run_id"), F.col("keys_tested").alias("key"), "attribute", "repeated_groups",
         F.round(100 * F.col("drifted_groups") / F.col("repeated_groups"), 6).alias("drift_pct"),
-        "example_conflict",
     )
 
 
+def conflict_examples(df: DataFrame, run_id: str, key: Sequence[str], attributes: Sequence[str]) -> DataFrame:
+    """One example per attribute that varies within ``key``: the key values and two of its values.
+
+    The example groups are chosen by fingerprint first, at most one per attribute, so the pass that
+    fetches values is a broadcast lookup of a handful of rows.
+    """
+    where = F.xxhash64(*[F.col(f"`{k}`") for k in key])
+    groups = _grouped(_attribute_prints(df, [key], attributes), [key], [
+        *[((F.min(f"a_{i}") != F.max(f"a_{i}")) | (F.min(f"b_{i}") != F.max(f"b_{i}"))).alias(f"varies_{i}")
+          for i in range(len(attributes))]])
+    chosen = groups.agg(*[F.min(F.when(F.col(f"varies_{i}"), where)).alias(f"pick_{i}") for i in range(len(attributes))])
+    picks = chosen.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("attribute"), F.col(f"pick_{i}").alias("pick")) for i, a in enumerate(attributes)]))).filter("pick is not null")
+    values = df.select(where.alias("pick"), F.concat_ws(",", *[F.col(f"`{k}`").cast("string") for k in key]).alias("key_value"),
+                       F.map_from_arrays(F.array(*[F.lit(a) for a in attributes]),
+                                         F.array(*[F.col(f"`{a}`").cast("string") for a in attributes])).alias("row"))
+    hit = values.join(F.broadcast(picks), "pick").select("attribute", "key_value", F.element_at("row", F.col("attribute")).alias("value"))
+    return hit.groupBy("attribute").agg(
+        F.min("key_value").alias("key_value"), F.min("value").alias("low_value"), F.max("value").alias("high_value")
+    ).select(F.lit(run_id).alias("run_id"), F.lit(_key_text(key)).alias("key"), "*")
+
+
 def invariants(stress: DataFrame) -> DataFrame:
     """Attributes that never vary within a key; that alone does not make the key a row key."""
     return stress.filter(F.col("drift_pct") == 0).select(
