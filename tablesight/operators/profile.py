@@ -329,15 +329,18 @@ def drift(df: DataFrame, run_id: str | Column, order_by: str, columns: list[str]
     """Total-variation distance between the value shares of the early and the late half.
 
     The halves split the range of ``order_by`` at its midpoint, so no global sort is needed. For one
-    dataset the boundary is a single row and is broadcast; for a fleet it is looked up by run.
+    dataset the boundary is a scalar; for a fleet it is looked up by run.
     """
     run = _run(run_id)
     at = F.unix_micros(F.col(order_by).cast("timestamp")) if dict(df.dtypes)[order_by].startswith(
         ("timestamp", "date")) else F.col(order_by).cast("double")
     keyed = df.select(run.alias("run_id"), at.alias("at"), *[F.col(c).cast("string") for c in columns])
-    bounds = keyed.groupBy("run_id").agg(((F.min("at") + F.max("at")) / 2).alias("middle"))
-    bounded = keyed.join(F.broadcast(bounds), "run_id") if isinstance(run_id, str) else left_join_lookup(keyed, bounds, ["run_id"])
-    split = bounded.withColumn("late", F.col("at") > F.col("middle")).drop("at", "middle")
+    middle = ((F.min("at") + F.max("at")) / 2).alias("middle")
+    if isinstance(run_id, str):
+        split = keyed.withColumn("late", F.col("at") > keyed.agg(middle).scalar()).drop("at")
+    else:
+        bounded = left_join_lookup(keyed, keyed.groupBy("run_id").agg(middle), ["run_id"])
+        split = bounded.withColumn("late", F.col("at") > F.col("middle")).drop("at", "middle")
     long = split.unpivot(["run_id", "late"], columns, "column", "value")
     hist = long.groupBy(*KEY, "value").agg(
         F.count_if(~F.col("late")).alias("early_n"), F.count_if(F.col("late")).alias("late_n")

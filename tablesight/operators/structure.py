@@ -119,7 +119,7 @@ def layout_candidates(ranked: DataFrame, role_rows: DataFrame, members: DataFram
         F.count_distinct("family_id").alias("child_tables"),
         F.count_if(F.col("column").rlike(cells.EXPORT_INDEX)).alias("coverage_gap_columns"),
     )
-    out = ranked.join(shape, "run_id")
+    out = cut(ranked).join(shape, "run_id")  # a few rows per run, and costly to recompute
     match = F.lit(False)
     if preferred is not None:
         out = out.join(preferred.select("run_id", F.array_sort("keys").alias("wanted")), "run_id", "left")
