@@ -9,6 +9,7 @@ from tablesight.catalog import contracts as c
 from tablesight.catalog.registry import query
 from tablesight.functions import cells
 from tablesight.operators import rules
+from tablesight.plans.validate import validate
 
 
 def none():
@@ -363,3 +364,24 @@ select run_id, count(*) as n_patches from patches where run_id not in (select ru
 def v_source_contract_gate(tb):
     errors = rules.contract_rules().errors(contract_rows(tb))
     return rules.gate(errors, c.patch_rows(tb)).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_patches"))
+
+
+_DOC_ORDERED = "\nunion all ".join(
+    f"select run_id, position, {i} as rule, 'column_decisions[' || cast(position as varchar) || ']' || {tail} as message from placed where {cond}"
+    for i, (cond, tail) in enumerate(TYPE_PAIRS))
+
+
+@query("v_documents_report", f"""
+with placed as (select * replace (row_number() over (partition by run_id order by position) - 1 as position) from bad_types),
+e as ({_DOC_ORDERED}),
+agg as (select run_id, count(*) as n from e group by run_id)
+select t.run_id, a.run_id is null as validation_ok, coalesce(a.n, 0) as n_errors
+from (select distinct run_id from fleet_columns) t left join agg a on t.run_id = a.run_id
+""", ("fleet_columns", "bad_types"))
+def v_documents_report(tb):
+    """The same decisions as one JSON document per run, parsed and judged as documents."""
+    item = F.struct("position", F.struct("column", "recommended_logical_type", "recommended_storage_type", "transform_actions", "normalization_notes",
+                                         "confidence", "reasoning", "skip_logic_protected", "needs_human_review").alias("d"))
+    docs = bad_types(tb).groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["d"]).alias("column_decisions"))
+    raw = F.to_json(F.struct(F.lit("type_value_specialist").alias("worker"), F.struct(F.lit("ok").alias("overview")).alias("summary"), "column_decisions"))
+    return validate("type_transform_worker", docs.select("run_id", raw.alias("raw")))["report"].drop("validation_error")

@@ -115,10 +115,11 @@ def unique_ids(rows: DataFrame) -> DataFrame:
     return plain.drop("place").unionByName(resolved).drop("root", "mixed")
 
 
-def change_log(patches: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row per applied patch, and one per summary count the patches moved.
+def change_log(patches: DataFrame, before: DataFrame, after: DataFrame, stated: DataFrame | None = None) -> DataFrame:
+    """One row per applied patch, and one per summary count that had to be corrected.
 
     ``before`` and ``after`` carry ``ordinal``, the 0-based row position in their contract.
+    ``stated`` holds the counts the contracts claimed; without it their recomputed counts are used.
     """
     old = before.select(*KEY, "ordinal", field_values(before).alias("old"))
     new = after.select(*KEY, field_values(after).alias("new"))
@@ -129,7 +130,8 @@ def change_log(patches: DataFrame, before: DataFrame, after: DataFrame) -> DataF
         F.coalesce("reasoning", F.lit("")).alias("reasoning"), F.coalesce("justification", F.lit("")).alias("justification"),
         F.col("confidence").cast("double").alias("confidence"), F.coalesce("needs_human_review", F.lit(False)).alias("needs_human_review"),
     )
-    log = rows.unionByName(summary_corrections(summary_counts(before), summary_counts(after)))
+    claimed = stated if stated is not None else summary_counts(before)
+    log = rows.unionByName(summary_corrections(claimed, summary_counts(after)))
     return unique_ids(log).drop("change_id").withColumnRenamed("unique_id", "change_id")
 
 

@@ -377,7 +377,10 @@ def patch_rules() -> Rules:
 
 def duplicates(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """One message per key used more than once in a run; counting combines before the shuffle."""
-    used = df.filter(F.concat(*keys).isNotNull()).groupBy("run_id", *keys).agg(F.count(F.lit(1)).alias("n"))
+    given = F.lit(True)
+    for k in keys:
+        given = given & F.coalesce(cells.trimmed(F.col(k)) != "", F.lit(False))
+    used = df.filter(given).groupBy("run_id", *keys).agg(F.count(F.lit(1)).alias("n"))
     return used.filter("n > 1").select("run_id", F.concat(F.lit(label), F.concat_ws(".", *keys)).alias("message"))
 
 
