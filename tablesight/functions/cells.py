@@ -35,9 +35,12 @@ DATETIME_FORMATS = (
 )
 
 
+_SPACES = " \t\n\x0b\f\r"
+
+
 def trimmed(c: Column) -> Column:
-    """Strip every kind of leading and trailing whitespace (``trim`` would leave newlines)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Strip every kind of leading and trailing whitespace (plain ``trim`` would leave newlines)."""
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def is_blank(c: Column) -> Column:
@@ -51,12 +54,12 @@ def missing_token(c: Column) -> Column:
 
 
 def is_missing(c: Column) -> Column:
-    return is_blank(c) | F.coalesce(F.lower(trimmed(c)).isin(*vocab.MISSING_TOKENS), F.lit(False))
+    return F.coalesce(F.lower(trimmed(c)), F.lit("")).isin("", *vocab.MISSING_TOKENS)
 
 
 def bare_number(c: Column) -> Column:
     """Cell text without currency signs, grouping commas and whitespace."""
-    return F.regexp_replace(c, r"[$€£,\s]", "")
+    return F.translate(c, "$€£," + _SPACES, "")
 
 
 def as_double(c: Column) -> Column:
