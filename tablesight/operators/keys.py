@@ -286,7 +286,7 @@ def screening_correlations(df: DataFrame, run_id: str, screen: str, levels: Sequ
     }
     pairs = [(v, f) for v in levels for f in families]
     one = df.agg(*[
-        F.corr((F.col(screen) == v).cast("double"), filled[f].cast("double")).alias(f"c_{i}")
+        F.corr((F.col(f"`{screen}`") == v).cast("double"), filled[f].cast("double")).alias(f"c_{i}")
         for i, (v, f) in enumerate(pairs)
     ])
     return one.select(F.inline(F.array(*[
@@ -299,8 +299,9 @@ def screening_correlations(df: DataFrame, run_id: str, screen: str, levels: Sequ
 def constraints(df: DataFrame, run_id: str, orderings: Sequence[tuple[str, str]],
                 sums: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
     """Share of rows that satisfy a <= b, and a + b = c, for the listed column tuples."""
-    tests = [(f"{a} <= {b}", F.col(a) <= F.col(b)) for a, b in orderings]
-    tests += [(f"{a} + {b} = {c}", F.abs(F.col(a) + F.col(b) - F.col(c)) < 1e-9) for a, b, c in sums]
+    col = lambda name: F.col(f"`{name}`")
+    tests = [(f"{a} <= {b}", col(a) <= col(b)) for a, b in orderings]
+    tests += [(f"{a} + {b} = {c}", F.abs(col(a) + col(b) - col(c)) < 1e-9) for a, b, c in sums]
     one = df.agg(*[
         F.struct(F.count(cond).alias("checked"), F.count_if(cond).alias("held")).alias(f"t_{i}")
         for i, (_, cond) in enumerate(tests)

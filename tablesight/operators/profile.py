@@ -253,6 +253,13 @@ def transform_queue(shares: DataFrame, cut: float = 0.5) -> DataFrame:
     return shares.select(*KEY, F.explode(items).alias("item")).select(*KEY, "item.reason", "item.share")
 
 
+def with_snippets(items: DataFrame, sample_rows: DataFrame) -> DataFrame:
+    """Queue items with a few sample cells behind each, keyed by reason."""
+    joined = items.join(sample_rows, KEY, "left")
+    return joined.withColumn("evidence_snippets", F.create_map("reason", F.coalesce(
+        F.element_at("a2_samples", "random"), F.array().cast("array<string>")))).drop("a2_samples")
+
+
 def type_queue(shares: DataFrame, margin: float = 0.5) -> DataFrame:
     """Columns with two readings close together; the runner-up is within ``margin`` of the best."""
     scored = F.array_sort(

@@ -141,7 +141,9 @@ def baseline_resolution(a2: DataFrame, role_rows: DataFrame, missingness: DataFr
     All inputs share the (run_id, column) key, so after the first join the left side keeps its
     partitioning and each further artifact is moved once.
     """
-    affected = skip_rules.filter(F.col("missing_explained_pct") >= vocab.SKIP_EXPLAINED_PCT).groupBy(
+    # a partial rule only says where the gaps are, not that the trigger causes them
+    decisive = (F.col("missing_explained_pct") >= vocab.SKIP_EXPLAINED_PCT) & (F.col("directionality") != "partial")
+    affected = skip_rules.filter(decisive).groupBy(
         "run_id", F.col("affected_column").alias("column")).agg(F.lit(True).alias("gated"))
     reasons = transform_items.groupBy(*KEY).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
     competing = type_items.select(*KEY, F.lit(True).alias("competing")).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesight import vocab
+from tablesight.functions import cells
 from tablesight.operators import families, keys, profile, structure
 from tablesight.plans.shared import cut
 from tablesight.sources import tables
@@ -23,6 +24,7 @@ class Options:
     dependency_columns: int = 8
     trigger_columns: int = 8
     target_columns: int = 64
+    constraint_columns: int = 5
     glimpse_rows: int = 3
     preferred_grain: Sequence[str] | None = None
 
@@ -64,7 +66,7 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
     out: dict[str, DataFrame] = {
         "A1": tables.manifest(df, run_id, source),
         "A2": profile.a2_rows(hist, shares).join(catalog, ["run_id", "column"]),
-        "A3-T.items": profile.transform_queue(shares),
+        "A3-T.items": profile.with_snippets(profile.transform_queue(shares), profile.sample_maps(hist)),
         "A3-V.items": profile.type_queue(shares),
         "A4.per_column": missingness.join(profile.missing_token_maps(hist), ["run_id", "column"], "left"),
         "A4.global_tokens": profile.global_tokens(hist),
@@ -104,12 +106,28 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
     time = [c for c in usable if facts[c]["datetime_share"] >= vocab.TYPE_SHARE]
     drift_rows = quality.select("run_id", "column", F.lit(0.0).alias("drift_distance"), F.lit(False).alias("drift_detected"))
     if time and few:
-        from tablesight.functions.cells import as_datetime
-
-        at = text.withColumn("order_time", as_datetime(F.col(f"`{time[0]}`")))
+        at = text.withColumn("order_time", cells.as_datetime(F.col(f"`{time[0]}`")))
         drift_rows = profile.drift(at, run_id, "order_time", few)
     out["A14.columns"] = quality.join(drift_rows, ["run_id", "column"], "left").na.fill({"drift_distance": 0.0}).withColumn(
         "drift_detected", F.coalesce("drift_detected", F.lit(False)))
+    numeric = [c for c in usable if facts[c]["numeric_share"] >= vocab.TYPE_SHARE and c not in member_names][: options.constraint_columns]
+    moments = time[: options.constraint_columns]
+    orderings = [(a, b) for group in (numeric, moments) for a in group for b in group if a != b]
+    if orderings:
+        typed = text.select(*[cells.as_double(F.col(f"`{c}`")).alias(c) for c in numeric],
+                            *[cells.as_datetime(F.col(f"`{c}`")).alias(c) for c in moments])
+        sums = [(a, b, c) for i, a in enumerate(numeric) for b in numeric[i + 1:] for c in numeric if c not in (a, b)]
+        out["A10.deterministic_constraints"] = keys.constraints(typed, run_id, orderings, sums)
+    if blocks and triggers:
+        levels: dict[str, list[str]] = {}
+        for row in profile.top_levels(hist, vocab.CODED_LEVELS).filter(F.col("column").isin(*triggers)).orderBy("column", "level_rank").collect():
+            levels.setdefault(row["column"], []).append(row["value"])
+        parts = [keys.screening_correlations(text, run_id, t, v, blocks) for t, v in levels.items() if t not in member_names]
+        if parts:
+            joined = parts[0]
+            for part in parts[1:]:
+                joined = joined.unionByName(part)
+            out["A10.family_screening_correlations"] = joined.filter("correlation is not null")
     none = "run_id string, trigger_column string, trigger_value string, trigger_test string, affected_column string, missing_explained_pct double, directionality string"
     rules = structure.skip_logic(text, run_id, triggers, gaps) if triggers and gaps else df.sparkSession.createDataFrame([], none)
     out["A16.detected_skip_logic"] = rules = cut(rules)

@@ -35,8 +35,8 @@ def baseline(rows):
         rows(key + "detected_anchors array<struct<anchor:string>>", (RUN, "FreeTextComment", [("EMAIL",)])),
         rows(key + "global_quality_score double", *[(RUN, c, 0.9) for c in COLUMNS[1:]]),
         rows(key + "drift_detected boolean", *[(RUN, c, False) for c in COLUMNS[1:]]),
-        rows("run_id string, affected_column string, missing_explained_pct double",
-             (RUN, "Q18Main_cell_groupRow1", 97.0), (RUN, "Q18Main_cell_groupRow2", 97.0)),
+        rows("run_id string, affected_column string, missing_explained_pct double, directionality string",
+             (RUN, "Q18Main_cell_groupRow1", 97.0, "forward"), (RUN, "Q18Main_cell_groupRow2", 97.0, "forward")),
         rows(key + "reason string"), rows(key + "best_type string"))
 
 
