@@ -71,7 +71,7 @@ _PAIR_SQL = "pairs as (" + " union all ".join(
 
 @query("a5_pair_keys", f"with {_PAIR_SQL} select * from pairs")
 def a5_pair_keys(tb):
-    return keys.pair_key_seeds(tb.table("lineitem"), "lineitem", PAIR_COLS)
+    return keys.pair_key_seeds(tb.table("lineitem"), "lineitem", _PAIRS)
 
 
 @query("a5_key_overlap", f"""
@@ -86,7 +86,7 @@ from seeds s join best b on s."column" = b."column" and b.rn = 1
 def a5_key_overlap(tb):
     line = tb.table("lineitem").select(*PAIR_COLS)
     seeds = keys.single_key_seeds(profile.column_stats(profile.cell_histogram(line, "lineitem")), 12)
-    return keys.key_overlap_groups(seeds, keys.pair_key_seeds(line, "lineitem", PAIR_COLS))
+    return keys.key_overlap_groups(seeds, keys.pair_key_seeds(line, "lineitem", _PAIRS))
 
 
 STRESS_KEYS = [["l_orderkey"], ["l_orderkey", "l_linenumber"]]
@@ -161,7 +161,8 @@ union all select 'events', 'refund_code', 'code_copy', round(avg(case when refun
 """, ("gated_events",))
 def a10_near_duplicates(tb):
     e = tb.input("gated_events").selectExpr("*", "cast(user_id as string) as user_copy", "'k' || cast(event_id % 5 as string) as code_copy")
-    pairs = keys.candidate_column_pairs(e, ["user_id", "user_copy", "event_type"])
+    names = ["user_id", "user_copy", "event_type"]
+    pairs = keys.candidate_column_pairs(profile.cell_histogram(e, "events", names), names)
     return keys.near_duplicate_columns(e, "events", [*pairs, ("refund_code", "code_copy")])
 
 
@@ -267,6 +268,15 @@ def a8_families_index(tb):
     return families.families_index(families.families(catalog_of(tb))).withColumn("patterns", F.array_join("patterns", ","))
 
 
+@query("g_family_rollup", f"""
+with {MEMBERS_SQL}
+select run_id, family_id, n as included_column_count, array_to_string(cols[1:3], ',') as included_columns_preview from fams where n >= 2
+""", ("fleet_columns",))
+def g_family_rollup(tb):
+    out = families.rollup(families.families(catalog_of(tb)))
+    return out.withColumn("included_columns_preview", F.array_join("included_columns_preview", ","))
+
+
 @query("a8_near_misses", f"""
 with {MEMBERS_SQL}
 select run_id, cols[1] as "column", raw_stem, 'single_member' as reason from fams where n = 1

@@ -99,10 +99,19 @@ def single_key_seeds(stats: DataFrame, k: int = 12) -> DataFrame:
     return seeds.withColumn("seed_rank", F.row_number().over(order)).filter(F.col("seed_rank") <= k)
 
 
-def pair_key_seeds(df: DataFrame, run_id: str, columns: Sequence[str], max_pairs: int = 28) -> DataFrame:
-    """Distinct share of column pairs. Pairs are taken in list order up to ``max_pairs``, a bound on
-    columns and not on rows: all rows are counted for every pair kept."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]][:max_pairs]
+def worthwhile_pairs(columns: Sequence[str], distinct: dict[str, int], n_rows: int, max_pairs: int = 28) -> list[tuple[str, str]]:
+    """Column pairs that could identify rows, from column counts alone.
+
+    A column that is unique by itself makes every pair with it unique, and a pair whose distinct
+    counts multiply to less than the rows cannot be unique; neither needs a pass over the data.
+    """
+    open_ = [c for c in columns if distinct[c] < n_rows]
+    pairs = [(a, b) for i, a in enumerate(open_) for b in open_[i + 1:] if distinct[a] * distinct[b] >= n_rows]
+    return pairs[:max_pairs]
+
+
+def pair_key_seeds(df: DataFrame, run_id: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Distinct share of the listed column pairs; all rows are counted for every pair."""
     groups = _grouped(df, pairs, [F.count(F.lit(1)).alias("n")])
     return groups.groupBy("keys_tested").agg(
         F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"), F.max("n").alias("largest_group")
@@ -240,11 +249,12 @@ def near_duplicate_columns(df: DataFrame, run_id: str, pairs: Sequence[tuple[str
     )
 
 
-def candidate_column_pairs(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, str]]:
-    """Pairs worth a row-level comparison: same distinct-text checksum. Column-count-sized result."""
-    hist = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot(
-        [], [f"`{c}`" for c in columns], "column", "value")
-    digest = F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("digest")
+def candidate_column_pairs(hist: DataFrame, columns: Sequence[str]) -> list[tuple[str, str]]:
+    """Pairs worth a row-level comparison: the same checksum over distinct texts and counts.
+
+    Reads the cell histogram, not the rows; the result is as long as the column list.
+    """
+    digest = F.sum(F.xxhash64("value", "n").cast("decimal(38,0)")).alias("digest")
     sums = {r["column"]: r["digest"] for r in hist.groupBy("column").agg(digest).collect()}
     return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:] if sums[a] == sums[b]]
 

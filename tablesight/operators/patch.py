@@ -14,6 +14,12 @@ from tablesight import vocab
 from tablesight.operators.contract import row_invariant_errors, summary_counts
 
 KEY = ["run_id", "column"]
+
+# Texts of the log rows that code writes by itself.
+SUMMARY_REASONING = "Summary counts are code-owned and were recomputed after applying the reviewer patch."
+SUMMARY_JUSTIFICATION = (
+    "The final reviewed contract must carry deterministic summary counts that match the final row states exactly.")
+
 _TYPES = {**dict.fromkeys(vocab.PATCHABLE_LISTS, "array<string>"), **dict.fromkeys(vocab.PATCHABLE_NUMBERS, "double"),
           **dict.fromkeys(vocab.PATCHABLE_BOOLEANS, "boolean")}
 
@@ -148,8 +154,7 @@ def summary_corrections(old: DataFrame, new: DataFrame) -> DataFrame:
         F.concat(F.lit("sys_summary_"), "key").alias("change_id"), F.lit("").alias("column"),
         F.concat(F.lit("/reviewed_contract/summary/"), "key").alias("target_path"),
         F.coalesce(F.col("old").cast("string"), F.lit("null")).alias("before_value"), F.col("new").cast("string").alias("after_value"),
-        F.lit("Summary counts are code-owned and were recomputed after applying the reviewer patch.").alias("reasoning"),
-        F.lit("The final reviewed contract must carry deterministic summary counts that match the final row states exactly.").alias("justification"),
+        F.lit(SUMMARY_REASONING).alias("reasoning"), F.lit(SUMMARY_JUSTIFICATION).alias("justification"),
         F.lit(1.0).alias("confidence"), F.lit(False).alias("needs_human_review"),
     )
 

@@ -2,7 +2,8 @@
 
 A rule is one Column that yields the messages a row earns (an array, mostly empty). A rule set runs
 as a single projection over the decision table of all runs; only rows that break a rule are kept,
-so a clean table costs one scan and no shuffle.
+so a clean table costs one scan and no shuffle. Field names and message texts are fixed values: they
+must equal the published rules for verdicts to agree.
 """
 
 from __future__ import annotations

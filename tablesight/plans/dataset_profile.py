@@ -57,7 +57,9 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
     triggers = [c for c in usable if 2 <= facts[c]["unique_count"] <= vocab.CODED_LEVELS and facts[c]["missing_pct"] < 50][: options.trigger_columns]
     linked = (few + seeds)[: options.dependency_columns]
 
-    sets = [[c] for c in seeds] + [[a, b] for i, a in enumerate(seeds[:4]) for b in seeds[i + 1:4]]
+    n_rows = max((f["n_rows"] for f in facts.values()), default=0)
+    pairs = keys.worthwhile_pairs(seeds, {c: facts[c]["unique_count"] for c in seeds}, n_rows)
+    sets = [[c] for c in seeds] + [list(p) for p in pairs]
     tests = cut(keys.ranked_grains(keys.reject_fake_grains(
         keys.grain_tests(text, run_id, sets),
         catalog.join(members, ["run_id", "column"], "left").withColumn("is_export_index", F.col("column").isin(*indexes) if indexes else F.lit(False)))))
@@ -71,7 +73,9 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
         "A4.per_column": missingness.join(profile.missing_token_maps(hist), ["run_id", "column"], "left"),
         "A4.global_tokens": profile.global_tokens(hist),
         "A5.single_column_key_seed_candidates": keys.single_key_seeds(stats),
-        "A5.pair_key_seed_candidates": keys.pair_key_seeds(text, run_id, seeds),
+        # the pairs are among the tested grains, so their seeds are read off those tests
+        "A5.pair_key_seed_candidates": tests.filter(F.col("keys_tested").contains(",")).select(
+            "run_id", F.col("keys_tested").alias("pair"), "n_groups", F.col("uniqueness_rate").alias("pair_ratio")),
         "A5.candidate_key_stress_tests": stress,
         "A5.invariant_candidates_checked": keys.invariants(stress),
         "A6.tests": tests,
@@ -95,9 +99,9 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
         out["A7.key_collisions"] = keys.key_collisions(text, run_id, best[0])
     if len(linked) > 1:
         out["A10.dependency_candidates"] = keys.dependencies(text, run_id, linked, linked)
-        pairs = keys.candidate_column_pairs(text, usable)
-        if pairs:
-            out["A10.near_duplicate_candidates"] = keys.near_duplicate_columns(text, run_id, pairs)
+        twins = keys.candidate_column_pairs(hist, usable)
+        if twins:
+            out["A10.near_duplicate_candidates"] = keys.near_duplicate_columns(text, run_id, twins)
     hot = [r["column"] for r in profile.one_hot_like(hist).filter("is_one_hot_like").collect()]
     blocks = {r["family_id"]: r["columns"] for r in found.select("family_id", "columns").collect()}
     hot_blocks = {f: c for f, c in blocks.items() if set(c) <= set(hot)}

@@ -92,6 +92,8 @@ def _texts(*names: str) -> dict[str, str]:
     return dict.fromkeys(names, "s")
 
 
+# Worker names, required keys, defaults and message texts below must equal the published
+# document rules for verdicts to agree.
 WORKERS: dict[str, Worker] = {
     "type_transform_worker": Worker(
         "type_value_specialist", ("worker", "summary", "column_decisions", "global_transform_rules", "review_flags", "assumptions"), (

@@ -33,13 +33,23 @@ def manifest(df: DataFrame, run_id: str | Column, source: str, schema_of: Sequen
     ).withColumns({"n_columns": F.lit(len(columns)).cast("bigint"), "schema_json": F.lit(schema), "source": F.lit(source)})
 
 
-def write_artifacts(artifacts: dict[str, DataFrame], folder: str) -> None:
-    """One Parquet table per artifact id, partitioned by run. An existing artifact is never replaced.
+def _laid_out(df: DataFrame, buckets: int | None) -> tuple[DataFrame, str]:
+    if buckets is None:
+        return df.hint("rebalance", "run_id"), "run_id"
+    keyed = df.withColumn("run_bucket", F.pmod(F.xxhash64(F.col("run_id").cast("string")), F.lit(buckets)).cast("int"))
+    return keyed.hint("rebalance", "run_bucket").sortWithinPartitions("run_bucket", "run_id"), "run_bucket"
 
-    ``rebalance`` gathers each run's rows but lets Spark split a run that holds most of them.
+
+def write_artifacts(artifacts: dict[str, DataFrame], folder: str, buckets: int | None = None) -> None:
+    """One Parquet table per artifact id. An existing artifact is never replaced.
+
+    Few runs get a folder each. A fleet of many runs is written with ``buckets`` folders instead,
+    sorted by run, so that neither the listing nor the file count grows with the runs.
+    ``rebalance`` gathers each folder's rows but lets Spark split one that holds most of them.
     """
     for artifact, df in artifacts.items():
-        df.hint("rebalance", "run_id").write.mode("errorifexists").partitionBy("run_id").parquet(f"{folder}/{artifact}")
+        laid, part = _laid_out(df, buckets)
+        laid.write.mode("errorifexists").partitionBy(part).parquet(f"{folder}/{artifact}")
 
 
 def append_run(df: DataFrame, folder: str, artifact: str) -> None:
@@ -49,11 +59,22 @@ def append_run(df: DataFrame, folder: str, artifact: str) -> None:
     clash = df.select(F.col("run_id").cast("string")).distinct().join(there, "run_id", "left_semi").limit(1).count()
     if clash:
         raise ValueError(f"{artifact} already holds one of these runs; artifacts are immutable")
+    if "run_bucket" in spark.read.parquet(path).columns:
+        raise ValueError(f"{artifact} is bucketed; write further runs of a fleet as an artifact of their own")
     df.hint("rebalance", "run_id").write.mode("append").partitionBy("run_id").parquet(path)
 
 
 def read_artifact(spark: SparkSession, folder: str, artifact: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{artifact}")
+    stored = spark.read.parquet(f"{folder}/{artifact}")
+    return stored.drop("run_bucket")
+
+
+def read_run(spark: SparkSession, folder: str, artifact: str, run_id, buckets: int | None = None) -> DataFrame:
+    """Rows of one run; the filter prunes to its folder."""
+    stored = spark.read.parquet(f"{folder}/{artifact}").filter(F.col("run_id") == run_id)
+    if buckets is None:
+        return stored
+    return stored.filter(F.col("run_bucket") == F.pmod(F.xxhash64(F.lit(str(run_id))), F.lit(buckets)).cast("int")).drop("run_bucket")
 
 
 def read_or_build(spark: SparkSession, folder: str, artifact: str, build) -> DataFrame:
@@ -88,6 +109,11 @@ def expired(runs: DataFrame, as_of: Column, days: int = vocab.RETENTION_DAYS) ->
     return runs.filter(F.col("run_ts") < as_of - F.make_dt_interval(F.lit(days)))
 
 
+def drop_expired(artifact: DataFrame, runs: DataFrame, as_of: Column, days: int = vocab.RETENTION_DAYS) -> DataFrame:
+    """Rows of an artifact whose run is still retained."""
+    return artifact.join(retained(runs, as_of, days).select("run_id"), "run_id", "left_semi")
+
+
 def compact_json(df: DataFrame, *keys: str) -> DataFrame:
     """Each row as one compact JSON text beside its keys."""
     rest = [c for c in df.columns if c not in keys]

@@ -167,6 +167,15 @@ def test_artifacts_are_immutable(spark, frame, tmp_path):
         tables.append_run(frame("run_id string, v int", ("b", 3)), folder, "A2")
     tables.append_run(frame("run_id string, v int", ("c", 3)), folder, "A2")
     assert tables.catalog({"A2": tables.read_artifact(spark, folder, "A2")}).count() == 3
+    tables.write_artifacts({"A4": df}, folder, buckets=3)
+    one = tables.read_run(spark, folder, "A4", "b", buckets=3)
+    assert [(r.run_id, r.v) for r in one.collect()] == [("b", 2)]
+    assert "run_bucket" not in tables.read_artifact(spark, folder, "A4").columns
+    with pytest.raises(ValueError, match="bucketed"):
+        tables.append_run(frame("run_id string, v int", ("z", 3)), folder, "A4")
+    runs = spark.sql("select 'a' as run_id, timestamp_ntz '2024-01-20' as run_ts union all select 'b', timestamp_ntz '2024-01-01'")
+    left = tables.drop_expired(df, runs, F.lit("2024-01-31").cast("timestamp_ntz"))
+    assert [r.run_id for r in left.collect()] == ["a"]
     built = tables.read_or_build(spark, folder, "A17", lambda: df)
     assert built.count() == 2
 
