@@ -46,6 +46,7 @@ class Section:
     shape: bool = True
     required: bool = True
     min_items: int = 0
+    absent: str | None = None
 
 
 @dataclass(frozen=True)
@@ -74,9 +75,15 @@ _LISTS = {"transform_actions": "l", "structural_transform_hints": "l", "interpre
 _EMPTY = dict.fromkeys(_LISTS, "[]")
 
 
-def _grain_item(path: str, enums: dict[str, Sequence[str]], lists: Sequence[str], texts: Sequence[str]) -> Callable[[], Rules]:
+def _grain_item(path: str, enums: dict[str, Sequence[str]], lists: Sequence[str], texts: Sequence[str], many: bool = True,
+                flags: Sequence[str] = (), literals: dict[str, str] | None = None) -> Callable[[], Rules]:
+    """Rules in the grain document's own wording."""
     def build() -> Rules:
-        out = Rules(path)
+        out = Rules(path, many)
+        for f, value in (literals or {}).items():
+            out.custom(~F.col(f).eqNullSafe(value), f".{f} must be '{value}'")
+        for f in flags:
+            out.custom(F.col(f).isNull(), f".{f} must be a boolean")
         for f in texts:
             out.custom(F.col(f).isNull() | (cells.trimmed(F.col(f)) == ""), f".{f} must be a non-empty string")
         for f in lists:
@@ -175,8 +182,22 @@ WORKERS: dict[str, Worker] = {
             Section("family_review_candidates", dict.fromkeys(("family_id", "suggested_table_name", "repeat_index_name", "status", "why_review"), "t"),
                     _grain_item("family_review_candidates", {"status": vocab.FAMILY_REVIEW_STATUSES}, (),
                                 ("family_id", "suggested_table_name", "repeat_index_name", "why_review")), shape=False),
+            *[Section(f"review_questions.{q}", dict.fromkeys(("prompt", "recommended_answer", "why_it_matters", "answer_type"), "t"),
+                      _grain_item(f"review_questions.{q}", {"answer_type": vocab.ANSWER_TYPES}, (), ("prompt", "recommended_answer", "why_it_matters"),
+                                  many=False), many=False, shape=False, absent="Missing required review question: ")
+              for q in ("grain_confirmation", "family_confirmation", "index_drop_confirmation")],
+            *[Section(f"user_inputs_requested.{u}", {"input_type": "t", "required": "b", "purpose": "t"},
+                      _grain_item(f"user_inputs_requested.{u}", {}, (), ("purpose",), many=False, flags=("required",),
+                                  literals={"input_type": "free_text"}), many=False, shape=False,
+                      absent="Missing required user input descriptor: ")
+              for u in ("global_renaming_instructions", "missed_family_information", "free_text_override_instructions")],
+            Section("diagnostics", dict.fromkeys(("encoding_hint", "encoding_justification", "recommended_next_action"), "t"),
+                    _grain_item("diagnostics", {"encoding_hint": vocab.ENCODING_HINTS}, (), ("encoding_justification", "recommended_next_action"),
+                                many=False), many=False, shape=False),
+            Section("diagnostics.rejected_primary_candidates", {"keys": "l", "reason": "t"},
+                    _grain_item("diagnostics.rejected_primary_candidates", {}, ("keys",), ("reason",)), shape=False),
             Section("assumptions", {"assumption": "t", "explanation": "t", "needs_user_validation": "b"},
-                    _grain_item("assumptions", {}, (), ("assumption", "explanation")), shape=False)),
+                    _grain_item("assumptions", {}, (), ("assumption", "explanation"), flags=("needs_user_validation",)), shape=False)),
         (("candidate_reference_tables", "[]"), ("preliminary_table_plan", "[]"), ("family_review_candidates", "[]"), ("assumptions", "[]")),
         summary="", closed=True, end=""),
     "scale_mapping_worker": Worker(
@@ -268,6 +289,10 @@ def _document_level(worker: Worker, doc: Column, raw: Column) -> Column:
     if worker.closed:
         extra = F.array_sort(F.array_except(have, F.array(*[F.lit(k) for k in worker.top])))
         top.append(_say(F.size(extra) > 0, "Unexpected top-level key(s): ", F.array_join(extra, ", ")))
+        reasoning, text = _kind(_get(doc, "$.reasoning", "variant")), _get(doc, "$.reasoning", "string")
+        said = F.array_contains(have, "reasoning")
+        top.append(_say(said & ~reasoning.eqNullSafe("STRING"), "reasoning must be a string"))
+        top.append(_say(said & (~reasoning.eqNullSafe("STRING") | (cells.trimmed(text) == "")), "reasoning must be a non-empty string"))
     if worker.worker:
         name = _get(doc, "$.worker", "variant")
         text = _get(doc, "$.worker", "string")
@@ -294,6 +319,9 @@ def _document_level(worker: Worker, doc: Column, raw: Column) -> Column:
         absent_ok = F.lit("VOID") if section.path in filled else F.lit("")
         top.append(_say(v.isNotNull() & (v != want) & (v != absent_ok),
                         f"{section.path} must be {'an array' if section.many else 'an object'}{worker.end}"))
+        if section.absent is not None:
+            parent = _kind(_get(doc, f"$.{section.path.rsplit('.', 1)[0]}", "variant"))
+            top.append(_say((parent == "OBJECT") & v.isNull(), f"{section.absent}{section.path}"))
         if section.min_items:
             top.append(_say(F.size(_get(doc, f"$.{section.path}", "array<variant>")) == 0, f"{section.path} must not be empty."))
     return F.array_compact(F.array(*top))

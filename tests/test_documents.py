@@ -30,7 +30,13 @@ def doc(name, **over):
             "recommended_family_role": "event_sequence", "recommended_handling": "retain_as_child_table", "member_semantics_notes": "m",
             "reasoning": "r", "confidence": 0.5, "needs_human_review": False}},
         "grain_worker": {"recommended_primary_grain": {"description": "d", "grain_type": "single_column", "keys": ["a"], "confidence_score": 0.9,
-                                                       "justification": "j"}, "review_questions": {}, "user_inputs_requested": {}, "diagnostics": {}, "reasoning": "r"},
+                                                       "justification": "j"},
+                         "review_questions": {q: {"prompt": "p", "recommended_answer": "a", "why_it_matters": "w", "answer_type": "enum"}
+                                              for q in ("grain_confirmation", "family_confirmation", "index_drop_confirmation")},
+                         "user_inputs_requested": {u: {"input_type": "free_text", "required": False, "purpose": "p"} for u in (
+                             "global_renaming_instructions", "missed_family_information", "free_text_override_instructions")},
+                         "diagnostics": {"encoding_hint": "unknown", "encoding_justification": "e", "recommended_next_action": "n",
+                                         "rejected_primary_candidates": [{"keys": ["b"], "reason": "r"}]}, "reasoning": "r"},
         "scale_mapping_worker": {"worker": "scale_mapping_extractor", **note, "mappings": [
             {"target_kind": "column", "target_id": "a", "mapping_status": "unresolved", "response_scale_kind": "", "ordered_labels": [],
              "label_to_ordinal_position": {}, "label_to_numeric_score": {"x": 1}, "numeric_score_semantics_confirmed": True, "source": "",
@@ -110,8 +116,17 @@ def test_layout_documents(frame):
 def test_grain_documents_are_closed(frame):
     bad = doc("grain_worker", surprise=1)
     bad["recommended_primary_grain"].update(grain_type="no_clear_key", keys=[])
-    del bad["diagnostics"]
-    _, errors, _ = run(frame, "grain_worker", {"bad": bad})
+    del bad["diagnostics"], bad["review_questions"]["family_confirmation"]
+    bad["review_questions"]["grain_confirmation"]["answer_type"] = "maybe"
+    bad["user_inputs_requested"]["missed_family_information"] = {"input_type": "choice", "purpose": " "}
+    odd = doc("grain_worker")
+    odd["diagnostics"].update(encoding_hint="odd", rejected_primary_candidates=[{"keys": [], "reason": "r"}])
+    _, errors, _ = run(frame, "grain_worker", {"bad": bad, "odd": odd})
+    assert errors["odd"] == {"Invalid diagnostics.encoding_hint: odd", "diagnostics.rejected_primary_candidates[0].keys must be a non-empty array"}
+    assert {"Missing required review question: review_questions.family_confirmation", "Invalid review_questions.grain_confirmation.answer_type: maybe",
+            "user_inputs_requested.missed_family_information.input_type must be 'free_text'",
+            "user_inputs_requested.missed_family_information.required must be a boolean",
+            "user_inputs_requested.missed_family_information.purpose must be a non-empty string"} <= errors["bad"]
     assert {"Unexpected top-level key(s): surprise", "Missing required top-level key(s): diagnostics",
             "recommended_primary_grain.keys must still be non-empty for no_clear_key"} <= errors["bad"]
 
