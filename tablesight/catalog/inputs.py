@@ -1,7 +1,9 @@
 """Messy inputs derived from the given tables.
 
 Each text is plain SQL that both Spark and the checking engine run, so a query and its oracle
-start from the same rows. ``{table}`` names a given table.
+start from the same rows. ``{table}`` names a given table. Every input is built over whole tables;
+where a decision input holds only some columns of each run, that is what it models: reviewers decide
+on part of the columns and the rest must come from defaults and the baseline.
 """
 
 from __future__ import annotations

@@ -177,13 +177,13 @@ def prune_drop_empty(tb):
 
 @query("prune_role_preview", """
 select run_id, column_name as "column",
- case when pick % 10 >= 5 then 'b:' || cast(pick % 10 as varchar) else 'a:5' end || ',' ||
- case when pick % 10 >= 5 then 'a:5' when pick % 10 >= 3 then 'b:' || cast(pick % 10 as varchar) else 'c:3' end as role_candidate_preview
-from fleet_a2 where pick % 10 not in (3, 5)
+ case when pick % 10 > 5 then 'b:' || cast(pick % 10 as varchar) else 'a:5' end || ',' ||
+ case when pick % 10 > 5 then 'a:5' when pick % 10 >= 3 then 'b:' || cast(pick % 10 as varchar) else 'c:3' end as role_candidate_preview
+from fleet_a2
 """, ("fleet_columns", "fleet_a2"))
 def prune_role_preview(tb):
     item = lambda role, score: F.struct(F.lit(role).alias("role"), score.cast("bigint").alias("score"))
-    rows = tb.input("fleet_a2").filter("pick % 10 not in (3, 5)").select(
+    rows = tb.input("fleet_a2").select(
         "run_id", F.col("column_name").alias("column"),
         F.array(item("a", F.lit(5)), item("b", F.col("pick") % 10), item("c", F.lit(3))).alias("role_candidates"))
     out = prune.role_preview(rows, 2)

@@ -117,10 +117,10 @@ def s_column_guide(tb):
 @query("s_gate_sheet", """
 select run_id, column_name as trigger_column, 'No' as trigger_value, cast(seed % 9 as varchar) as affected_column_count,
  case when pick % 2 = 0 then 'a_1, q' else '' end as affected_family_ids, '' as missing_explained_pct, '' as directionality, '' as interpretation
-from fleet_columns where seed % 5 = 0
+from fleet_columns
 """, ("fleet_columns",))
 def s_gate_sheet(tb):
-    rows = tb.input("fleet_columns").filter("seed % 5 = 0").select(
+    rows = tb.input("fleet_columns").select(
         "run_id", F.col("column_name").alias("trigger_column"), F.lit("No").alias("trigger_value"), (F.col("seed") % 9).alias("affected_column_count"),
         F.when(F.col("pick") % 2 == 0, F.array(F.lit("a_1"), F.lit("q"))).alias("affected_family_ids"))
     return sheets.sheet_rows(rows, "structural_gates")
