@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one for a session of one machine only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tablesight-checkpoint-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -33,6 +37,13 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read back, which cuts its lineage."""
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def left_join_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], max_rows: int = 100_000, salts: int = 64) -> DataFrame:
     """Left join where few distinct keys may each cover most of ``rows``.
 
