@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesight.llm import packing
+from tablesight.llm import language, packing, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,5 +15,21 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing,)}
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(_table(spark, folder, "documents"))
+
+
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.languages(_table(spark, folder, "documents"))
+
+
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_simhash, op4_secrets, op7_language, op8_quality)}
 ORACLES: dict[str, str] = {}

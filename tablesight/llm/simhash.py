@@ -124,7 +124,7 @@ def shard_links(rows: pd.DataFrame, radius: int = RADIUS) -> pd.DataFrame:
     """
     rows = rows.drop_duplicates(["pair", "bits", "print", "asks"]).sort_values(["pair", "bits", "asks", "print"], ignore_index=True)
     shard = rows.groupby(["pair", "bits"], sort=False).ngroup().to_numpy()
-    prints, asks = rows["print"].to_numpy(), rows["asks"].to_numpy()
+    prints, asks = rows["print"].to_numpy().view(np.uint64), rows["asks"].to_numpy()  # bitwise_count of a signed value drops its sign
     nodes = np.flatnonzero(~asks)
     held = np.unique(shard[nodes])
     dense = np.searchsorted(held, shard)
@@ -138,7 +138,7 @@ def shard_links(rows: pd.DataFrame, radius: int = RADIUS) -> pd.DataFrame:
         query, node = forest.within(dense[block], prints[block], radius)
         label = _joined(label, block[query], nodes[node])
     linked = label != np.arange(len(rows))
-    return pd.DataFrame({"a": prints[linked], "b": prints[label[linked]]})
+    return pd.DataFrame({"a": prints[linked].view(np.int64), "b": prints[label[linked]].view(np.int64)})
 
 
 def _masks(radius: int) -> list[int]:
