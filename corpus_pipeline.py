@@ -4,22 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesight.llm import packing, simhash
+from tablesight.llm import mixing, packing, quality, secrets, simhash
 from tablesight.plans.shared import stored
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from ``labels``, does not reject."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return simhash.without_near_duplicates(docs)
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in their texts replaced by a mark and ``n_chars`` brought in line."""
+    return secrets.without_secrets(docs)
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn with the probabilities that bring sources, languages and topics to their targets."""
+    return mixing.sample_mixture(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All token pieces with their places in sequences of 1024 tokens."""
     return packing.packed_documents(docs)
 
 
 STAGES = [
+    ("quality_classifier", quality_classifier),
     ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
+    ("mixing_weights", mixing_weights),
     ("best_fit_packing", best_fit_packing),
 ]
 

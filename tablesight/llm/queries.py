@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablesight.llm import language, packing, quality, secrets, simhash
+from tablesight.llm import knn, language, mixing, packing, quality, secrets, sharding, simhash, sketch, url_reputation
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels give the outcome of the page of the same number."""
+    outcomes = _table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return url_reputation.judge(_table(spark, folder, "pages"), outcomes)
+
+
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(_table(spark, folder, "documents"))
 
@@ -23,6 +30,15 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(_table(spark, folder, "documents"))
 
 
+def op5_voronoi_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return knn.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op6_raked_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(_table(spark, folder, "documents"))
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.languages(_table(spark, folder, "documents"))
 
@@ -31,5 +47,24 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_simhash, op4_secrets, op7_language, op8_quality)}
-ORACLES: dict[str, str] = {}
+def op9_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, folder, "documents"))
+
+
+def op10_threshold_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    return sketch.edited_fingerprints(_table(spark, folder, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_reputation, op2_best_fit_packing, op3_simhash, op4_secrets, op5_voronoi_top_k, op6_raked_mixture, op7_language,
+        op8_quality, op9_balanced_shards, op10_threshold_sketch,
+    )
+}
+#: The other queries train models, compress, tokenize or iterate to a fixed point; tests hold them against brute force.
+ORACLES = {
+    "op1_url_reputation": url_reputation.oracle(),
+    "op5_voronoi_top_k": knn.oracle(),
+    "op6_raked_mixture": mixing.oracle(),
+}

@@ -178,3 +178,11 @@ def redact(text: Column) -> Column:
         return pd.Series([redacted(t) if isinstance(t, str) else None for t in texts], dtype="object")
 
     return clean(text.cast("string"))
+
+
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """``docs`` with redacted texts and, where a text changed, its length in ``n_chars``; other columns stay as they are."""
+    mark = next(n for i in range(len(docs.columns) + 1) if (n := f"clean_{i}") not in docs.columns)
+    changed = ~F.col(mark).eqNullSafe(F.col("text"))
+    out = {"text": F.col(mark), "n_chars": F.when(changed, F.length(mark).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
+    return docs.withColumn(mark, redact(F.col("text"))).select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
