@@ -6,8 +6,8 @@ dictionary; the language whose blocks come out smallest in sum is chosen, the co
 Blocks keep a long text from becoming its own dictionary, so all of it bears on the choice. A choice
 is confident unless the runner-up is about as small.
 
-Dictionaries hold at most ``DICTIONARY_BYTES`` per language, from the whole texts of the documents with
-the smallest hashes; that bound is the only one.
+Dictionaries hold at most ``DICTIONARY_BYTES`` per language, from up to ``PART_CHARS`` of each of the
+``SAMPLE`` documents with the smallest hashes. Only fitting is bounded; texts are judged whole.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 DICTIONARY_BYTES = 100_000
 #: Documents per language that the dictionaries are cut from.
 SAMPLE = 200
+PART_CHARS = 10_000
 BLOCK_BYTES = 4_000
 LEVEL = 5
 #: Bytes saved that make a language e times likelier, and the least probability of a confident choice.
@@ -40,11 +41,11 @@ def dictionaries(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY_B
     Null or empty texts, null languages and documents held out (crc32 of the id divisible by 5) are not used.
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
-    usable = docs.where("lang is not null and length(text) between 50 and 20000").where(~held_out)
+    usable = docs.where("lang is not null and length(text) > 0").where(~held_out)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
     picks = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("draw")).withColumn("rank", rank).where(F.col("rank") <= sample)
     ids = F.broadcast(picks.select("doc_id", "draw"))  # at most ``sample`` per language
-    rows = usable.join(ids, "doc_id").select("lang", "draw", "text").toPandas().sort_values(["lang", "draw", "text"])
+    rows = usable.join(ids, "doc_id").select("lang", "draw", F.substring("text", 1, PART_CHARS).alias("text")).toPandas().sort_values(["lang", "draw", "text"])
     common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     words, out = re.compile(_WORD), {}
     for lang in (r["lang"] for r in common):

@@ -80,13 +80,13 @@ def _shrunk(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
 def reputations(hosts: DataFrame, outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Posterior per row of ``hosts`` (host, distinct): mean, bound and outcome count n.
 
-    ``outcomes`` has host, n and good. With no outcomes at all every mean is one half.
+    ``outcomes`` has host, n and good. With no outcomes at all every mean is one.
     """
     counted = hosts.join(outcomes, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(0)).alias("good"))
     ending = suffix(F.col("host"), suffixes)
     leaves = stored(counted.withColumn("suffix", ending).withColumn("domain", registered_domain(F.col("host"), F.col("suffix"))), "hosts")
     total = leaves.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
-    every = ((total["good"] or 0) + 1) / ((total["n"] or 0) + 2)
+    every = ((total["good"] or 0) + 1) / ((total["n"] or 0) + 1)
     top = leaves.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("root", F.lit(1))
     root = hosts.sparkSession.createDataFrame([(1, every)], "root int, mean double")
     tops = stored(_shrunk(top, root, "root"), "suffixes")
@@ -153,7 +153,7 @@ def oracle() -> str:
             select *, case when length(host) > length(suffix) + 1
                            then split_part(left(host, length(host) - length(suffix) - 1), '.', -1) || '.' || suffix else host end as domain
             from endings),
-        root as (select 1 as root, (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) as mean from leaves),
+        root as (select 1 as root, (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 1) as mean from leaves),
         top_counts as (select suffix, sum(n) as n, sum(good) as good, 1 as root from leaves group by suffix),
         {level("tops", "top_counts", "root", "root")},
         middle_counts as (select domain, suffix, sum(n) as n, sum(good) as good from leaves group by all),
