@@ -9,7 +9,6 @@ on part of the columns and the rest must come from defaults and the baseline.
 from __future__ import annotations
 
 import re
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -247,6 +246,16 @@ from {fleet_columns}
 """
 
 
+#: A survey whose gate comes after ten answers and empties seventy columns.
+INPUTS["gated_survey"] = f"""
+select o_orderkey as respondent, case when o_orderkey % 2 = 0 then 'f' else 'm' end as gender,
+  {", ".join(f"cast((o_orderkey * {k + 3} + o_custkey) % 5 as string) as a_{k}" for k in range(1, 11))},
+  case when o_custkey % 3 = 0 then 'yes' else 'no' end as gate,
+  {", ".join(f"case when o_custkey % 3 = 0 then cast((o_orderkey + {k}) % 4 as string) when {k} % 2 = 0 then '' end as g_{k}" for k in range(1, 71))}
+from {{orders}}
+"""
+
+
 def depends_on(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", sql)))
 
@@ -259,7 +268,7 @@ class Tables:
         self._kept: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(str(Path(self.folder) / f"{name}.parquet"))
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
         tables = {n: self.table(n) if n not in INPUTS else self.input(n) for n in depends_on(text)}
@@ -276,7 +285,7 @@ class Tables:
 
 def with_inputs(body: str, *names: str) -> str:
     """Oracle text: the named inputs as CTEs in front of ``body``."""
-    ctes = [f"{n} as ({re.sub(r'[{](\w+)[}]', r'\1', INPUTS[n])})" for n in names]
+    ctes = [f"{n} as materialized ({re.sub(r'[{](\w+)[}]', r'\1', INPUTS[n])})" for n in names]
     text = body.strip()
     if not ctes:
         return text

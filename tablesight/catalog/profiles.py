@@ -27,7 +27,8 @@ def missing(v="value"):
 
 
 def number(v="value"):
-    return f"regexp_replace({v}, '[$€£,\\s]', '', 'g')"
+    plain = t(f"regexp_replace({v}, '[$€£]', '', 'g')")
+    return f"case when regexp_full_match({plain}, '[-+]?[0-9]{{1,3}}(,[0-9]{{3}})+([.][0-9]*)?') then replace({plain}, ',', '') else {plain} end"
 
 
 def is_number(v="value"):

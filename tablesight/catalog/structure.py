@@ -236,8 +236,12 @@ parsed as (select run_id, column_name, regexp_extract(column_name, '{_MEMBER}',
    lower(regexp_extract(column_name, '{_MEMBER}', 2, 'i')) as keyword,
    try_cast(regexp_extract(column_name, '{_MEMBER}', 3, 'i') as bigint) as idx
   from fleet_columns where regexp_matches(column_name, '[0-9]$') and not regexp_matches(column_name, '(?i)^(unnamed: ?[0-9]+|index)$')),
-fams as (select run_id, raw_stem, keyword, case when raw_stem = '' then {x1("keyword")} else {x1("raw_stem")} end as family_id,
-   count(*) as n, list(column_name order by idx, column_name) as cols from parsed group by all)
+alike as (select run_id, raw_stem, keyword, case when raw_stem = '' then {x1("keyword")} else {x1("raw_stem")} end as plain_id,
+   count(*) as n, list(column_name order by idx, column_name) as cols from parsed group by all),
+worded as (select * exclude (plain_id), case when n >= 2 and keyword <> ''
+     and row_number() over (partition by run_id, plain_id, n >= 2 order by keyword, raw_stem) > 1 then plain_id || '_' || keyword else plain_id end as word_id from alike),
+numbered as (select *, row_number() over (partition by run_id, word_id, n >= 2 order by keyword, raw_stem) as place from worded),
+fams as (select * exclude (word_id, place), case when n >= 2 and place > 1 then word_id || '_' || place else word_id end as family_id from numbered)
 """
 
 
@@ -405,6 +409,31 @@ def a16_skip_logic(tb):
     return _skip(tb)
 
 
+SURVEY_TRIGGERS = ["gender", *[f"a_{k}" for k in range(1, 11)], "gate"]
+SURVEY_TARGETS = [f"g_{k}" for k in range(1, 71)]
+
+
+@query("a16_skip_logic_wide", f"""
+with long as (
+  select u.t.name as trigger_column, u.t.value as level, g.t.name as target, g.t.gap as gap
+  from gated_survey, unnest([{", ".join(f"struct_pack(name := '{c}', value := {c})" for c in SURVEY_TRIGGERS)}]) as u(t),
+   unnest([{", ".join(f"struct_pack(name := '{c}', gap := {p.missing(c)})" for c in SURVEY_TARGETS)}]) as g(t)),
+lv as (select trigger_column, target, level, count(*) as n, count(case when gap then 1 end) as m from long group by all),
+tot as (select trigger_column, target, sum(n) as all_n, sum(m) as all_m from lv group by all),
+conds as (
+ select trigger_column, target, level, '=' as op, n as cn, m as cm, all_n, all_m from lv join tot using (trigger_column, target)
+ union all select trigger_column, target, level, '<>', all_n - n, all_m - m, all_n, all_m from lv join tot using (trigger_column, target)),
+rules as (select 'survey' as run_id, trigger_column, level as trigger_value, op as trigger_test, target as affected_column,
+  round(100.0 * cast(cm as double) / all_m, 6) as missing_explained_pct,
+  case when cm::double / cn >= 0.95 and ((all_n - cn) - (all_m - cm))::double / (all_n - cn) >= 0.95 then 'bidirectional'
+       when cm::double / cn >= 0.95 then 'forward' else 'partial' end as directionality
+  from conds where all_m > 0 and cn > 0 and all_n > cn)
+select * from rules where missing_explained_pct >= 90 and (trigger_test = '=' or directionality <> 'partial')
+""", ("gated_survey",))
+def a16_skip_logic_wide(tb):
+    return structure.all_skip_logic(tb.input("gated_survey"), "survey", SURVEY_TRIGGERS, SURVEY_TARGETS)
+
+
 @query("a16_skip_summary", f"""
 with {_SKIP_SQL}
 select run_id, trigger_column, trigger_test, trigger_value, count(*) as affected_column_count, '' as affected_family_ids,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablesight import vocab
 
+GROUPED = r"^[-+]?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]*)?$"
 NUMBER = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
 INTEGRAL = r"^[-+]?[0-9]+(\.0*)?$"
 RANGE = r"^[0-9A-Za-z.]+ *(~| to ) *[0-9A-Za-z.]+$"
@@ -62,8 +63,14 @@ def bare_number(c: Column) -> Column:
     return F.translate(c, "$€£," + _SPACES, "")
 
 
+def read_number(c: Column) -> Column:
+    """Cell text as a plain number would be written: commas count as thousands groups only, blanks inside never."""
+    text = trimmed(F.translate(c, "$€£", ""))
+    return F.when(text.rlike(GROUPED), F.replace(text, F.lit(","), F.lit(""))).otherwise(text)
+
+
 def as_double(c: Column) -> Column:
-    text = bare_number(c)
+    text = read_number(c)
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 

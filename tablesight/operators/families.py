@@ -6,7 +6,7 @@ dataset, so a group is never larger than one table is wide.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesight.functions import cells
@@ -44,11 +44,21 @@ def _members(catalog: DataFrame) -> DataFrame:
 
 
 def families(catalog: DataFrame) -> DataFrame:
-    """One row per family with its signature fields and ordered members."""
+    """One row per family with its signature fields and ordered members.
+
+    An id is used once per run: of families whose names come out alike, the later ones are told apart
+    by their keyword, and if that is not enough by a number.
+    """
     packed = F.array_sort(F.collect_list(F.struct("repeat_index", "column")))
     grouped = _members(catalog).groupBy("run_id", "raw_stem", "keyword", "family_id").agg(
         F.transform(packed, lambda m: m["column"]).alias("columns"))
-    return grouped.filter(F.size("columns") >= 2).select(
+    alike = Window.partitionBy("run_id", "family_id").orderBy("keyword", "raw_stem")
+    place = lambda: F.row_number().over(alike)
+    named = grouped.filter(F.size("columns") >= 2).withColumn("place", place()).withColumn(
+        "family_id", F.when((F.col("place") > 1) & (F.col("keyword") != ""), F.concat_ws("_", "family_id", "keyword")).otherwise(F.col("family_id")))
+    distinct = named.withColumn("place", place()).withColumn(
+        "family_id", F.when(F.col("place") > 1, F.concat_ws("_", "family_id", F.col("place").cast("string"))).otherwise(F.col("family_id")))
+    return distinct.select(
         "run_id", "family_id", "raw_stem",
         cells.family_id(F.col("raw_stem")).alias("normalized_stem"),
         F.when(F.col("keyword") != "", "suffix_keyword_numeric").otherwise("suffix_numeric").alias("pattern_kind"),

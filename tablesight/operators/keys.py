@@ -8,7 +8,9 @@ therefore reaches the final stage as one row per input partition.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +21,8 @@ KeySets = Sequence[Sequence[str]]
 
 
 def _prints(columns: Sequence[str]) -> list[Column]:
-    """Two independent 64-bit fingerprints of the given columns."""
-    cols = [F.col(f"`{c}`") for c in columns]
+    """Two independent 64-bit fingerprints of the given columns; where a null stands counts, though hashing skips nulls."""
+    cols = [x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
     return [F.xxhash64(*cols).alias("print_a"), F.xxhash64(F.lit("second"), *cols).alias("print_b")]
 
 
@@ -99,15 +101,14 @@ def single_key_seeds(stats: DataFrame, k: int = 12) -> DataFrame:
     return seeds.withColumn("seed_rank", F.row_number().over(order)).filter(F.col("seed_rank") <= k)
 
 
-def worthwhile_pairs(columns: Sequence[str], distinct: dict[str, int], n_rows: int, max_pairs: int = 28) -> list[tuple[str, str]]:
-    """Column pairs that could identify rows, from column counts alone.
+def worthwhile_sets(columns: Sequence[str], distinct: dict[str, int], n_rows: int, size: int = 2) -> list[tuple[str, ...]]:
+    """Sets of ``size`` columns that could identify rows, from column counts alone.
 
-    A column that is unique by itself makes every pair with it unique, and a pair whose distinct
-    counts multiply to less than the rows cannot be unique; neither needs a pass over the data.
+    A column that is unique by itself makes every set with it unique, and a set whose distinct counts
+    multiply to less than the rows cannot be unique; neither needs a pass over the data.
     """
     open_ = [c for c in columns if distinct[c] < n_rows]
-    pairs = [(a, b) for i, a in enumerate(open_) for b in open_[i + 1:] if distinct[a] * distinct[b] >= n_rows]
-    return pairs[:max_pairs]
+    return [s for s in combinations(open_, size) if math.prod(distinct[c] for c in s) >= n_rows]
 
 
 def pair_key_seeds(df: DataFrame, run_id: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -136,7 +137,8 @@ def _attribute_prints(df: DataFrame, key_sets: KeySets, attributes: Sequence[str
     used = sorted({k for s in key_sets for k in s})
     prints = []
     for i, a in enumerate(attributes):
-        prints += [F.xxhash64(F.col(f"`{a}`")).alias(f"a_{i}"), F.xxhash64(F.lit("second"), F.col(f"`{a}`")).alias(f"b_{i}")]
+        both = F.col(f"`{a}`").isNull(), F.col(f"`{a}`")
+        prints += [F.xxhash64(*both).alias(f"a_{i}"), F.xxhash64(F.lit("second"), *both).alias(f"b_{i}")]
     return df.select(*[F.col(f"`{k}`") for k in used], *prints)
 
 
@@ -215,8 +217,8 @@ def dependencies(df: DataFrame, run_id: str, determinants: Sequence[str], depend
     columns = list(dict.fromkeys([*determinants, *dependents]))
     base = df.select(*[F.col(f"`{c}`") for c in columns])
     for i, y in enumerate(dependents):
-        base = base.withColumn(f"a_{i}", F.xxhash64(F.col(f"`{y}`"))).withColumn(
-            f"b_{i}", F.xxhash64(F.lit("second"), F.col(f"`{y}`")))
+        both = F.col(f"`{y}`").isNull(), F.col(f"`{y}`")
+        base = base.withColumn(f"a_{i}", F.xxhash64(*both)).withColumn(f"b_{i}", F.xxhash64(F.lit("second"), *both))
     groups = _grouped(base, [[x] for x in determinants], [
         ((F.min(f"a_{i}") == F.max(f"a_{i}")) & (F.min(f"b_{i}") == F.max(f"b_{i}"))).alias(f"one_{i}")
         for i in range(len(dependents))

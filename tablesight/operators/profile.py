@@ -176,7 +176,7 @@ def parse_shares(hist: DataFrame) -> DataFrame:
     value, text = F.col("value"), cells.trimmed(F.col("value"))
     flags = {
         "numeric": cells.as_double(value).isNotNull(),
-        "integral": cells.bare_number(value).rlike(cells.INTEGRAL),
+        "integral": cells.read_number(value).rlike(cells.INTEGRAL),
         "datetime": cells.as_datetime(value).isNotNull(),
         "time_of_day": text.rlike(cells.DATETIME_FORMATS[0][0]) | text.rlike(cells.DATETIME_FORMATS[1][0]),
         "boolean": cells.as_boolean(value).isNotNull(),

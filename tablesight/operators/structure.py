@@ -47,6 +47,50 @@ def roles(shares: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def gap_groups(df: DataFrame, targets: Sequence[str]) -> list[list[str]]:
+    """Columns of ``targets`` that are missing in the same rows, by sums of row hashes over those rows.
+
+    One aggregation without a key, so one short row per input partition is shuffled.
+    """
+    rows = [F.xxhash64(F.lit(seed), *[x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]) for seed in (1, 2)]
+    base = df.select(*[h.cast("decimal(38,0)").alias(f"row_{i}") for i, h in enumerate(rows)],
+                     *[cells.is_missing(F.col(f"`{c}`").cast("string")).alias(f"gap_{i}") for i, c in enumerate(targets)])
+    sums = base.agg(*[F.struct(F.sum(F.when(F.col(f"gap_{i}"), F.col("row_0"))), F.sum(F.when(F.col(f"gap_{i}"), F.col("row_1")))).alias(f"m_{i}")
+                      for i in range(len(targets))]).first()
+    groups: dict[tuple, list[str]] = {}
+    for i, c in enumerate(targets):
+        groups.setdefault(tuple(sums[f"m_{i}"]), []).append(c)
+    return list(groups.values())
+
+
+#: Targets and triggers of one aggregation; more are taken in turn.
+TARGETS_AT_ONCE, TRIGGERS_AT_ONCE = 20, 40
+
+
+def all_skip_logic(df: DataFrame, run_id: str, triggers: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """``skip_logic`` of every trigger with every target, however many there are.
+
+    Columns missing in the same rows follow the same rules, so one of each such group is tested and its
+    rules hold for all; a second one stands in where the tested column is itself the trigger.
+    """
+    rules, stand_in = None, {}
+    for group in gap_groups(df, targets) if targets else []:
+        first = next((c for c in group if c not in triggers), group[0])
+        for c in (first, *([g for g in group if g != first][:1] if first in triggers else [])):
+            stand_in[c] = group
+    tested = list(stand_in)
+    for a in range(0, len(tested), TARGETS_AT_ONCE):
+        for b in range(0, len(triggers), TRIGGERS_AT_ONCE):
+            part = skip_logic(df, run_id, triggers[b : b + TRIGGERS_AT_ONCE], tested[a : a + TARGETS_AT_ONCE])
+            rules = part if rules is None else rules.unionByName(part)
+    if rules is None:
+        raise ValueError("skip logic needs a trigger and a target")
+    pairs = [(c, member) for c, group in stand_in.items() for member in group]
+    members = df.sparkSession.createDataFrame(pairs, "tested string, affected_column string")
+    named = rules.withColumnRenamed("affected_column", "tested").join(F.broadcast(members), "tested")  # one row per column
+    return named.where(F.col("trigger_column") != F.col("affected_column")).select(*rules.columns).distinct()
+
+
 def skip_logic(df: DataFrame, run_id: str, triggers: Sequence[str], targets: Sequence[str]) -> DataFrame:
     """Trigger levels that decide whether another column is filled.
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,18 +18,24 @@ from tablesight.sources import tables
 
 @dataclass(frozen=True)
 class Options:
-    """Bounds on how many *columns* enter the pairwise searches. Rows are never sampled or capped."""
-
-    key_columns: int = 6
-    stress_attributes: int = 20
-    dependency_columns: int = 8
-    trigger_columns: int = 8
-    target_columns: int = 64
-    constraint_columns: int = 5
+    """What the bundle reports. ``key_columns`` is how many of the best key seeds are combined into pairs
+    and threes; every other search takes all columns its rule admits, in chunks."""
+
+    key_columns: int = 12
     glimpse_rows: int = 3
     preferred_grain: Sequence[str] | None = None
 
 
+#: Key sets, attributes and claims of one aggregation; more are taken in turn.
+KEY_SETS_AT_ONCE, ATTRIBUTES_AT_ONCE, CLAIMS_AT_ONCE = 40, 40, 400
+
+
+def _chunked(items: Sequence, size: int, run: Callable[[Sequence], DataFrame]) -> DataFrame:
+    """The union of ``run`` over parts of ``items``, each part computed and cut off before the next."""
+    parts = [cut(run(items[a : a + size])) for a in range(0, len(items), size)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Options = Options()) -> dict[str, DataFrame]:
     """Artifact frames by id. ``df`` is read once for the histogram and once per structural test.
 
@@ -53,18 +60,22 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
     by_key = sorted((c for c in usable if c not in member_names), key=lambda c: (-facts[c]["unique_ratio"], facts[c]["missing_pct"], c))
     seeds = by_key[: options.key_columns]
     few = [c for c in usable if 2 <= facts[c]["unique_count"] <= vocab.LOW_CARDINALITY]
-    gaps = [c for c in usable if facts[c]["missing_pct"] > 0][: options.target_columns]
-    triggers = [c for c in usable if 2 <= facts[c]["unique_count"] <= vocab.CODED_LEVELS and facts[c]["missing_pct"] < 50][: options.trigger_columns]
-    linked = (few + seeds)[: options.dependency_columns]
+    gaps = [c for c in usable if facts[c]["missing_pct"] > 0]
+    triggers = [c for c in usable if 2 <= facts[c]["unique_count"] <= vocab.CODED_LEVELS and facts[c]["missing_pct"] < 50]
+    linked = list(dict.fromkeys([*(c for c in few if c not in member_names), *seeds]))
 
     n_rows = max((f["n_rows"] for f in facts.values()), default=0)
-    pairs = keys.worthwhile_pairs(seeds, {c: facts[c]["unique_count"] for c in seeds}, n_rows)
-    sets = [[c] for c in seeds] + [list(p) for p in pairs]
+    counts = {c: facts[c]["unique_count"] for c in seeds}
+    sets = [[c] for c in seeds] + [list(p) for p in keys.worthwhile_sets(seeds, counts, n_rows)]
+    tested = _chunked(sets, KEY_SETS_AT_ONCE, lambda part: keys.grain_tests(text, run_id, part))
+    threes = [list(p) for p in keys.worthwhile_sets(seeds, counts, n_rows, 3)]
+    if threes and tested.filter("pivot_safety").isEmpty():  # wider keys matter only where no narrower one identifies rows
+        tested = cut(tested.unionByName(_chunked(threes, KEY_SETS_AT_ONCE, lambda part: keys.grain_tests(text, run_id, part))))
     tests = cut(keys.ranked_grains(keys.reject_fake_grains(
-        keys.grain_tests(text, run_id, sets),
+        tested,
         catalog.join(members, ["run_id", "column"], "left").withColumn("is_export_index", F.col("column").isin(*indexes) if indexes else F.lit(False)))))
     best = [r["keys_tested"].split(",") for r in tests.filter("grain_rank = 1").collect()]
-    stress = cut(keys.key_stress(text, run_id, [[c] for c in seeds[:3]], [c for c in usable][: options.stress_attributes]))
+    stress = _chunked(usable, ATTRIBUTES_AT_ONCE, lambda part: keys.key_stress(text, run_id, [[c] for c in seeds], part))
     out: dict[str, DataFrame] = {
         "A1": tables.manifest(df, run_id, source),
         "A2": profile.a2_rows(hist, shares).join(catalog, ["run_id", "column"]),
@@ -74,7 +85,7 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
         "A4.global_tokens": profile.global_tokens(hist),
         "A5.single_column_key_seed_candidates": keys.single_key_seeds(stats),
         # the pairs are among the tested grains, so their seeds are read off those tests
-        "A5.pair_key_seed_candidates": tests.filter(F.col("keys_tested").contains(",")).select(
+        "A5.pair_key_seed_candidates": tests.filter(F.size(F.split("keys_tested", ",")) == 2).select(
             "run_id", F.col("keys_tested").alias("pair"), "n_groups", F.col("uniqueness_rate").alias("pair_ratio")),
         "A5.candidate_key_stress_tests": stress,
         "A5.invariant_candidates_checked": keys.invariants(stress),
@@ -98,7 +109,8 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
     if best:
         out["A7.key_collisions"] = keys.key_collisions(text, run_id, best[0])
     if len(linked) > 1:
-        out["A10.dependency_candidates"] = keys.dependencies(text, run_id, linked, linked)
+        out["A10.dependency_candidates"] = _chunked(linked, KEY_SETS_AT_ONCE, lambda xs: _chunked(
+            linked, ATTRIBUTES_AT_ONCE, lambda ys: keys.dependencies(text, run_id, xs, ys)))
         twins = keys.candidate_column_pairs(hist, usable)
         if twins:
             out["A10.near_duplicate_candidates"] = keys.near_duplicate_columns(text, run_id, twins)
@@ -108,20 +120,21 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
     if hot_blocks:
         out["A10.one_hot_blocks"] = keys.one_hot_blocks(text, run_id, hot_blocks)
     time = [c for c in usable if facts[c]["datetime_share"] >= vocab.TYPE_SHARE]
-    drift_rows = quality.select("run_id", "column", F.lit(0.0).alias("drift_distance"), F.lit(False).alias("drift_detected"))
+    drift_rows = quality.select("run_id", "column", F.lit(None).cast("double").alias("drift_distance"), F.lit(None).cast("boolean").alias("drift_detected"))
     if time and few:
         at = text.withColumn("order_time", cells.as_datetime(F.col(f"`{time[0]}`")))
         drift_rows = profile.drift(at, run_id, "order_time", few)
-    out["A14.columns"] = quality.join(drift_rows, ["run_id", "column"], "left").na.fill({"drift_distance": 0.0}).withColumn(
-        "drift_detected", F.coalesce("drift_detected", F.lit(False)))
-    numeric = [c for c in usable if facts[c]["numeric_share"] >= vocab.TYPE_SHARE and c not in member_names][: options.constraint_columns]
-    moments = time[: options.constraint_columns]
+    out["A14.columns"] = quality.join(drift_rows, ["run_id", "column"], "left")  # null: not tested for drift
+    numeric = [c for c in usable if facts[c]["numeric_share"] >= vocab.TYPE_SHARE and c not in member_names]
+    moments = time
     orderings = [(a, b) for group in (numeric, moments) for a in group for b in group if a != b]
     if orderings:
         typed = text.select(*[cells.as_double(F.col(f"`{c}`")).alias(c) for c in numeric],
                             *[cells.as_datetime(F.col(f"`{c}`")).alias(c) for c in moments])
         sums = [(a, b, c) for i, a in enumerate(numeric) for b in numeric[i + 1:] for c in numeric if c not in (a, b)]
-        out["A10.deterministic_constraints"] = keys.constraints(typed, run_id, orderings, sums)
+        claims = [("order", o) for o in orderings] + [("sum", s) for s in sums]
+        out["A10.deterministic_constraints"] = _chunked(claims, CLAIMS_AT_ONCE, lambda part: keys.constraints(
+            typed, run_id, [c for kind, c in part if kind == "order"], [c for kind, c in part if kind == "sum"]))
     if blocks and triggers:
         levels: dict[str, list[str]] = {}
         for row in profile.top_levels(hist, vocab.CODED_LEVELS).filter(F.col("column").isin(*triggers)).orderBy("column", "level_rank").collect():
@@ -133,7 +146,7 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
                 joined = joined.unionByName(part)
             out["A10.family_screening_correlations"] = joined.filter("correlation is not null")
     none = "run_id string, trigger_column string, trigger_value string, trigger_test string, affected_column string, missing_explained_pct double, directionality string"
-    rules = structure.skip_logic(text, run_id, triggers, gaps) if triggers and gaps else df.sparkSession.createDataFrame([], none)
+    rules = structure.all_skip_logic(text, run_id, triggers, gaps) if triggers and gaps else df.sparkSession.createDataFrame([], none)
     out["A16.detected_skip_logic"] = rules = cut(rules)
     out["A16.summary"] = structure.skip_summary(rules, members)
     out["A16.master_switch_candidates"] = structure.master_switches(rules)

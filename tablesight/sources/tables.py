@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from tablesight import vocab
 
 
-def ingest_delimited(spark: SparkSession, path: str | Sequence[str], delimiter: str = ",") -> DataFrame:
+def ingest_delimited(spark: SparkSession, path: str | Sequence[str], delimiter: str = ",", multi_line: bool = True) -> DataFrame:
     """Every cell as the text it was written with; no type inference, quoted newlines kept.
 
-    Quoted newlines make one file unsplittable, so give Spark many files rather than one large one.
+    Quoted newlines make one file unsplittable, so give Spark many files rather than one large one, or
+    set ``multi_line`` to false where no cell holds a newline, and large files are split.
     """
     return (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", delimiter)
+        spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("sep", delimiter)
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .option("inferSchema", False).csv(path)
     )
@@ -27,7 +28,7 @@ def manifest(df: DataFrame, run_id: str | Column, source: str, schema_of: Sequen
     columns = list(schema_of or df.columns)
     schema = "{" + ",".join(f'"{f.name}":"{f.dataType.simpleString()}"' for f in df.schema.fields if f.name in columns) + "}"
     run = F.lit(run_id) if isinstance(run_id, str) else run_id
-    digest = F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("decimal(38,0)")
+    digest = F.xxhash64(*[x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]).cast("decimal(38,0)")
     return df.groupBy(run.alias("run_id")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(digest).cast("string").alias("content_checksum")
     ).withColumns({"n_columns": F.lit(len(columns)).cast("bigint"), "schema_json": F.lit(schema), "source": F.lit(source)})
