@@ -18,7 +18,7 @@ from tablesight.plans.shared import stored
 
 WORDS = 5
 #: One in so many hashes is kept.
-SCALE = 4
+SCALE = 8
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -92,18 +92,20 @@ def edited_fingerprints(docs: DataFrame, words: int = WORDS, scale: int = SCALE)
     than doc_id and text are not read.
     """
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"))
+    number = F.col("doc_id") if docs.schema["doc_id"].dataType.simpleString() == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(number, body.alias("text"))
     need = F.floor(F.length("text") / 4).cast("int")
     ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max(need).alias("need"))
     order = _successors(ids)
-    sketched = rows.withColumn("own", sketch(F.col("text"), words, scale))
-    known = sketched.where("doc_id is not null").join(stored(order, "id-order"), "doc_id")
-    donated = known.groupBy(F.col("previous").alias("doc_id")).agg(
-        F.min(F.struct(F.expr("substring(text, 1, previous_need)").alias("text"), "own")).alias("next"),
-    )
-    paired = known.select("doc_id", "text", "own").join(donated, "doc_id")
-    loose = sketched.where("doc_id is null").withColumn("next", F.struct("text", "own"))
-    both = paired.unionByName(loose)
+    own = sketch(F.col("text"), words, scale)
+    named = rows.where("doc_id is not null")
+    known = named.join(stored(order, "id-order").hint("merge"), "doc_id")
+    donor = F.struct(F.expr("substring(text, 1, previous_need)").alias("text"), own.alias("own"))
+    donated = known.groupBy(F.col("previous").alias("doc_id")).agg(F.min(donor).alias("next"))
+    # both joins read one exchange of the texts, since sketches are made above it
+    paired = named.join(donated.hint("merge"), "doc_id").withColumn("own", own)
+    loose = rows.where("doc_id is null").withColumn("own", own).withColumn("next", F.struct("text", "own"))
+    both = paired.unionByName(loose.select(paired.columns))
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("substring(next.text, 1, cast(floor(length(text) / 4) as int))"))
     made = both.withColumn("edited", edited).withColumn("changed", sketch(F.col("edited"), words, scale))
     return made.select(
