@@ -458,7 +458,9 @@ def a16_master_switch(tb):
 
 @query("a12_layout_candidates", f"""
 with {_grain_sql()}
-select run_id, keys_tested as grain, cast(10 as bigint) as base_columns, cast(1 as bigint) as child_tables, cast(0 as bigint) as coverage_gap_columns,
+select run_id, keys_tested as layout_id, keys_tested as grain, keys_tested as grain_keys,
+ (select string_agg(column_name || ':' || case when column_name = 'l_linenumber' then 'line' else 'base' end, ',' order by column_name)
+  from (describe lineitem)) as column_placements, cast(10 as bigint) as base_columns, cast(1 as bigint) as child_tables, cast(0 as bigint) as coverage_gap_columns,
  keys_tested = 'l_orderkey,l_linenumber' as preferred_grain_match,
  round(0.6 * uniqueness_rate + 0.3 * (1 - non_key_conflict_group_pct / 100) + case when pivot_safety then 0.1 else 0.0 end, 6) as score,
  case when uniqueness_rate < 1 then 'grain_not_unique' else '' end as ambiguities
@@ -470,7 +472,10 @@ def a12_layout_candidates(tb):
     role_rows = families.column_catalog(line, "lineitem").withColumn("primary_role", F.lit(""))
     members = role_rows.filter("column = 'l_linenumber'").select("run_id", "column", F.lit("line").alias("family_id"))
     preferred = line.sparkSession.createDataFrame([("lineitem", ["l_linenumber", "l_orderkey"])], "run_id string, keys array<string>")
-    return structure.layout_candidates(ranked, role_rows, members, preferred).withColumn("ambiguities", F.array_join("ambiguities", ","))
+    out = structure.layout_candidates(ranked, role_rows, members, preferred)
+    placed = F.transform("column_placements", lambda x: F.concat_ws(":", x["column"], x["table"]))
+    return out.withColumns({"ambiguities": F.array_join("ambiguities", ","), "grain_keys": F.array_join("grain_keys", ","),
+                            "column_placements": F.array_join(placed, ",")})
 
 
 _A17 = f"""

@@ -157,11 +157,13 @@ def layout_candidates(ranked: DataFrame, role_rows: DataFrame, members: DataFram
     """One layout per tested grain: what would sit in the base table, in child tables, or nowhere."""
     columns = role_rows.select("run_id", "column", "primary_role").join(
         members.select("run_id", "column", "family_id"), ["run_id", "column"], "left")
+    table = F.when(F.col("column").rlike(cells.EXPORT_INDEX), "none").otherwise(F.coalesce("family_id", F.lit("base")))
     shape = columns.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_columns"),
         F.count_if(F.col("family_id").isNull()).alias("base_columns"),
         F.count_distinct("family_id").alias("child_tables"),
         F.count_if(F.col("column").rlike(cells.EXPORT_INDEX)).alias("coverage_gap_columns"),
+        F.array_sort(F.collect_list(F.struct("column", table.alias("table")))).alias("column_placements"),  # as long as the table is wide
     )
     out = cut(ranked).join(shape, "run_id")  # a few rows per run, and costly to recompute
     match = F.lit(False)
@@ -171,7 +173,8 @@ def layout_candidates(ranked: DataFrame, role_rows: DataFrame, members: DataFram
     score = 0.6 * F.col("uniqueness_rate") + 0.3 * (1 - F.col("non_key_conflict_group_pct") / 100) + F.when(
         F.col("pivot_safety"), 0.1).otherwise(0.0)
     return out.select(
-        "run_id", F.col("keys_tested").alias("grain"), "base_columns", "child_tables", "coverage_gap_columns",
+        "run_id", F.col("keys_tested").alias("layout_id"), F.col("keys_tested").alias("grain"),
+        F.split("keys_tested", ",").alias("grain_keys"), "column_placements", "base_columns", "child_tables", "coverage_gap_columns",
         match.alias("preferred_grain_match"), F.round(score, 6).alias("score"),
         F.when(F.col("uniqueness_rate") < 1, F.array(F.lit("grain_not_unique"))).otherwise(F.array().cast("array<string>")).alias("ambiguities"),
     )

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesight.operators import families, prune
@@ -190,10 +191,44 @@ def _only_present(spec: Scope, df: DataFrame) -> Scope:
                     "at_most": {k: v for k, v in spec.at_most.items() if k in have}})
 
 
+#: Fields that rank an artifact's rows, best first, and those whose larger absolute value comes first.
+RANKS = ("seed_rank", "time_rank", "grain_rank", "rank")
+STRENGTHS = ("strength", "correlation", "score", "drift_pct", "missing_explained_pct", "governed_columns", "held_share")
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """``df`` with ``ordinal``, its place in its run by rank, strength and then every plain field.
+
+    Artifact frames have a row per column or per pair of columns, so a run is never longer than that.
+    """
+    kinds = dict(df.dtypes)
+    plain = [c for c in df.columns if c != "run_id" and not kinds[c].startswith(("array", "map", "struct"))]
+    order = [F.col(c) for c in RANKS if c in kinds] + [F.abs(F.col(c)).desc_nulls_last() for c in STRENGTHS if c in kinds]
+    order += [F.col(f"`{c}`") for c in plain] + [F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))]
+    return df.withColumn("ordinal", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)) - 1)
+
+
+def scope_buckets(artifacts: dict[str, DataFrame], best_grain: DataFrame | None) -> DataFrame | None:
+    """The scope lists that the artifacts themselves give, or None where the evidence for them is not there."""
+    sources = ("A3-T.items", "A3-V.items", "A9.columns", "A16.detected_skip_logic", "A17.columns")
+    if any(s not in artifacts for s in sources):
+        return None
+    parts = [prune.auto_scope(*[artifacts[s] for s in sources[:4]], prune.reviewer_focus(artifacts["A17.columns"]))]
+    zero = F.lit(0).cast("long").alias("rank")
+    if best_grain is not None:
+        a17 = artifacts["A17.columns"]
+        none = best_grain.where("false")
+        forced = prune.force_include(best_grain, none, none.select("run_id", F.lit("").alias("parent_key")), a17)
+        parts.append(forced.select("run_id", F.lit(FORCE).alias("bucket"), F.col("column").alias("name"), zero))
+    if "A8.families" in artifacts:
+        parts.append(artifacts["A8.families"].select("run_id", F.lit(FAMILY_IDS).alias("bucket"), F.col("family_id").alias("name"), zero))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def apply_view(df: DataFrame, view: View, buckets: DataFrame | None = None, found: DataFrame | None = None,
                preferred: DataFrame | None = None, best_grain: DataFrame | None = None) -> dict[str, DataFrame]:
     """One artifact through its view; a grounding view yields two frames, any other yields one."""
-    out = df if "ordinal" in df.columns else df.withColumn("ordinal", F.lit(0))
+    out = df if "ordinal" in df.columns else in_order(df)
     if view.compact and view.compact[0] in out.columns:
         out = prune.compact_keyed_arrays(out, *view.compact)
     if view.preview_roles and "role_candidates" in out.columns:
@@ -227,7 +262,20 @@ def apply_view(df: DataFrame, view: View, buckets: DataFrame | None = None, foun
 def worker_view(profile: str, artifacts: dict[str, DataFrame], buckets: DataFrame | None = None,
                 found: DataFrame | None = None, preferred: DataFrame | None = None,
                 best_grain: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Every artifact of a profile that is present, pruned. Stored artifacts are not changed."""
+    """Every artifact of a profile that is present, pruned. Stored artifacts are not changed.
+
+    What is not given is read off the artifacts: the best grain from A6, the
+    preferred one from A12 or else the best, the families from A8, the scope buckets from A3, A9, A16, A17 and both of these.
+    """
+    if best_grain is None and "A6.tests" in artifacts:
+        best_grain = artifacts["A6.tests"].where("grain_rank = 1").select("run_id", F.split("keys_tested", ",").alias("keys"))
+    if preferred is None and best_grain is not None:
+        preferred = best_grain
+        if "A12.layout_candidates" in artifacts:
+            chosen = artifacts["A12.layout_candidates"].where("preferred_grain_match").select("run_id", F.col("grain_keys").alias("keys"))
+            preferred = chosen.unionByName(best_grain.join(chosen, "run_id", "left_anti"))
+    found = artifacts.get("A8.families") if found is None else found
+    buckets = scope_buckets(artifacts, best_grain) if buckets is None else buckets
     out: dict[str, DataFrame] = {}
     for artifact, view in PROFILES[profile].items():
         if artifact in artifacts:

@@ -46,15 +46,7 @@ def test_baseline_of_each_column(bundle):
 
 @pytest.mark.parametrize("name", sorted(PROFILES))
 def test_every_profile_serves_the_bundle(bundle, name):
-    arts = dict(bundle)
-    buckets = prune.auto_scope(arts["A3-T.items"], arts["A3-V.items"], arts["A9.columns"], arts["A16.detected_skip_logic"],
-                               prune.reviewer_focus(arts["A17.columns"]))
-    best = arts["A6.tests"].filter("grain_rank = 1").select("run_id", F.split("keys_tested", ",").alias("keys"))
-    layouts = arts["A12.layout_candidates"].select("*", F.col("grain").alias("layout_id"), F.split("grain", ",").alias("grain_keys"),
-                                                   F.array("grain").alias("column_placements"))
-    arts["A12.layout_candidates"] = layouts
-    preferred = best.sparkSession.createDataFrame([("survey", ["RespondentId"])], "run_id string, keys array<string>")
-    views = worker_view(name, arts, buckets, arts["A8.families"], preferred, best)
+    views = worker_view(name, bundle)
     assert views
     sizes = prune.accounting({k: v for k, v in views.items() if len(v.columns) > 1}).collect()
     assert all(r.n_bytes > 0 for r in sizes)
