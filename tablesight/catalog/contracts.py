@@ -328,7 +328,18 @@ def c_change_log(tb):
     return log.select("run_id", "column", "target_path", "before_value", "after_value", "confidence")
 
 
-@query("c_unique_change_ids")
+@query("c_unique_change_ids", f"""
+with recursive {PATCHES},
+ordered as materialized (select run_id, position, change_id, row_number() over (partition by run_id order by position) as i from patches),
+walk as (
+ select run_id, cast(0 as bigint) as i, cast([] as varchar[]) as seen, cast(null as bigint) as position, cast(null as varchar) as unique_id from (select distinct run_id from ordered)
+ union all
+ select run_id, i, list_append(seen, name), position, name from (
+  select o.run_id, o.i, w.seen, o.position, case when list_contains(w.seen, o.change_id) then o.change_id || '_' ||
+    list_min(list_filter(range(1, len(w.seen) + 2), lambda k: not list_contains(w.seen, o.change_id || '_' || k))) else o.change_id end as name
+  from walk w join ordered o on o.run_id = w.run_id and o.i = w.i + 1))
+select run_id, position, unique_id from walk where i > 0
+""", ("fleet_columns",))
 def c_unique_change_ids(tb):
     return patch.unique_ids(patch_rows(tb).select("run_id", "position", "change_id")).select("run_id", "position", "unique_id")
 

@@ -289,6 +289,8 @@ def with_inputs(body: str, *names: str) -> str:
     text = body.strip()
     if not ctes:
         return text
+    if text.lower().startswith("with recursive "):
+        return "with recursive " + ",\n".join(ctes) + ",\n" + text[15:]
     if text.lower().startswith("with "):
         return "with " + ",\n".join(ctes) + ",\n" + text[5:]
     return "with " + ",\n".join(ctes) + "\n" + text

@@ -119,9 +119,21 @@ def a2_column_stats_documents(tb):
     return profile.column_stats(profile.cell_histogram(tb.table("documents"), "documents"))
 
 
-@query("a2_column_stats_approx")
+LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate", "l_tax"]
+
+
+@query("a2_column_stats_approx", f"""
+with {long_sql("lineitem", LINE)},
+counts as (select "column", count(*) as n_rows, count(case when not {missing()} then 1 end) as n_present from cells group by 1)
+select 'lineitem' as run_id, "column", n_rows, round(100.0 * (n_rows - n_present) / n_rows, 6) as missing_pct, true as within_bound from counts
+""")
 def a2_column_stats_approx(tb):
-    return profile.column_stats_approx(tb.table("lineitem"), "lineitem")
+    """The sketch must lie within four of its standard errors of the exact count."""
+    line = tb.table("lineitem").select(*LINE)
+    exact = profile.column_stats(profile.cell_histogram(line, "lineitem")).select("run_id", "column", F.col("unique_count").alias("exact"))
+    both = profile.column_stats_approx(line, "lineitem").join(exact, ["run_id", "column"])
+    within = F.abs(F.col("unique_count") - F.col("exact")) <= 4 * 0.02 * F.col("exact")
+    return both.select("run_id", "column", "n_rows", "missing_pct", within.alias("within_bound"))
 
 
 @query("a2_top_levels", f"""

@@ -35,6 +35,11 @@ def _json(field: str) -> Column:
     return F.regexp_extract(value, r'^\{"v":([\s\S]*)\}$', 1)
 
 
+def _patched(contract: DataFrame, patches: DataFrame) -> DataFrame:
+    """The contract rows that some patch names; only these are written as JSON."""
+    return contract.join(patches.select(*KEY).distinct(), KEY, "left_semi")
+
+
 def field_values(contract: DataFrame) -> Column:
     """Map of every patchable field to its JSON text."""
     have = [f for f in vocab.PATCHABLE_FIELDS if f in contract.columns]
@@ -52,7 +57,7 @@ def _canonical(field: Column, text: Column) -> Column:
 
 def split_noops(patches: DataFrame, contract: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(patches that change something, log rows for the ones that were removed)."""
-    before = contract.select(*KEY, field_values(contract).alias("before"))
+    before = _patched(contract, patches).select(*KEY, field_values(contract).alias("before"))
     joined = patches.join(before, KEY, "left")
     same = F.coalesce(F.element_at("before", F.col("field")) == _canonical(F.col("field"), F.col("after_value")), F.lit(False))
     marked = joined.withColumn("noop", same & F.col("field").isin(*vocab.PATCHABLE_FIELDS)).drop("before")
@@ -111,9 +116,11 @@ def unique_ids(rows: DataFrame) -> DataFrame:
         "unique_id", F.when(F.col("place") == 0, F.col("change_id")).otherwise(F.concat_ws("_", "change_id", F.col("place").cast("string"))))
     clash = marked.filter("mixed")
     ids = clash.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("position", "change_id"))).alias("items"))
-    free = lambda seen, base: F.when(~F.array_contains(seen, base), base).otherwise(F.element_at(F.filter(
-        F.transform(F.sequence(F.lit(1), F.size(seen) + 1), lambda i: F.concat(base, F.lit("_"), i.cast("string"))),
-        lambda c: ~F.array_contains(seen, c)), 1))
+    numbered = lambda base, s: F.when(s.startswith(F.concat(base, F.lit("_"))), F.substring(s, F.length(base) + 2, F.length(s)))
+    plain_number = lambda n: F.when(n.rlike("^[1-9][0-9]{0,8}$"), n.cast("int"))
+    taken = lambda seen, base: F.transform(seen, lambda s: plain_number(numbered(base, s)))
+    first = lambda seen, base: F.array_min(F.array_except(F.sequence(F.lit(1), F.size(seen) + 1), taken(seen, base)))
+    free = lambda seen, base: F.when(~F.array_contains(seen, base), base).otherwise(F.concat_ws("_", base, first(seen, base).cast("string")))
     seen = F.aggregate("items", F.array().cast("array<string>"), lambda acc, x: F.concat(acc, F.array(free(acc, x["change_id"]))))
     named = ids.select(*group, F.explode(F.arrays_zip("items", seen.alias("names"))).alias("z")).select(
         *group, F.col("z.items.position").alias("position"), F.col("z.names").alias("unique_id"))
@@ -127,7 +134,7 @@ def change_log(patches: DataFrame, before: DataFrame, after: DataFrame, stated:
     ``before`` and ``after`` carry ``ordinal``, the 0-based row position in their contract.
     ``stated`` holds the counts the contracts claimed; without it their recomputed counts are used.
     """
-    old = before.select(*KEY, "ordinal", field_values(before).alias("old"))
+    old = _patched(before, patches).select(*KEY, "ordinal", field_values(before).alias("old"))
     new = after.select(*KEY, field_values(after).alias("new"))
     rows = patches.join(old, KEY).join(new, KEY).select(
         "run_id", "position", "change_id", "column",

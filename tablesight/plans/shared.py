@@ -44,16 +44,19 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def left_join_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], max_rows: int = 100_000, salts: int = 64) -> DataFrame:
+def left_join_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], max_rows: int = 100_000,
+                     max_bytes: int = 32 << 20, salts: int = 64) -> DataFrame:
     """Left join where few distinct keys may each cover most of ``rows``.
 
-    The lookup is counted first, reading no more than ``max_rows`` + 1 of its rows. Within the bound
-    it is broadcast and ``rows`` stay where they are. Beyond it the lookup is repeated per salt and
-    each row draws one salt, so a hot key is spread over that many tasks.
+    The lookup is measured first, reading no more than ``max_rows`` + 1 of its rows. Within both bounds
+    it is broadcast and ``rows`` stay where they are. Beyond them the lookup is repeated per salt and
+    rows take the salts in turn, so a hot key is spread over that many tasks, equal rows included.
     """
     lookup = cut(lookup)
-    if lookup.limit(max_rows + 1).count() <= max_rows:
+    written = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in lookup.columns])))
+    size = lookup.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(written), F.lit(0)).alias("b")).first()
+    if size["n"] <= max_rows and size["b"] <= max_bytes:
         return rows.join(F.broadcast(lookup), list(keys), "left")
     spread = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     return salted.join(spread, [*keys, "salt"], "left").drop("salt")
