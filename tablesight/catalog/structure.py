@@ -154,16 +154,19 @@ def a10_dependencies(tb):
     return keys.dependencies(tb.input("nation_customers"), "customer", FD, FD)
 
 
-@query("a10_near_duplicates", """
-with e as (select *, cast(user_id as varchar) as user_copy, 'k' || cast(event_id % 5 as varchar) as code_copy from gated_events)
-select 'events' as run_id, 'user_id' as left_column, 'user_copy' as right_column, round(avg(case when cast(user_id as varchar) is not distinct from user_copy then 1.0 else 0.0 end), 6) as agreement from e
-union all select 'events', 'refund_code', 'code_copy', round(avg(case when refund_code is not distinct from code_copy then 1.0 else 0.0 end), 6) from e
-""", ("gated_events",))
+TWINS = ["user_id", "user_copy", "user_edit", "event_type", "refund_code", "code_copy"]
+_TWINS = """select *, cast(user_id as {text}) as user_copy, case when event_id % 50 = 7 then 'edited' else cast(user_id as {text}) end as user_edit,
+ 'k' || cast(event_id % 5 as {text}) as code_copy from """
+
+
+@query("a10_near_duplicates", f"with e as ({_TWINS.format(text='varchar')} gated_events), pairs as (" + " union all ".join(
+    f"""select 'events' as run_id, '{a}' as left_column, '{b}' as right_column,
+ round(avg(case when cast({a} as varchar) is not distinct from cast({b} as varchar) then 1.0 else 0.0 end), 6) as agreement from e"""
+    for i, a in enumerate(TWINS) for b in TWINS[i + 1:]) + ") select * from pairs where agreement >= 0.95", ("gated_events",))
 def a10_near_duplicates(tb):
-    e = tb.input("gated_events").selectExpr("*", "cast(user_id as string) as user_copy", "'k' || cast(event_id % 5 as string) as code_copy")
-    names = ["user_id", "user_copy", "event_type"]
-    pairs = keys.candidate_column_pairs(profile.cell_histogram(e, "events", names), names)
-    return keys.near_duplicate_columns(e, "events", [*pairs, ("refund_code", "code_copy")])
+    e = tb.sql(_TWINS.format(text="string") + "{gated_events}")
+    pairs = keys.candidate_column_pairs(profile.cell_histogram(e, "events", TWINS), TWINS)
+    return keys.near_duplicate_columns(e, "events", pairs).where("agreement >= 0.95")
 
 
 @query("a10_one_hot", """

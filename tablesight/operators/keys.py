@@ -251,14 +251,23 @@ def near_duplicate_columns(df: DataFrame, run_id: str, pairs: Sequence[tuple[str
     )
 
 
-def candidate_column_pairs(hist: DataFrame, columns: Sequence[str]) -> list[tuple[str, str]]:
-    """Pairs worth a row-level comparison: the same checksum over distinct texts and counts.
+def candidate_column_pairs(hist: DataFrame, columns: Sequence[str], agreement: float = 0.95) -> list[tuple[str, str]]:
+    """Pairs of ``columns`` that may agree on a share ``agreement`` of their rows, from the cell histogram.
 
-    Reads the cell histogram, not the rows; the result is as long as the column list.
+    Two columns agree on no more rows than their histograms share, the smaller count of each text summed
+    up. So no pair that reaches the share is missed, and only pairs that pass are compared by row. A text
+    occurs in as many histogram rows as there are columns, which bounds its list.
     """
-    digest = F.sum(F.xxhash64("value", "n").cast("decimal(38,0)")).alias("digest")
-    sums = {r["column"]: r["digest"] for r in hist.groupBy("column").agg(digest).collect()}
-    return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:] if sums[a] == sums[b]]
+    place = {c: i for i, c in enumerate(columns)}
+    rows = hist.where(F.col("column").isin(*columns))
+    totals = {r["column"]: r["n"] for r in rows.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+    texts = rows.groupBy(F.sha2(F.coalesce(F.concat(F.lit("="), "value"), F.lit("")), 256).alias("text")).agg(
+        F.array_sort(F.collect_list(F.struct("column", "n"))).alias("held")).where(F.size("held") > 1)
+    left = texts.select("held", F.posexplode("held").alias("i", "a"))
+    pairs = left.select("a", F.explode(F.slice("held", F.col("i") + 2, F.size("held"))).alias("b"))
+    shared = pairs.groupBy(F.col("a.column").alias("x"), F.col("b.column").alias("y")).agg(F.sum(F.least("a.n", "b.n")).alias("n"))
+    passed = [(r["x"], r["y"]) for r in shared.collect() if r["n"] >= agreement * max(totals[r["x"]], totals[r["y"]])]
+    return sorted((tuple(sorted(p, key=place.get)) for p in passed), key=lambda p: (place[p[0]], place[p[1]]))
 
 
 def one_hot_blocks(df: DataFrame, run_id: str, blocks: dict[str, Sequence[str]]) -> DataFrame:

@@ -113,7 +113,8 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
             linked, ATTRIBUTES_AT_ONCE, lambda ys: keys.dependencies(text, run_id, xs, ys)))
         twins = keys.candidate_column_pairs(hist, usable)
         if twins:
-            out["A10.near_duplicate_candidates"] = keys.near_duplicate_columns(text, run_id, twins)
+            out["A10.near_duplicate_candidates"] = _chunked(twins, CLAIMS_AT_ONCE, lambda part: keys.near_duplicate_columns(
+                text, run_id, part)).where(F.col("agreement") >= 0.95)
     hot = [r["column"] for r in profile.one_hot_like(hist).filter("is_one_hot_like").collect()]
     blocks = {r["family_id"]: r["columns"] for r in found.select("family_id", "columns").collect()}
     hot_blocks = {f: c for f, c in blocks.items() if set(c) <= set(hot)}

@@ -63,3 +63,14 @@ def test_family_ids_are_unique_in_a_run(spark):
 def test_wide_sets_are_pruned_by_counts():
     assert keys.worthwhile_sets(["a", "b", "c", "id"], {"a": 10, "b": 5, "c": 3, "id": 100}, 100, 3) == [("a", "b", "c")]
     assert keys.worthwhile_sets(["a", "b"], {"a": 10, "b": 5}, 100) == []
+
+
+def test_near_duplicate_columns_are_found_without_equal_histograms(spark):
+    from tablesight.operators import profile
+
+    df = spark.range(200).selectExpr("cast(id % 7 as string) as a", "case when id = 5 then 'typo' else cast(id % 7 as string) end as b",
+                                     "cast((id + 1) % 7 as string) as c", "cast(null as string) as d")
+    pairs = keys.candidate_column_pairs(profile.cell_histogram(df, "r"), ["a", "b", "c", "d"])
+    assert ("a", "b") in pairs and not any("d" in p for p in pairs)
+    found = {(r.left_column, r.right_column): r.agreement for r in keys.near_duplicate_columns(df, "r", pairs).collect()}
+    assert found["a", "b"] == 0.995 and found["a", "c"] == 0
