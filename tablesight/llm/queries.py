@@ -52,7 +52,7 @@ def op9_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_threshold_sketch(spark: SparkSession, folder: str) -> DataFrame:
-    return sketch.edited_fingerprints(_table(spark, folder, "documents"))
+    return sketch.edited_fingerprints(_table(spark, folder, "documents"), scale=sketch.SCALE, least=sketch.LEAST)
 
 
 QUERIES = {
