@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and guess-cost of values in credential contexts.
 
 Patterns find assignments, access keys and hexadecimal digests. Beyond them, a value that follows a
-credential word, or stands as the password of a url, is judged by how many guesses it takes: the
+name with a credential word in it (``DB_PASSWORD``, ``secretKey``), or stands as the password of a url, is judged by how many guesses it takes: the
 cheapest way to cut it into dictionary words, dates, repeats, keyboard walks and brute-force spans,
 by dynamic programming over its characters. Values that take ``GUESSES`` (as a power of ten) or more
 are secrets of kind ``guess``; weaker ones are placeholders and stay. Spans are code points, end
@@ -27,8 +27,18 @@ GUESSES = 9.0
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # 16 characters in all
 HEX = re.compile(r"[0-9a-f]{32,}")
+# A credential word is a part of a name: parts are set off by underscores, hyphens, digits or a change of case.
+# The longer words also end a run of letters (dbpassword), and password stands anywhere in one.
+_NAME = "[A-Za-z0-9_-]"
+_FROM = "(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
+_TO = "(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
+_CREDENTIAL = (
+    f"(?:(?ai:password|passwd|api[_-]?key)"
+    f"|(?ai:passphrase|passcode|pwd|secret|token|credential|(?:private|access|client|signing)[_-]?(?:key|secret))(?:[sS]?{_TO})"
+    f"|{_FROM}(?ai:pass|auth(?:orization)?){_TO})"
+)
 CONTEXT = re.compile(
-    r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth(?:orization)?|(?:private|access|client|signing)[_-]?(?:key|secret)))"""
+    rf"""(?<!{_NAME})(?={_NAME}++["'\])]?\s{{0,4}}[:=])(?={_NAME}*?{_CREDENTIAL}){_NAME}++"""
     r"""["'\])]?\s{0,4}(?:[:=]|=>|:=)\s{0,4}(?:(?ai:bearer|basic)\x20)?["'`]?([^\s"'`<>,;{}()\[\]|]{6,})"""
     r"""|(?ai:\bbearer\x20)([^\s"'`<>,;{}()\[\]|]{6,})"""
     r"""|://[^\s/:@"'<>]+:([^\s/@"'<>]{4,})@"""

@@ -107,6 +107,23 @@ def test_method_adds_values_in_context():
     assert [text[s:e] for k, s, e in secrets.find_secrets(text) if k == "guess"] == ["xK9#mQ2$vL", "zQ8!ttKw0w", "eyJhbGci.x9Zq2"]
 
 
+def test_method_takes_whole_names_of_credentials():
+    guessed = lambda text: [text[s:e] for k, s, e in secrets.find_secrets(text) if k == "guess"]
+    value = "xK9#mQ2$vL"
+    names = (
+        "DB_PASSWORD", "dbPassword", "AWS_SECRET_ACCESS_KEY", "SECRET_KEY", "API_KEY_PROD", "TOKEN_2", "x-api-key-v2", "PGPASSWORD", "userPass",
+        "clientSecretValue", "auth_header", "MY_TOKENS", "dbpwd", "PRIVATE_KEY_PEM", "credentials_json", "passwordHash",
+    )
+    for name in names:
+        for text in (f"{name}={value}", f"  {name} = '{value}'", f'{{"{name}": "{value}"}}'):
+            assert guessed(text) == [value], text
+    assert guessed("DB_PASSWORD=p@ss!word9Z") == ["p@ss!word9Z"] and guessed("dbPassword: 'x!9Kq#vW2m'") == ["x!9Kq#vW2m"]
+    assert secrets.redacted(f"SECRET_KEY = '{value}'") == "SECRET_KEY = '[SECRET]'"
+    for name in ("author", "compass", "passage", "secretary", "tokenizer", "authority", "bypass_rate"):
+        assert guessed(f"{name}: {value}") == [], name
+    assert guessed("pass" * 50_000) == guessed("token_" * 50_000 + "=") == []
+
+
 def test_redaction(edge, nothing, spark):
     assert secrets.redacted("a token = abcdefgh12 b") == "a [SECRET] b"
     assert secrets.redacted('token = "' + "ab12" * 10 + '"') == '[SECRET]"'
