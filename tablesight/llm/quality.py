@@ -153,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on up to ``sample`` documents (doc_id, text) that ``labels`` (doc_id, quality 0 or 1) covers.
 
     Documents whose crc32 of the doc_id as text is divisible by 5 are never learned from. Null ids and
-    null labels are left out; of repeated labels the lower counts.
+    null labels are left out; of repeated labels the lower counts, of repeated documents the smallest text.
     """
     usable = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -164,7 +164,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             rows = [features(t.as_py()).tobytes() for t in batch.column(0)]
             yield pa.record_batch([batch.column(1), batch.column(2), pa.array(rows, pa.binary())], ["quality", "doc_id", "found"])
 
-    known = docs.join(F.broadcast(chosen), "doc_id").select(F.col("text").cast("string"), F.col("quality").cast("int"), F.col("doc_id").cast("long"))
+    texts = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    ones = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    known = ones.join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int"), F.col("doc_id").cast("long"))
     rows = known.mapInArrow(found, "quality int, doc_id long, found binary").toPandas()  # at most ``sample`` documents
     rows = rows.sort_values(["doc_id", "found"])
     return fit([np.frombuffer(f, np.int32) for f in rows["found"]], rows["quality"].to_numpy() == 1)
