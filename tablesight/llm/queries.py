@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesight.llm import knn, language, mixing, packing, quality, secrets, sharding, simhash, sketch, url_reputation
+from tablesight.llm import (
+    bpe, knn, language, merkle, mixing, packing, quality, runs, secrets, sharding, simhash, sketch, url_reputation,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,11 +57,24 @@ def op10_threshold_sketch(spark: SparkSession, folder: str) -> DataFrame:
     return sketch.edited_fingerprints(_table(spark, folder, "documents"), scale=sketch.SCALE, least=sketch.LEAST)
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", runs.planted_text(F.col("text"), F.col("doc_id")).alias("text"))
+    return runs.run_digests(runs.periodic_runs(docs))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.tamper_check(_table(spark, folder, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, folder, "documents"), digests=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_reputation, op2_best_fit_packing, op3_simhash, op4_secrets, op5_voronoi_top_k, op6_raked_mixture, op7_language,
-        op8_quality, op9_balanced_shards, op10_threshold_sketch,
+        op8_quality, op9_balanced_shards, op10_threshold_sketch, op11_periodic_runs, op12_merkle_manifest, op13_byte_bpe,
     )
 }
 #: The other queries train models, compress, tokenize or iterate to a fixed point; tests hold them against brute force.
@@ -67,4 +82,5 @@ ORACLES = {
     "op1_url_reputation": url_reputation.oracle(),
     "op5_voronoi_top_k": knn.oracle(),
     "op6_raked_mixture": mixing.oracle(),
+    "op12_merkle_manifest": merkle.oracle(),
 }
