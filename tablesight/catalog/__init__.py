@@ -2,13 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("profiles", "structure", "pruning", "cleaning", "contracts", "validation", "tables", "sources")
+MODULES = ("profiles", "structure", "searches", "pruning", "cleaning", "contracts", "validation", "tables", "sources")
 
 
 def load_all() -> None:
     for name in MODULES:
-        try:
-            import_module(f"tablesight.catalog.{name}")
-        except ModuleNotFoundError as exc:
-            if exc.name != f"tablesight.catalog.{name}":
-                raise
+        import_module(f"tablesight.catalog.{name}")

@@ -100,6 +100,23 @@ join {nation} on c_nationkey = n_nationkey
 join {region} on n_regionkey = r_regionkey
 """
 
+# Order numbers split into four parts, the first null for one of its levels, among flags of few levels.
+INPUTS["split_orders"] = """
+select o_orderkey as order_no, cast(floor(o_orderkey / 100) as bigint) as batch, o_orderkey % 100 as slot,
+  case when o_orderkey % 11 > 0 then o_orderkey % 11 end as part_a, cast(floor(o_orderkey / 11) as bigint) % 13 as part_b,
+  cast(floor(o_orderkey / 143) as bigint) % 7 as part_c, cast(floor(o_orderkey / 1001) as bigint) as part_d,
+""" + ",\n".join(f"  cast(floor((o_custkey + {i}) * {2 * i + 3} / 7) as bigint) % {2 + i % 2} as flag_{i}" for i in range(33)) + """
+from {orders}
+"""
+
+# Postal codes of several per order, a city for each, and a rate that two columns fix.
+INPUTS["zip_lines"] = """
+select 'z' || cast(zip as string) as zip, zip % 997 as city, zip % 997 % 10 as area, qty, line_no,
+  case when (qty + 3 * line_no) % 17 > 0 then (qty + 3 * line_no) % 17 end as rate, flag, status, part, (part * 7 + qty) % 400 as stock
+from (select l_orderkey * 5 + l_partkey % 5 as zip, cast(l_quantity as bigint) as qty, l_linenumber as line_no, l_returnflag as flag, l_linestatus as status, l_partkey as part
+  from {lineitem}) l
+"""
+
 INPUTS["fleet_a2"] = """
 select run_id, ordinal, column_name, seed, pick, qty, seed % 20 as unique_count, cast(pick % 101 as double) as missing_pct,
   pick % 101 >= 40 as high_missingness, seed % 11 = 0 as is_one_hot_like,
