@@ -110,30 +110,28 @@ class _Numbers(dict):
         return n
 
 
-#: A row is a document (its words' numbers in ``codes``) or, with a part, the block's words of that part and their numbers.
-SPLIT = "block long, part int, doc_id long, codes array<int>, words array<string>"
-
-
-def _arrays(lists: list, kind: pa.DataType) -> pa.Array:
-    return pa.array(lists, pa.list_(kind))
+#: A row is a document (its words' numbers in ``codes``) or, with a part, the block's words of that part, in order and
+#: written without gaps, with their numbers and lengths.
+SPLIT = "block long, part int, doc_id long, codes array<int>, words string, sizes array<int>"
 
 
 def _split(vocabulary: str, parts: int, block_words: int):
-    names = ["block", "part", "doc_id", "codes", "words"]
+    names = ["block", "part", "doc_id", "codes", "words", "sizes"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.int32())]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        block, part, doc, codes, words = zip(*rows, strict=True)
-        return pa.record_batch(
-            [pa.array(block, pa.int64()), pa.array(part, pa.int32()), pa.array(doc, pa.int64()), _arrays(codes, pa.int32()), _arrays(words, pa.string())], names)
+        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def closed(block: int, numbers: _Numbers) -> Iterator[pa.RecordBatch]:
-        by_part: dict[int, tuple[list, list]] = {}
-        for word, n in numbers.items():
-            codes, words = by_part.setdefault(zlib.crc32(word.encode("utf-8", "surrogatepass")) % parts, ([], []))
-            codes.append(n)
-            words.append(word)
-        if by_part:
-            yield batch([(block, part, None, codes, words) for part, (codes, words) in by_part.items()])
+        by_part: dict[int, list[str]] = {}
+        for word in numbers:
+            by_part.setdefault(zlib.crc32(word.encode("utf-8", "surrogatepass")) % parts, []).append(word)
+        rows = []
+        for part, words in by_part.items():
+            words.sort()  # neighbours share their beginnings, so the exchange takes little
+            rows.append((block, part, None, [numbers[w] for w in words], "".join(words), [len(w) for w in words]))
+        if rows:
+            yield batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -145,7 +143,7 @@ def _split(vocabulary: str, parts: int, block_words: int):
             for doc, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
                 words = split(text.as_py() or "")
                 codes = np.fromiter((numbers[w] for w in words), np.int32, len(words))
-                held.append((block, None, doc, codes, None))
+                held.append((block, None, doc, codes, None, None))
                 size, waiting = size + len(words), waiting + len(words)
                 if size >= block_words:
                     yield batch(held)
@@ -169,23 +167,33 @@ def _bucketed(rows: DataFrame, parts: int) -> DataFrame:
     return spark.table(name)
 
 
-#: Of a block's words of one part: their numbers, how many ids each has, and these ids in a row.
-ENCODED = "home long, code array<int>, size array<int>, ids array<int>"
+#: Of a block's words of one part, in their order: how many ids each has, and these ids in a row, of 2 or 4 bytes.
+ENCODED = "home long, slice int, size array<int>, ids binary"
+
 
+def _id_type(n_pieces: int) -> str:
+    return "<u2" if n_pieces <= 1 << 16 else "<u4"
 
-def _encode(vocabulary: str):
+
+def _encode(vocabulary: str, kind: str):
     """Encodes one part of the distinct-word table and deals the ids to the blocks that hold the words."""
 
     def run(part: pa.Table) -> pa.Table:
-        lists = part["words"].combine_chunks()
-        table = lists.flatten().dictionary_encode()
+        import numpy as np
+
+        own, words = [], []
+        for joined, sizes in zip(part["words"].to_pylist(), part["sizes"]):
+            ends = np.cumsum(sizes.values.to_numpy()).tolist()
+            own.append(len(ends))
+            words += [joined[a:b] for a, b in zip([0, *ends], ends)]
+        table = pa.array(words, pa.string()).dictionary_encode()
         found = _tokenizer(vocabulary).encode_batch_fast(table.dictionary.to_pylist(), add_special_tokens=False)
         ids = pa.array([x.ids for x in found], pa.list_(pa.int32())).take(table.indices)
-        bounds = [0, *pa.compute.cumulative_sum(lists.value_lengths()).to_pylist()]
-        own = [ids.slice(a, b - a) for a, b in zip(bounds, bounds[1:])]
-        sizes = pa.array([x.value_lengths() for x in own], pa.list_(pa.int32()))
-        flat = pa.array([x.flatten() for x in own], pa.list_(pa.int32()))
-        return pa.table([part["block"], part["codes"], sizes, flat], ["home", "code", "size", "ids"])
+        bounds = [0, *np.cumsum(own).tolist()]
+        of_block = [ids.slice(a, b - a) for a, b in zip(bounds, bounds[1:])]
+        size = pa.array([x.value_lengths() for x in of_block], pa.list_(pa.int32()))
+        flat = pa.array([x.flatten().to_numpy().astype(kind).tobytes() for x in of_block], pa.binary())
+        return pa.table([part["block"], part["part"], size, flat], ["home", "slice", "size", "ids"])
 
     return run
 
@@ -233,13 +241,17 @@ def _bytes(binary: pa.Array) -> bytes:
     return bytes(memoryview(binary.buffers()[2])[offsets[0] : offsets[-1]]) if len(binary) and offsets[0] < offsets[-1] else b""
 
 
-def _joined(digests: bool, piece_bytes: list[bytes]):
+def _joined(digests: bool, piece_bytes: list[bytes], kind: str):
     """Takes the ids of each document's words by their numbers, and the pieces of these ids, for one block."""
 
     def joined(docs: pa.Table, found: pa.Table) -> pa.Table:
         import numpy as np
 
-        code, size, ids = (np.concatenate([np.empty(0, np.int32), *(x.values.to_numpy() for x in found[c])]) for c in ("code", "size", "ids"))
+        numbers = {p: c.values.to_numpy() for p, c in zip(docs["part"].to_pylist(), docs["codes"]) if p is not None}
+        docs = docs.filter(pa.compute.is_null(docs["part"]))
+        code = np.concatenate([np.empty(0, np.int32), *(numbers[p] for p in found["slice"].to_pylist())])
+        size = np.concatenate([np.empty(0, np.int32), *(x.values.to_numpy() for x in found["size"])])
+        ids = np.frombuffer(b"".join(found["ids"].to_pylist()), kind).astype(np.int32)
         ends = np.concatenate([[0], np.cumsum(size)])
         order = pa.array(np.argsort(code))  # a block's numbers are gapless
         word_ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
@@ -272,7 +284,9 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, digests: bool = Fa
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     table = _bucketed(texts.mapInArrow(_split(vocabulary, partitions * PARTS, block_words), SPLIT), partitions)
-    parts = table.where("part is not null").select("part", "block", "codes", "words")
-    encoded = parts.groupBy("part").applyInArrow(_encode(vocabulary), ENCODED)
-    left = table.where("part is null").select("block", "doc_id", "codes")
-    return left.groupBy("block").cogroup(encoded.groupBy("home")).applyInArrow(_joined(digests, piece_list(vocabulary)), DIGESTS if digests else ROW)
+    known = piece_list(vocabulary)
+    kind = _id_type(len(known))
+    words = table.where("part is not null").select("part", "block", "words", "sizes")
+    encoded = words.groupBy("part").applyInArrow(_encode(vocabulary, kind), ENCODED)
+    blocks = table.select("block", "part", "doc_id", "codes").groupBy("block")
+    return blocks.cogroup(encoded.groupBy("home")).applyInArrow(_joined(digests, known, kind), DIGESTS if digests else ROW)
