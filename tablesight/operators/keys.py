@@ -19,6 +19,11 @@ from tablesight.operators.profile import _run
 
 KeySets = Sequence[Sequence[str]]
 
+#: Columns of ``grain_tests`` and ``key_stress``, for tables in which no set is to be tested.
+GRAIN_TESTS = ("run_id string, keys_tested string, n_rows long, n_groups long, uniqueness_rate double, collision_severity_score double, "
+               "non_key_conflict_group_pct double, pivot_safety boolean")
+KEY_STRESS = "run_id string, key string, attribute string, repeated_groups long, drift_pct double"
+
 
 def _prints(columns: Sequence[str]) -> list[Column]:
     """Two independent 64-bit fingerprints of the given columns; where a null stands counts, though hashing skips nulls."""

@@ -163,17 +163,20 @@ def _open_sets(columns: Sequence[str], size: int, levels: dict[str, int], n_rows
     return grow((), 0, 1)
 
 
-def minimal_keys(df: DataFrame, columns: Sequence[str], levels: dict[str, int], n_rows: int, known: Witnesses, largest: int = 4) -> list[tuple[str, ...]]:
+def minimal_keys(df: DataFrame, columns: Sequence[str], levels: dict[str, int], n_rows: int, known: Witnesses, largest: int = 4,
+                 narrowest: bool = False) -> list[tuple[str, ...]]:
     """All minimal column sets of up to ``largest`` of ``columns`` that identify every row of ``df``.
 
-    ``levels`` has the distinct counts with null as a value; ``known`` is added to. A table without rows
-    has no keys.
+    ``levels`` has the distinct counts with null as a value; ``known`` is added to. With ``narrowest``, wider
+    sets are sought only where no narrower one is a key. A table without rows has no keys.
     """
     if not n_rows:
         return []
     keys: list[tuple[str, ...]] = [(c,) for c in columns if levels[c] >= n_rows]
     open_ = [c for c in columns if levels[c] < n_rows]
     for size in range(2, largest + 1):
+        if keys and narrowest:
+            break
         waiting = list(_open_sets(open_, size, levels, n_rows, keys, known))
         thin = True  # passes over some hashes still rule sets out
         while waiting:

@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 
 from tablesight import vocab
 from tablesight.functions import cells
-from tablesight.operators import families, keys, profile, structure
+from tablesight.operators import families, keys, lattice, profile, structure
 from tablesight.plans.shared import cut
 from tablesight.sources import tables
 
 
 @dataclass(frozen=True)
 class Options:
-    """What the bundle reports. ``key_columns`` is how many of the best key seeds are combined into pairs
-    and threes; every other search takes all columns its rule admits, in chunks."""
+    """What the bundle reports. ``key_columns`` is how many of the best key seeds have their pairs reported as
+    runner-up grains and their stress tested. Keys are sought in all columns, of up to ``key_parts`` where no
+    narrower ones identify rows; every other search takes all columns that its rule admits."""
 
     key_columns: int = 12
+    key_parts: int = 4
     glimpse_rows: int = 3
     preferred_grain: Sequence[str] | None = None
 
@@ -30,10 +32,10 @@ class Options:
 KEY_SETS_AT_ONCE, ATTRIBUTES_AT_ONCE, CLAIMS_AT_ONCE = 40, 40, 400
 
 
-def _chunked(items: Sequence, size: int, run: Callable[[Sequence], DataFrame]) -> DataFrame:
-    """The union of ``run`` over parts of ``items``, each part computed and cut off before the next."""
+def _chunked(items: Sequence, size: int, run: Callable[[Sequence], DataFrame], none: DataFrame | None = None) -> DataFrame:
+    """The union of ``run`` over parts of ``items``, each part computed and cut off before the next; ``none`` if there are no items."""
     parts = [cut(run(items[a : a + size])) for a in range(0, len(items), size)]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else none
 
 
 def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Options = Options()) -> dict[str, DataFrame]:
@@ -64,18 +66,20 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
     triggers = [c for c in usable if 2 <= facts[c]["unique_count"] <= vocab.CODED_LEVELS and facts[c]["missing_pct"] < 50]
     linked = list(dict.fromkeys([*(c for c in few if c not in member_names), *seeds]))
 
-    n_rows = max((f["n_rows"] for f in facts.values()), default=0)
-    counts = {c: facts[c]["unique_count"] for c in seeds}
-    sets = [[c] for c in seeds] + [list(p) for p in keys.worthwhile_sets(seeds, counts, n_rows)]
-    tested = _chunked(sets, KEY_SETS_AT_ONCE, lambda part: keys.grain_tests(text, run_id, part))
-    threes = [list(p) for p in keys.worthwhile_sets(seeds, counts, n_rows, 3)]
-    if threes and tested.filter("pivot_safety").isEmpty():  # wider keys matter only where no narrower one identifies rows
-        tested = cut(tested.unionByName(_chunked(threes, KEY_SETS_AT_ONCE, lambda part: keys.grain_tests(text, run_id, part))))
+    levels, n_rows = lattice.level_counts(hist)  # null and missing texts are values of a key
+    known = lattice.sampled_witnesses(text, usable, levels, n_rows)
+    minimal = lattice.minimal_keys(text, by_key, levels, n_rows, known, options.key_parts, narrowest=True)
+    pairs = keys.worthwhile_sets(seeds, levels, n_rows)
+    sets = [list(s) for s in [*((c,) for c in seeds), *pairs] if s not in minimal]
+    spark = df.sparkSession
+    proven = spark.createDataFrame([(run_id, ",".join(k), n_rows, n_rows, 1.0, 0.0, 0.0, True) for k in minimal], keys.GRAIN_TESTS)
+    tested = _chunked(sets, KEY_SETS_AT_ONCE, lambda part: keys.grain_tests(text, run_id, part), proven.limit(0)).unionByName(proven)
     tests = cut(keys.ranked_grains(keys.reject_fake_grains(
         tested,
         catalog.join(members, ["run_id", "column"], "left").withColumn("is_export_index", F.col("column").isin(*indexes) if indexes else F.lit(False)))))
     best = [r["keys_tested"].split(",") for r in tests.filter("grain_rank = 1").collect()]
-    stress = _chunked(usable, ATTRIBUTES_AT_ONCE, lambda part: keys.key_stress(text, run_id, [[c] for c in seeds], part))
+    stress = _chunked(usable if seeds else [], ATTRIBUTES_AT_ONCE, lambda part: keys.key_stress(text, run_id, [[c] for c in seeds], part),
+                      spark.createDataFrame([], keys.KEY_STRESS))
     out: dict[str, DataFrame] = {
         "A1": tables.manifest(df, run_id, source),
         "A2": profile.a2_rows(hist, shares).join(catalog, ["run_id", "column"]),
@@ -90,6 +94,7 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
         "A5.candidate_key_stress_tests": stress,
         "A5.invariant_candidates_checked": keys.invariants(stress),
         "A6.tests": tests,
+        "A6.minimal_keys": lattice.key_rows(text, run_id, minimal),
         "A7.exact_duplicate_clusters": keys.duplicate_clusters(text, run_id, usable, (best[0] if best else usable)[0]),
         "A8.families": found,
         "A8.families_index": families.families_index(found),
@@ -108,6 +113,7 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
     }
     if best:
         out["A7.key_collisions"] = keys.key_collisions(text, run_id, best[0])
+    out["A10.functional_dependencies"] = lattice.dependency_rows(text, run_id, lattice.functional_dependencies(text, usable, levels, n_rows, minimal, known))
     if len(linked) > 1:
         out["A10.dependency_candidates"] = _chunked(linked, KEY_SETS_AT_ONCE, lambda xs: _chunked(
             linked, ATTRIBUTES_AT_ONCE, lambda ys: keys.dependencies(text, run_id, xs, ys)))

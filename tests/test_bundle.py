@@ -34,6 +34,30 @@ def test_grain_family_and_gate_are_found(bundle):
     assert {r.directionality for r in rules} == {"bidirectional"}
 
 
+def test_a_table_of_family_columns_only(spark):
+    rows = [(str(i % 4), str(i % 3), None if i % 5 else "x") for i in range(30)]
+    out = profile_dataset(spark.createDataFrame(rows, "Q1 string, Q2 string, Q3 string"), "family")
+    assert out["A6.tests"].count() == out["A5.candidate_key_stress_tests"].count() == out["A6.minimal_keys"].count() == 0
+    assert out["A8.families"].count() == 1 and out["A17.columns"].count() == 3
+
+
+def test_a_wide_key_with_nulls_wins(spark):
+    """Among flags; one part of the key is null on some rows."""
+    rows = []
+    for i in range(240):
+        parts = (None if i % 4 == 0 else f"s{i % 4}", f"v{i // 4 % 3}", f"w{i // 12 % 4}", f"x{i // 48}")
+        rows.append((*parts, *(str((i * (k + 3)) % 7 % (2 + k % 2)) for k in range(6)), f"z{i // 4 % 3}", f"c{i // 4 % 3 % 2}"))
+    names = ["site", "visit", "wave", "arm", *(f"m{chr(97 + k)}" for k in range(6)), "zip", "city"]
+    out = profile_dataset(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)), "visits")
+    keys = {frozenset(r["keys"].split(",")) for r in out["A6.minimal_keys"].collect()}
+    assert frozenset({"site", "visit", "wave", "arm"}) in keys
+    tests = out["A6.tests"].collect()
+    assert {frozenset(r.keys_tested.split(",")) for r in tests if r.pivot_safety} == keys
+    assert next(r for r in tests if r.grain_rank == 1).pivot_safety
+    found = {(r.determinant, r.dependent) for r in out["A10.functional_dependencies"].collect()}
+    assert ("zip", "city") in found
+
+
 def test_baseline_of_each_column(bundle):
     rows = by_column(bundle["A17.columns"])
     kind = {c: (r.recommended_logical_type, r.missingness_disposition) for c, r in rows.items()}
