@@ -21,6 +21,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import pyarrow as pa
@@ -40,7 +41,9 @@ COMMON = "԰"
 STAND_INS = ("a", "1", "!", "\t")
 
 
+@lru_cache(maxsize=2)
 def _tokenizer(vocabulary: str):
+    """The library's tokenizer, loaded once in a task."""
     import os
 
     import public_tokenizers
