@@ -40,21 +40,25 @@ BATCH_BYTES = 1 << 20
 
 
 def _encoder(name: str):
-    """The byte-level BPE in ``name``.tiktoken; its ids equal those of ``tokenizers`` on ``name``.json."""
+    """The byte-level BPE in ``name``.tiktoken, with the added tokens of ``name``.json; its ids equal those of ``tokenizers`` on that file."""
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
+        added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+    encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
 
 
 def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k", limit: int = LIMIT, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
     """Rows ``item, doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids`` of every document.
 
-    A null text is empty and gives the end id alone. Repeated rows and null ids give pieces of their
+    An added token that stands in a text is that token. A null text is empty and gives the end id alone. Repeated rows and null ids give pieces of their
     own; ``item`` numbers pieces uniquely. Columns other than ``doc_id`` and ``text`` are not read.
     """
 

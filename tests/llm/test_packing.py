@@ -22,7 +22,6 @@ def test_pieces_hold_the_tokenizers_ids(spark):
     texts = ["", "a b", "Äöü ñ  x\n\n y!! <|endoftext|>", "word " * 3000, "\x00퟿", "x" * 5000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got = {}
     for r in packing.packed_documents(docs, keep_ids=True).orderBy("doc_id", "piece").collect():
         own = got.setdefault(r["doc_id"], [])
