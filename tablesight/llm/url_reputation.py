@@ -111,13 +111,16 @@ def host_rules(hosts: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
 def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, suffixes: Sequence[str] = SUFFIXES, least_good: float = LEAST_GOOD) -> DataFrame:
     """Per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict, reputation and its bound.
 
-    ``outcomes`` (page_id, good 0 or 1) holds labelled pages; null ids and other values are left out. A
-    null url, or one without ``://``, has empty host and path; such pages form a host of their own.
+    ``outcomes`` (page_id, good 0 or 1) holds labelled pages; null ids and other values are left out. A page
+    id counts once for a host, however often it or its label is repeated, and as good only if all its
+    labels are. Every row of ``pages`` is judged, repeated ones alike. A null url, or one without ``://``, has empty host and path; such pages form a host of their own.
     Other columns are not read.
     """
     parts = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    known = outcomes.where("page_id is not null and good in (0, 1)").select("page_id", F.col("good").cast("int").alias("good"))
-    counts = parts.join(known, "page_id", "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    known = outcomes.where("page_id is not null and good in (0, 1)").groupBy("page_id").agg(F.min(F.col("good").cast("int")).alias("good"))
+    labelled = parts.select("page_id", "host").join(known, "page_id").distinct()
+    counted = labelled.groupBy("host").agg(F.count("good").alias("n"), F.sum("good").alias("good"))
+    counts = parts.select("host").distinct().join(counted, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(0)).alias("good"))
     counts = stored(counts, "host-counts")
     standing = reputations(counts.select("host"), counts, suffixes)
     per_host = standing.join(host_rules(counts.select("host"), rules), "host", "left")
@@ -146,8 +149,9 @@ def oracle() -> str:
         with parts as materialized (
             select page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') as host,
                    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path from pages),
-        known as (select doc_id as page_id, quality as good from labels where doc_id is not null and quality in (0, 1)),
-        counts as (select host, count(good) as n, coalesce(sum(good), 0) as good from parts left join known using (page_id) group by host),
+        known as (select doc_id as page_id, min(quality) as good from labels where doc_id is not null and quality in (0, 1) group by doc_id),
+        counted as (select host, count(*) as n, sum(good) as good from (select distinct page_id, host from parts) join known using (page_id) group by host),
+        counts as (select host, coalesce(n, 0) as n, coalesce(good, 0) as good from (select distinct host from parts) left join counted using (host)),
         endings as (select *, case {endings} else split_part(host, '.', -1) end as suffix from counts),
         leaves as materialized (
             select *, case when length(host) > length(suffix) + 1

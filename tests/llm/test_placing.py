@@ -160,3 +160,18 @@ def test_reputation_shrinks_towards_the_domain(spark):
     means = {h: r["reputation"] for h, r in got.items()}
     assert means["a.bad.org"] < means["e.bad.org"] <= means["b.bad.org"] < means["f.new.org"] < means["d.good.org"] < means["c.good.org"]
     assert got["a.bad.org"]["verdict"] == "block" and got["c.good.org"]["verdict"] == "allow" and got["f.new.org"]["verdict"] == "allow"
+
+
+def test_a_page_counts_once_however_often_it_is_repeated(spark):
+    pages = [(i, f"http://h{i % 7}.example.com/x") for i in range(60)]
+    labels = [(i, int(i % 7 > 2)) for i in range(40)]
+    once = judged(spark, pages, labels)
+    many = judged(spark, pages + pages[:1] * 49, labels + labels[:1] * 39 + [(1, 1)])
+    assert set(many) == set(once) and len(many) == len(pages) + 49
+    long = judged(spark, [(1, "http://a.b/" + "x" * 100_000), (2, None), (None, "http://a.b/")], [])
+    assert len(long) == 3
+
+
+def judged(spark, pages, labels):
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    return [tuple(r) for r in url_reputation.judge(frame, spark.createDataFrame(labels, "page_id long, good int")).collect()]
