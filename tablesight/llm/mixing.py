@@ -1,10 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells of source, language and topic. A cell's weight is its share of all tokens;
-raking scales the weights in turn until each margin meets its targets, which leaves the associations
-within the corpus as they are. A document is then kept with probability
-``min(1, KEEP * fitted share / present share)`` of its cell, by a hash of its own id and text: cells
-the targets thin out are sampled, cells they would enlarge are kept whole, and nothing is repeated.
+raking scales the weights in turn until every margin is within ``TOLERANCE`` of its targets, which leaves
+the associations within the corpus as they are. A document is then kept with probability
+``keep * fitted share / present share`` of its cell, by a hash of its own id and text. ``keep`` is the
+largest factor with which no cell needs more than it has, so no probability is cut off, nothing is
+repeated, and the sample meets all targets at once, as well as the draw lets it.
 
 Cells are counted over the whole corpus before anything is joined, so a hot source reaches the fit as
 one row per language and topic, and the rounds shuffle cell tables only.
@@ -19,15 +20,17 @@ from pyspark.sql import functions as F
 
 from tablesight.plans.shared import stored
 
-#: Sources aim at shares in proportion to their tokens to this power, which tempers large ones.
-TEMPER = 0.7
-#: Target shares of languages; whatever is not named is ``other``.
-LANGUAGES = {"en": 0.50, "de": 0.17, "fr": 0.17, "es": 0.13, "other": 0.03}
+#: Where no targets are given, values aim at shares in proportion to their tokens to this power, which tempers large ones.
+TEMPER = 0.9
+#: Languages that have cells of their own; all others are ``other``.
+LANGUAGES = ("en", "de", "fr", "es")
 #: Topics in order, each the first whose pattern the text holds; the rest is ``general``.
-TOPICS = (("legal", "[Ll]icen[sc]e|[Cc]opyright"), ("contact", "[a-z0-9]@[a-z]"), ("numeric", "[0-9]{4}"))
-TOPIC_SHARES = {"legal": 0.04, "contact": 0.10, "numeric": 0.10, "general": 0.76}
-ROUNDS = 8
-KEEP = 1.0
+TOPICS = (
+    ("legal", "[Ll]icen[sc]e|[Cc]opyright|[Ww]arranty"), ("contact", "[a-z0-9]@[a-z]"), ("web", "https?://|www[.]"),
+    ("code", "[{};]{2}|</?[a-z]+>|[a-z]_[a-z]+[(=]"), ("numeric", "[0-9]{4}"), ("question", "[?]"),
+)
+#: Largest margin error at the end, rounds between looks at it, and rounds at most.
+TOLERANCE, LOOK, ROUNDS = 1e-8, 4, 64
 CELL = ("source_cell", "lang_cell", "topic_cell")
 
 
@@ -39,7 +42,7 @@ def topic(text: Column, topics: Sequence[tuple[str, str]] = TOPICS) -> Column:
     return found
 
 
-def cell(languages: Mapping[str, float] = LANGUAGES, topics: Sequence[tuple[str, str]] = TOPICS) -> Column:
+def cell(languages: Sequence[str] = LANGUAGES, topics: Sequence[tuple[str, str]] = TOPICS) -> Column:
     """Struct of the cell columns, tokens and draw of a document row (doc_id, text, lang, source).
 
     A null source is ``unknown``, a null language ``other``. Tokens are a fourth of the code points,
@@ -57,52 +60,64 @@ def cell(languages: Mapping[str, float] = LANGUAGES, topics: Sequence[tuple[str,
     )
 
 
-def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], temper: float = TEMPER, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (cell columns, tokens) with ``present`` and ``fitted`` shares after ``rounds`` of raking.
+Targets = Mapping[str, Mapping[str, float]]
 
-    ``targets`` names the wanted shares of ``lang_cell`` and ``topic_cell`` and must cover the values
-    that occur; targets of values that do not occur are left out and the others scaled to one. Sources
-    aim at tempered shares. No cells give no rows.
+
+def raked(cells: DataFrame, targets: Targets | None = None, temper: float = TEMPER) -> DataFrame:
+    """``cells`` (cell columns, tokens) with ``present`` and ``fitted`` shares, raked until the margins fit.
+
+    ``targets`` names the wanted shares of values of a cell column and must cover those that occur; those of
+    other values are left out and the rest scaled to one. A column without targets aims at tempered shares.
+    Targets that contradict each other, as where two values occur only together and aim at different shares,
+    leave the last round's compromise; ``margins`` shows how far off it is. No cells give no rows.
     """
-    spark = cells.sparkSession
+    targets = targets or {}
     total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
-    powers = cells.groupBy("source_cell").agg(F.pow(F.sum("tokens") / F.lit(total), F.lit(temper)).alias("goal_source_cell"))
-    wholes = {"source_cell": powers.agg(F.sum("goal_source_cell")).first()[0] or 1.0}
-    state = cells.withColumn("present", F.col("tokens") / F.lit(total)).withColumn("fitted", F.col("present")).join(powers, "source_cell")
-    for column, shares in targets.items():
-        there = {r[0] for r in cells.select(column).distinct().collect()}  # as many as there are targets
-        if there - set(shares):
-            raise ValueError(f"no target share for {sorted(there - set(shares))} of {column}")
-        wholes[column] = sum(float(v) for k, v in shares.items() if k in there) or 1.0
-        goal = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, float(v))])
-        state = state.withColumn(f"goal_{column}", F.element_at(goal, F.col(column)))
+    state = cells.withColumn("present", F.col("tokens") / F.lit(total)).withColumn("fitted", F.col("present"))
+    for column in CELL:
+        margin = cells.groupBy(column).agg((F.sum("tokens") / F.lit(total)).alias("share"))
+        goal = F.pow("share", F.lit(temper))
+        if column in targets:
+            there = {r[0] for r in margin.select(column).collect()}  # as many as there are targets, or an error
+            if there - set(targets[column]):
+                raise ValueError(f"no target share for {sorted(there - set(targets[column]))} of {column}")
+            goal = F.element_at(F.create_map(*[F.lit(x) for k, v in targets[column].items() for x in (k, float(v))]), F.col(column))
+        goals = margin.select(column, goal.alias(f"goal_{column}"))
+        whole = goals.agg(F.sum(f"goal_{column}")).first()[0] or 1.0
+        state = state.join(goals.withColumn(f"goal_{column}", F.col(f"goal_{column}") / F.lit(whole)), column)
     state = stored(state, "cells")
-    for turn in range(rounds):
-        for column, whole in wholes.items():
+    for turn in range(1, ROUNDS + 1):
+        for column in CELL:
             share = F.sum("fitted").over(Window.partitionBy(column))
-            scale = F.when(share > 0, F.col(f"goal_{column}") / F.lit(whole) / share).otherwise(0.0)
-            state = state.withColumn("fitted", F.col("fitted") * scale)
-        state = stored(state, "cells") if turn % 2 else state
+            state = state.withColumn("fitted", F.when(share > 0, F.col("fitted") * (F.col(f"goal_{column}") / share)).otherwise(0.0))
+        if turn % LOOK == 0:
+            state = stored(state, "cells")
+            gaps = [state.groupBy(c).agg(F.abs(F.sum("fitted") - F.first(f"goal_{c}")).alias("gap")).select("gap") for c in CELL]
+            worst = gaps[0].unionByName(gaps[1]).unionByName(gaps[2]).agg(F.max("gap")).first()[0] or 0.0
+            if worst <= TOLERANCE:
+                break
     return state.select(*CELL, "tokens", "present", "fitted")
 
 
-def _marked(docs: DataFrame, languages: Mapping[str, float], topics: Sequence[tuple[str, str]], topic_shares: Mapping[str, float], keep: float, rounds: int) -> tuple[DataFrame, str, str]:
+def _marked(docs: DataFrame, languages: Sequence[str], topics: Sequence[tuple[str, str]], targets: Targets | None) -> tuple[DataFrame, str, str]:
     """``docs`` with a cell struct and a probability, under two names that ``docs`` does not use."""
     mark, odds = (next(n for i in range(len(docs.columns) + 1) if (n := f"{base}_{i}") not in docs.columns) for base in ("cell", "odds"))
     counted = docs.select(cell(languages, topics).alias("c")).groupBy(*[F.col(f"c.{x}").alias(x) for x in CELL]).agg(F.sum("c.tokens").alias("tokens"))
-    fitted = raked(stored(counted, "cells"), {"lang_cell": languages, "topic_cell": topic_shares}, rounds=rounds)
-    chance = F.round(F.least(F.lit(1.0), F.lit(float(keep)) * F.col("fitted") / F.col("present")), 9)
+    fitted = raked(stored(counted, "cells"), targets).where("fitted > 0")
+    keep = float(fitted.agg(F.min(F.col("present") / F.col("fitted"))).first()[0] or 1.0)
+    chance = F.round(F.least(F.lit(1.0), F.lit(keep) * F.col("fitted") / F.col("present")), 9)
     named = fitted.select(F.struct(*CELL).alias("at"), chance.alias(odds))
     marked = docs.withColumn(mark, cell(languages, topics))
-    return marked.join(named, F.struct(*[F.col(f"{mark}.{x}").alias(x) for x in CELL]) == F.col("at")).drop("at"), mark, odds
+    joined = marked.join(named, F.struct(*[F.col(f"{mark}.{x}").alias(x) for x in CELL]) == F.col("at"), "left").drop("at")
+    return joined.withColumn(odds, F.coalesce(F.col(odds), F.lit(0.0))), mark, odds
 
 
-def mixture(docs: DataFrame, languages: Mapping[str, float] = LANGUAGES, topics: Sequence[tuple[str, str]] = TOPICS, topic_shares: Mapping[str, float] = TOPIC_SHARES, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+def mixture(docs: DataFrame, languages: Sequence[str] = LANGUAGES, topics: Sequence[tuple[str, str]] = TOPICS, targets: Targets | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, source, lang, topic (of its cell), tokens, probability and whether it is kept.
 
     Repeated rows are kept or left together. Columns other than doc_id, text, lang and source are not read.
     """
-    marked, mark, odds = _marked(docs.select("doc_id", "text", "lang", "source"), languages, topics, topic_shares, keep, rounds)
+    marked, mark, odds = _marked(docs.select("doc_id", "text", "lang", "source"), languages, topics, targets)
     of = F.col(mark)
     return marked.select(
         "doc_id", of["source_cell"].alias("source"), of["lang_cell"].alias("lang"), of["topic_cell"].alias("topic"),
@@ -110,25 +125,37 @@ def mixture(docs: DataFrame, languages: Mapping[str, float] = LANGUAGES, topics:
     )
 
 
-def sample_mixture(docs: DataFrame, languages: Mapping[str, float] = LANGUAGES, topics: Sequence[tuple[str, str]] = TOPICS, topic_shares: Mapping[str, float] = TOPIC_SHARES, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+def sample_mixture(docs: DataFrame, languages: Sequence[str] = LANGUAGES, topics: Sequence[tuple[str, str]] = TOPICS, targets: Targets | None = None) -> DataFrame:
     """The rows of ``docs`` that the draw keeps, with their columns as they are."""
-    marked, mark, odds = _marked(docs, languages, topics, topic_shares, keep, rounds)
+    marked, mark, odds = _marked(docs, languages, topics, targets)
     return marked.where(F.col(mark)["draw"] < F.col(odds)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def oracle(rounds: int = ROUNDS) -> str:
-    """DuckDB SQL for ``mixture`` of ``documents`` with the settings above."""
+def margins(mixed: DataFrame, temper: float = TEMPER) -> DataFrame:
+    """Of the rows of ``mixture``: margin, value, target share, and ``kept``, the share of the kept tokens; targets tempered."""
+    tokens, kept = F.sum("tokens"), F.sum(F.when(F.col("kept"), F.col("tokens")).otherwise(0))
+    parts = [mixed.groupBy(c).agg(tokens.alias("all"), kept.alias("some")).select(F.lit(c).alias("margin"), F.col(c).alias("value"), "all", "some") for c in ("source", "lang", "topic")]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    of = Window.partitionBy("margin")
+    share = F.pow(F.col("all") / F.sum("all").over(of), F.lit(temper))
+    shared = every.withColumn("goal", share)
+    return shared.select("margin", "value", (F.col("goal") / F.sum("goal").over(of)).alias("target"), (F.col("some") / F.sum("some").over(of)).alias("kept"))
+
+
+def oracle(rounds: int = 24) -> str:
+    """DuckDB SQL for ``mixture`` of ``documents`` with the settings above; ``rounds`` are enough for six digits."""
     topics = " ".join(f"when regexp_matches(body, '{p}') then '{n}'" for n, p in TOPICS)
-    goals = {"lang_cell": LANGUAGES, "topic_cell": TOPIC_SHARES}
-    case = {c: "case " + c + " " + " ".join(f"when '{k}' then {v}" for k, v in shares.items()) + " end" for c, shares in goals.items()}
     steps, last = [], "goals"
     for turn in range(rounds):
         for column in CELL:
             name = f"fit_{turn}_{column}"
             steps.append(
-                f"{name} as materialized (select * replace (fitted * ((goal_{column} / whole_{column}) / sum(fitted) over (partition by {column})) as fitted) from {last})"
+                f"{name} as materialized (select * replace (fitted * (goal_{column} / sum(fitted) over (partition by {column})) as fitted) from {last})"
             )
             last = name
+    powers = ",\n        ".join(
+        f"goal_of_{c} as (select {c}, pow(sum(present), {TEMPER}) / sum(pow(sum(present), {TEMPER})) over () as goal_{c} from shares group by 1)" for c in CELL
+    )
     return f"""
         with bodies as (select doc_id, lang, source, coalesce(text, '') as body from documents),
         marked as materialized (
@@ -140,16 +167,13 @@ def oracle(rounds: int = ROUNDS) -> str:
             from bodies),
         cells as materialized (select source_cell, lang_cell, topic_cell, sum(tokens) as tokens from marked group by all),
         shares as materialized (select *, tokens / sum(tokens) over () as present from cells),
-        powers as (select source_cell, pow(sum(present), {TEMPER}) as goal_source_cell from shares group by 1),
+        {powers},
         goals as materialized (
-            select s.*, present as fitted, goal_source_cell, (select sum(goal_source_cell) from powers) as whole_source_cell,
-                   {case["lang_cell"]} as goal_lang_cell,
-                   (select sum({case["lang_cell"]}) from (select distinct lang_cell from cells)) as whole_lang_cell,
-                   {case["topic_cell"]} as goal_topic_cell,
-                   (select sum({case["topic_cell"]}) from (select distinct topic_cell from cells)) as whole_topic_cell
-            from shares s join powers using (source_cell)),
+            select *, present as fitted from shares join goal_of_source_cell using (source_cell)
+            join goal_of_lang_cell using (lang_cell) join goal_of_topic_cell using (topic_cell)),
         {", ".join(steps)},
-        odds as (select source_cell, lang_cell, topic_cell, round(least(1.0, {KEEP} * fitted / present), 9) as chance from {last})
+        odds as (select source_cell, lang_cell, topic_cell,
+                        round(least(1.0, (select min(present / fitted) from {last}) * fitted / present), 9) as chance from {last})
         select doc_id, source_cell as source, lang_cell as lang, topic_cell as topic, tokens,
                round(chance, 6) as probability, draw < chance as kept
         from marked join odds using (source_cell, lang_cell, topic_cell)"""

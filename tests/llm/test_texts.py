@@ -141,7 +141,7 @@ def test_raking_meets_the_margins(spark):
     rows = [(s, l, t, 100 + 37 * i) for i, (s, l, t) in enumerate((s, l, t) for s in "abc" for l in ("en", "de") for t in ("general", "legal"))]
     cells = spark.createDataFrame(rows, "source_cell string, lang_cell string, topic_cell string, tokens long")
     goals = {"lang_cell": {"en": 0.7, "de": 0.2, "other": 0.1}, "topic_cell": {"general": 0.8, "legal": 0.2}}
-    found = mixing.raked(cells, goals, rounds=12).collect()
+    found = mixing.raked(cells, goals).collect()
     share = lambda c, v: sum(r["fitted"] for r in found if r[c] == v)
     assert share("lang_cell", "en") == pytest.approx(7 / 9, abs=1e-6) and share("topic_cell", "legal") == pytest.approx(0.2, abs=1e-6)
     odds = {(r["source_cell"], r["lang_cell"], r["topic_cell"]): r["fitted"] / r["present"] for r in found}
@@ -151,6 +151,23 @@ def test_raking_meets_the_margins(spark):
         mixing.raked(cells, {"lang_cell": {"en": 1.0}})
 
 
+def test_contradicting_targets_do_not_fail(spark):
+    cells = spark.createDataFrame([("a", "en", "x", 90), ("b", "de", "y", 10)], "source_cell string, lang_cell string, topic_cell string, tokens long")
+    found = mixing.raked(cells, {"lang_cell": {"en": 0.5, "de": 0.5}, "topic_cell": {"x": 0.8, "y": 0.2}}).collect()
+    assert sum(r["fitted"] for r in found) == pytest.approx(1)
+
+
+def test_the_sample_meets_its_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = mixing.mixture(docs).cache()
+    found = mixing.margins(rows).collect()
+    assert {r["margin"] for r in found} == {"source", "lang", "topic"} and len(found) > 10
+    assert max(abs(r["kept"] - r["target"]) for r in found) < 0.01
+    assert rows.agg({"probability": "max"}).first()[0] == 1.0  # as many as possible are kept
+    assert rows.where("kept").count() > rows.count() / 3
+    rows.unpersist()
+
+
 def test_mixture_edges(edge, nothing):
     rows = mixing.mixture(edge).collect()
     assert len(rows) == 9 and all(0 <= r["probability"] <= 1 for r in rows)
