@@ -117,6 +117,25 @@ from (select l_orderkey * 5 + l_partkey % 5 as zip, cast(l_quantity as bigint) a
   from {lineitem}) l
 """
 
+# Amounts that add up on some columns, and are never in order on others; some cells empty.
+INPUTS["ledger"] = """
+select l_orderkey as order_no, l_linenumber as line_no, cast(round(l_extendedprice * 100) as bigint) as gross,
+  cast(round(l_extendedprice * 100) as bigint) - cast(floor(l_extendedprice * 10) as bigint) as net,
+  case when l_linenumber <> 4 then cast(floor(l_extendedprice * 10) as bigint) end as tax,
+  cast(l_quantity as bigint) as qty, case when l_partkey % 3 = 0 then cast(l_quantity as bigint) + l_linenumber end as stock,
+  case when l_partkey % 3 > 0 then l_partkey % 50 end as loss, case when l_partkey % 3 > 0 then l_partkey % 50 + cast(l_quantity as bigint) end as used,
+  l_shipdate as shipped
+from {lineitem}
+"""
+
+# Versions of an order's record: written later and later, one latest row each; some are written twice at once.
+INPUTS["versions"] = """
+select o.o_orderkey * 4 + v.r_regionkey as write_no, o.o_custkey as customer, o.o_orderkey as record,
+  case when o.o_orderkey % 10 > 0 then o.o_orderkey * 10 + v.r_regionkey * 2 end as written,
+  case when o.o_orderkey % 2 = 0 then v.r_regionkey else 1 end as revision, o.o_custkey * 3 + v.r_regionkey as other
+from {orders} o join {region} v on v.r_regionkey < 3
+"""
+
 INPUTS["fleet_a2"] = """
 select run_id, ordinal, column_name, seed, pick, qty, seed % 20 as unique_count, cast(pick % 101 as double) as missing_pct,
   pick % 101 >= 40 as high_missingness, seed % 11 = 0 as is_one_hot_like,

@@ -322,6 +322,29 @@ def screening_correlations(df: DataFrame, run_id: str, screen: str, levels: Sequ
     ]))).select(F.lit(run_id).alias("run_id"), "screen", "level", "family_id", "correlation")
 
 
+def all_screening_correlations(df: DataFrame, run_id: str, screens: Sequence[str], families: dict[str, Sequence[str]]) -> DataFrame:
+    """As ``screening_correlations`` for every level of all ``screens``, in one scan.
+
+    A correlation needs no more than counts and sums: per screen and level the rows, their filled members
+    and the squares of these. Levels of a screen add up to its totals, so nothing is read twice. Rows
+    without a level take no part; a correlation without variance is null.
+    """
+    names = list(families)
+    filled = [sum([F.col(f"`{c}`").isNotNull().cast("long") for c in families[f]], F.lit(0)).alias(f"f_{i}") for i, f in enumerate(names)]
+    levels = F.array(*[F.struct(F.lit(s).alias("screen"), F.col(f"`{s}`").cast("string").alias("level")) for s in screens])
+    rows = df.select(*filled, F.inline(levels)).where("level is not null")
+    sums = rows.groupBy("screen", "level").agg(F.count(F.lit(1)).alias("n"), *[
+        F.struct(F.sum(f"f_{i}").alias("s"), F.sum(F.col(f"f_{i}") * F.col(f"f_{i}")).alias("q")).alias(f"of_{i}") for i in range(len(names))])
+    each = sums.select("screen", "level", "n", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("family_id"), F.col(f"of_{i}.s").alias("s"), F.col(f"of_{i}.q").alias("q")) for i, f in enumerate(names)])))
+    whole = Window.partitionBy("screen", "family_id")
+    n, s, total = (F.col(x).cast("double") for x in ("n", "s", "total"))
+    every = each.withColumn("total", F.sum("n").over(whole)).withColumn("all_s", F.sum("s").over(whole)).withColumn("all_q", F.sum("q").over(whole))
+    spread = n * (total - n) * (total * F.col("all_q") - F.col("all_s").cast("double") * F.col("all_s"))
+    return every.select(F.lit(run_id).alias("run_id"), "screen", "level", "family_id",
+                        F.when(spread > 0, F.round((total * s - n * F.col("all_s")) / F.sqrt(spread), 6)).alias("correlation"))
+
+
 def constraints(df: DataFrame, run_id: str, orderings: Sequence[tuple[str, str]],
                 sums: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
     """Share of rows that satisfy a <= b, and a + b = c, for the listed column tuples."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablesight import vocab
 from tablesight.functions import cells
-from tablesight.operators import families, keys, lattice, profile, structure
+from tablesight.operators import claims, families, keys, lattice, profile, structure
 from tablesight.plans.shared import cut
 from tablesight.sources import tables
 
@@ -133,25 +133,15 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
         drift_rows = profile.drift(at, run_id, "order_time", few)
     out["A14.columns"] = quality.join(drift_rows, ["run_id", "column"], "left")  # null: not tested for drift
     numeric = [c for c in usable if facts[c]["numeric_share"] >= vocab.TYPE_SHARE and c not in member_names]
-    moments = time
-    orderings = [(a, b) for group in (numeric, moments) for a in group for b in group if a != b]
-    if orderings:
-        typed = text.select(*[cells.as_double(F.col(f"`{c}`")).alias(c) for c in numeric],
-                            *[cells.as_datetime(F.col(f"`{c}`")).alias(c) for c in moments])
-        sums = [(a, b, c) for i, a in enumerate(numeric) for b in numeric[i + 1:] for c in numeric if c not in (a, b)]
-        claims = [("order", o) for o in orderings] + [("sum", s) for s in sums]
-        out["A10.deterministic_constraints"] = _chunked(claims, CLAIMS_AT_ONCE, lambda part: keys.constraints(
-            typed, run_id, [c for kind, c in part if kind == "order"], [c for kind, c in part if kind == "sum"]))
+    entities = [c for c in seeds if levels[c] < n_rows and c not in time]
+    typed = text.select(*[cells.as_double(F.col(f"`{c}`")).alias(c) for c in numeric], *[cells.as_datetime(F.col(f"`{c}`")).alias(c) for c in time],
+                        *[F.col(f"`{c}`") for c in entities if c not in numeric])
+    out["A10.deterministic_constraints"] = claims.deterministic_constraints(typed, run_id, numeric, time, n_rows)
+    out["A10.audit_trail_signals"] = claims.audit_signals(typed, run_id, [c for c in numeric if (c,) in minimal], entities, time, time)
     if blocks and triggers:
-        levels: dict[str, list[str]] = {}
-        for row in profile.top_levels(hist, vocab.CODED_LEVELS).filter(F.col("column").isin(*triggers)).orderBy("column", "level_rank").collect():
-            levels.setdefault(row["column"], []).append(row["value"])
-        parts = [keys.screening_correlations(text, run_id, t, v, blocks) for t, v in levels.items() if t not in member_names]
-        if parts:
-            joined = parts[0]
-            for part in parts[1:]:
-                joined = joined.unionByName(part)
-            out["A10.family_screening_correlations"] = joined.filter("correlation is not null")
+        screens = [c for c in triggers if c not in member_names]
+        if screens:
+            out["A10.family_screening_correlations"] = keys.all_screening_correlations(text, run_id, screens, blocks).filter("correlation is not null")
     none = "run_id string, trigger_column string, trigger_value string, trigger_test string, affected_column string, missing_explained_pct double, directionality string"
     rules = structure.all_skip_logic(text, run_id, triggers, gaps) if triggers and gaps else df.sparkSession.createDataFrame([], none)
     out["A16.detected_skip_logic"] = rules = cut(rules)
