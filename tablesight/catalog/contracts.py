@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablesight.catalog.registry import query
-from tablesight.operators import contract, patch, scale
+from tablesight.operators import contract, patch, profile, scale
 from tablesight.plans.shared import cut
 
 STRUCTURAL = "('structurally_valid_missingness', 'partially_structural_missingness')"
@@ -85,7 +85,7 @@ def v_contract_invariants(tb):
 
 # ---- synthesis ----
 
-def synthesized(tb):
+def synthesized(tb, scales=None):
     typed = words(col(tb.input("fleet_type")), "transform_actions", "structural_transform_hints", "interpretation_hints")
     none = F.array().cast("array<string>")
     defaults = tb.input("fleet_defaults").withColumns({
@@ -103,7 +103,8 @@ def synthesized(tb):
         type_decisions=typed,
         missingness_decisions=col(tb.input("fleet_missing")).drop("structural_validity"),
         token_flags=a2.select("run_id", (F.col("run_id") % 3 == 0).alias("token_missing_placeholders_detected")).distinct(),
-        codebook=a2.filter("column = 'Status'").select("run_id", "column", F.lit("1 = active").alias("codes_or_labels_note"), F.lit("Status code").alias("meaning")))
+        codebook=a2.filter("column = 'Status'").select("run_id", "column", F.lit("1 = active").alias("codes_or_labels_note"), F.lit("Status code").alias("meaning")),
+        scales=scales)
 
 
 FLEET = ("fleet_columns", "fleet_members", "fleet_type", "fleet_missing", "fleet_layout", "fleet_defaults", "fleet_a17")
@@ -161,6 +162,27 @@ def c_contract_synthesis(tb):
     return joined(out, "structural_transform_hints", "interpretation_hints", "applied_sources")
 
 
+@query("c_contract_with_scales", f"""
+with {CONTRACT},
+confirmed as (select * from fleet_scales where mapping_status <> 'deterministic_inferred'),
+k as (select v.*, coalesce(c.response_scale_kind, f.response_scale_kind) as kind from v
+  left join confirmed c on c.target_kind = 'column' and c.run_id = v.run_id and c.target_id = v.column_name
+  left join confirmed f on f.target_kind = 'family' and f.run_id = v.run_id and f.target_id = v.family_id),
+z as (select *, not has_t and kind is not null as scaled from k)
+select run_id, column_name as "column", case when scaled then 'ordinal_category' else lt end as recommended_logical_type, case when scaled then 'string' else st end as recommended_storage_type,
+ case when scaled then 'trim_whitespace,normalize_category_tokens' when ts = 'unresolved_no_a2_evidence' then '' when ts = 'reviewed_type_worker' and column_name = 'GhostCol' then '' else 'trim_whitespace' end as transform_actions,
+ case when scaled then 'scale_mapping_resolver' else ts end as type_decision_source, column_name = 'Status' as coded,
+ concat_ws(' ', case when column_name = 'Status' then '1 = active' end, case when kind is not null then 'Confirmed scale mapping (' || kind || '). Ordered labels: Low | High.' end) as codebook_note,
+ case when column_name = 'Status' then 'semantic_context_worker' when kind is not null then 'scale_mapping_resolver' else 'unknown' end as semantic_decision_source
+from z
+""", (*FLEET, "fleet_scales"))
+def c_contract_with_scales(tb):
+    scales = tb.input("fleet_scales").withColumn("ordered_labels", F.array(F.lit("Low"), F.lit("High")))
+    out = synthesized(tb, scales).select("run_id", "column", "recommended_logical_type", "recommended_storage_type", "transform_actions", "type_decision_source",
+                                         (F.col("column") == "Status").alias("coded"), "codebook_note", "semantic_decision_source")
+    return joined(out, "transform_actions")
+
+
 COUNTS = """count(*) as total_source_columns, count(case when {s} not in ('excluded_from_outputs', 'unresolved') then 1 end) as included_column_count,
  count(case when {s} = 'excluded_from_outputs' then 1 end) as excluded_column_count, count(case when {s} = 'unresolved' then 1 end) as unresolved_column_count,
  count(case when ts = 'reviewed_type_worker' or ms = 'reviewed_missingness_worker' then 1 end) as reviewed_override_count,
@@ -510,3 +532,29 @@ def c_scale_resolve(tb):
     inferred = scale.infer_textual(col(parts["levels"]), col(tb.input("fleet_members")), keys)
     out = scale.resolve(scale.human_mappings(handed_off(parts)), reconciled(tb, parts), inferred)
     return out.select("run_id", "target_kind", "target_id", "mapping_status")
+
+
+_ANSWERS = ("pain", "effort", "mood", "price", "yes")
+_TEXTS = " union all ".join(f"select '{c}' as c, trim({c}) as v from scale_answers where trim({c}) not in ('', 'n/a')" for c in _ANSWERS)
+
+
+@query("c_scale_whole_levels", f"""
+with texts as ({_TEXTS}),
+sets as (select c, count(distinct v) as n, list(distinct v order by v) as vs, bool_and(regexp_matches(v, '[A-Za-z].*[0-9]+$')) as ladder from texts group by c)
+select 'answers' as run_id, 'pain' as target_id, 'codebook_confirmed' as mapping_status, case when vs = list_sort(list_transform(range(1, 11), lambda i: i::varchar)) then '1|2|3|4|5|6|7|8|9|10' end as labels,
+ vs <> list_sort(list_transform(range(1, 11), lambda i: i::varchar)) as mismatch from sets where c = 'pain'
+union all select 'answers', 'price', 'codebook_confirmed', 'Low 1|High 2', n > 100 or vs <> ['High 2', 'Low 1'] from sets where c = 'price'
+union all select 'answers', c, 'deterministic_inferred', array_to_string(vs, '|'), null from sets where ladder and n <= 100
+""", ("scale_answers",))
+def c_scale_whole_levels(tb):
+    levels = cut(scale.complete_levels(profile.cell_histogram(tb.input("scale_answers"), "answers")))
+    ten = [f"{w} {i}".strip() for i, w in enumerate(["No pain", *[""] * 8, "Worst"], 1)]
+    books = [("pain", ten), ("price", ["Low 1", "High 2"])]
+    book = tb.spark.createDataFrame([("answers", "column", c, labels) for c, labels in books], "run_id string, target_kind string, target_id string, ordered_labels array<string>")
+    positions = F.map_from_arrays("ordered_labels", F.transform("ordered_labels", lambda _, i: (i + 1).cast("double")))
+    mapped = book.withColumns({"mapping_status": F.lit("codebook_confirmed"), "response_scale_kind": F.lit("rating"), "label_to_ordinal_position": positions,
+                               "label_to_numeric_score": positions, "numeric_score_semantics_confirmed": F.lit(True), "source": F.lit("codebook_pdf"), "notes": F.lit(""), "confidence": F.lit(0.9)})
+    none = tb.spark.createDataFrame([], "run_id string, column string, family_id string, primary_role string")
+    fitted = scale.reconcile(mapped, scale.observed_values(levels, none)).select("run_id", "target_id", "mapping_status", F.array_join("ordered_labels", "|").alias("labels"), "mismatch")
+    inferred = scale.infer_textual(levels, none, none)
+    return fitted.unionByName(inferred.select("run_id", "target_id", "mapping_status", F.array_join("ordered_labels", "|").alias("labels"), F.lit(None).cast("boolean").alias("mismatch")))

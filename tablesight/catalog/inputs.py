@@ -240,6 +240,22 @@ select run_id, ordinal, column_name,
 from {fleet_columns}
 """
 
+# Answers on long scales: ten points, nine steps, nine steps and a text that is none, and amounts that are no scale.
+INPUTS["scale_answers"] = """
+select ' ' || cast(l_partkey % 10 + 1 as string) as pain, 'Level ' || cast(l_partkey % 9 + 1 as string) || ' ' as effort,
+  case when l_orderkey % 50 = 0 then 'unsure' else 'Agree ' || cast(l_suppkey % 9 + 1 as string) end as mood,
+  cast(cast(l_extendedprice as bigint) as string) as price, case when l_linenumber = 3 then 'n/a' else cast(l_linenumber % 2 as string) end as yes
+from {lineitem}
+"""
+
+INPUTS["fleet_scales"] = """
+select distinct run_id, 'family' as target_kind, family_id as target_id, 'likert' as response_scale_kind,
+  case when family_id = 'score' then 'deterministic_inferred' when run_id % 2 = 0 then 'human_confirmed' else 'codebook_confirmed' end as mapping_status
+from {fleet_members} where family_id in ('q', 'score', 'a_1') and run_id % 5 > 0
+union all select distinct run_id, 'column', column_name, 'ladder', case when column_name = 'W/F' then 'human_confirmed' else 'deterministic_inferred' end
+from {fleet_columns} where column_name in ('W/F', 'Comment') or column_name = 'Q2' and run_id % 3 = 0
+"""
+
 INPUTS["bad_types"] = """
 select run_id, ordinal as position, case when seed % 31 = 0 then ' ' else column_name end as column_name,
   case when seed % 17 = 0 then 'weird' else case seed % 5 when 0 then 'identifier' when 1 then 'categorical_code' when 2 then 'numeric_measure' when 3 then 'date' else 'boolean_flag' end end as recommended_logical_type,

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesight import vocab
 from tablesight.functions import cells
 
 TARGET = ["run_id", "target_kind", "target_id"]
 FIELDS = [*TARGET, "mapping_status", "response_scale_kind", "ordered_labels", "label_to_ordinal_position",
           "label_to_numeric_score", "numeric_score_semantics_confirmed", "source", "notes", "confidence"]
 TRAILING = r"(-?[0-9]+)$"
+#: Distinct texts up to which a column may hold the steps of a scale.
+MOST_LEVELS = 100
 
 
 def _positions(labels: Column) -> Column:
@@ -44,23 +45,41 @@ def human_mappings(rows: DataFrame) -> DataFrame:
     )
 
 
+def complete_levels(hist: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
+    """All distinct trimmed texts of each column with at most ``most`` of them: run_id, column, value, too_many.
+
+    A column with more gives one row without a value, ``too_many``; so each column is either complete or known
+    not to be. No task takes more than ``most`` + 1 texts of a column and input part.
+    """
+    texts = hist.filter(~cells.is_missing(F.col("value"))).select("run_id", "column", cells.trimmed(F.col("value")).alias("value")).distinct()
+    of = Window.partitionBy("run_id", "column")
+    first = texts.withColumn("place", F.row_number().over(of.orderBy("value"))).filter(F.col("place") <= most + 1)
+    beyond = F.max("place").over(of) > most
+    return first.withColumn("too_many", beyond).filter(~F.col("too_many") | (F.col("place") == 1)).select(
+        "run_id", "column", F.when(~F.col("too_many"), F.col("value")).alias("value"), "too_many")
+
+
 def observed_values(levels: DataFrame, members: DataFrame) -> DataFrame:
-    """Distinct trimmed top levels per mapping target: each column, and each family over its members.
+    """Distinct trimmed texts per mapping target: each column, and each family over its members; null where there are too many.
 
-    ``levels`` has run_id, column, value and is already cut to the top levels of each column.
+    ``levels`` is of ``complete_levels``, or run_id, column, value of columns with few texts.
     """
-    text = levels.select("run_id", "column", cells.trimmed(F.col("value")).alias("value"))
-    single = text.select("run_id", F.lit("column").alias("target_kind"), F.col("column").alias("target_id"), "value")
+    if "too_many" not in levels.columns:
+        levels = levels.withColumn("too_many", F.lit(False))
+    text = levels.select("run_id", "column", cells.trimmed(F.col("value")).alias("value"), "too_many")
+    single = text.select("run_id", F.lit("column").alias("target_kind"), F.col("column").alias("target_id"), "value", "too_many")
     family = text.join(members.select("run_id", "column", "family_id"), ["run_id", "column"]).select(
-        "run_id", F.lit("family").alias("target_kind"), F.col("family_id").alias("target_id"), "value")
-    return single.unionByName(family).groupBy(*TARGET).agg(F.array_sort(F.collect_set("value")).alias("observed"))
+        "run_id", F.lit("family").alias("target_kind"), F.col("family_id").alias("target_id"), "value", "too_many")
+    seen = single.unionByName(family).groupBy(*TARGET).agg(F.array_sort(F.collect_set("value")).alias("observed"), F.bool_or("too_many").alias("too_many"))
+    return seen.withColumn("observed", F.when(~F.col("too_many"), F.col("observed")))
 
 
 def reconcile(mappings: DataFrame, observed: DataFrame) -> DataFrame:
     """Rewrite labels such as ``No anxiety 1`` to the numbers the data really holds.
 
     Only when the trailing numbers of all labels are exactly the observed values; the words move to
-    the notes. ``mismatch`` marks targets where neither the labels nor their numbers fit the data.
+    the notes. ``mismatch`` marks targets where neither the labels nor their numbers fit the data, be it that
+    the data holds too many texts for a scale.
     """
     tokens = F.transform("ordered_labels", lambda x: F.regexp_extract(cells.trimmed(x), TRAILING, 1))
     rows = mappings.join(observed, TARGET, "left").withColumn("tokens", tokens)
@@ -82,9 +101,10 @@ def reconcile(mappings: DataFrame, observed: DataFrame) -> DataFrame:
         "label_to_ordinal_position": _positions(F.col("tokens")),
         "ordered_labels": F.col("tokens"),
     }
-    rows = rows.withColumns({"rewrite": rewrite, "mismatch": seen & ~fits})
+    many = F.coalesce(F.col("too_many"), F.lit(False))
+    rows = rows.withColumns({"rewrite": rewrite, "mismatch": many | (seen & ~fits)})
     return rows.withColumns({c: F.when(F.col("rewrite"), v).otherwise(F.col(c)) for c, v in changed.items()}).drop(
-        "tokens", "observed", "rewrite")
+        "tokens", "observed", "too_many", "rewrite")
 
 
 def mismatch_flags(reconciled: DataFrame) -> DataFrame:
@@ -97,16 +117,17 @@ def mismatch_flags(reconciled: DataFrame) -> DataFrame:
 def infer_textual(levels: DataFrame, members: DataFrame, role_rows: DataFrame) -> DataFrame:
     """Ladders a column spells out itself (``Agree 4``); families, keys and plain numbers are skipped.
 
-    ``levels`` holds at most the capped top levels of each column, so the arrays stay small.
+    ``levels`` is of ``complete_levels``, or holds all texts of columns with few. Every text must be a step.
     """
+    if "too_many" in levels.columns:
+        levels = levels.filter(~F.col("too_many"))
     text = levels.select("run_id", "column", cells.trimmed(F.col("value")).alias("value"))
     number = F.regexp_extract("value", TRAILING, 1).try_cast("double")
     per = text.groupBy("run_id", "column").agg(
         F.array_sort(F.collect_set(F.struct(number.alias("score"), "value"))).alias("steps"),
         F.bool_and(F.col("value").rlike(r"[A-Za-z].*[0-9]+$")).alias("ladder"),
         F.count_distinct("value").alias("n_labels"), F.count_distinct(number).alias("n_scores"),
-    ).filter(F.col("ladder") & (F.col("n_labels") == F.col("n_scores")) & (F.col("n_labels") > 1)
-             & (F.col("n_labels") <= vocab.CODED_LEVELS))
+    ).filter(F.col("ladder") & (F.col("n_labels") == F.col("n_scores")) & (F.col("n_labels") > 1))
     keys = role_rows.filter(F.col("primary_role") == "id_key").select("run_id", "column")
     per = per.join(members.select("run_id", "column"), ["run_id", "column"], "left_anti").join(keys, ["run_id", "column"], "left_anti")
     labels, scores = F.transform("steps", lambda s: s["value"]), F.transform("steps", lambda s: s["score"])
