@@ -136,6 +136,19 @@ select o.o_orderkey * 4 + v.r_regionkey as write_no, o.o_custkey as customer, o.
 from {orders} o join {region} v on v.r_regionkey < 3
 """
 
+# Orders with a second time, along which a numeric column rises and a status changes; the first time has no drift.
+INPUTS["two_times"] = """
+select o_orderkey as order_no, o_orderdate as ordered, cast(timestamp '2020-01-01 00:00:00' as timestamp) + (o_orderkey % 1000) * interval '1' hour as logged,
+  o_orderkey % 1000 * 10 + o_custkey % 3000 as load, (o_orderkey * 7919) % 10007 as noise, case when o_orderkey % 1000 > 700 then 'new' else o_orderstatus end as state, o_orderpriority as priority
+from {orders}
+"""
+
+# Orders of a customer, numbered.
+INPUTS["visits"] = """
+select o_custkey as customer, row_number() over (partition by o_custkey order by o_orderkey) as visit, o_totalprice as spent, o_orderkey as order_no, o_orderpriority as priority
+from {orders}
+"""
+
 INPUTS["fleet_a2"] = """
 select run_id, ordinal, column_name, seed, pick, qty, seed % 20 as unique_count, cast(pick % 101 as double) as missing_pct,
   pick % 101 >= 40 as high_missingness, seed % 11 = 0 as is_one_hot_like,

@@ -333,6 +333,29 @@ def a14_drift(tb):
     return profile.drift(tb.table("orders"), "orders", "o_orderdate", ["o_orderstatus", "o_orderpriority", "o_custkey"])
 
 
+_TIMES, _STATES, _LOADS = ("ordered", "logged"), ("state", "priority"), ("load", "noise")
+
+
+def _drift_sql(t):
+    cells = " union all ".join(f"select '{c}' as c, cast({c} as varchar) as v, late from h_{t}" for c in _STATES)
+    ranks = " union all ".join(f"select '{c}' as c, cast({c} as double) as v, late from h_{t}" for c in _LOADS)
+    return f"""h_{t} as (select *, epoch_us({t}) > (select (min(epoch_us({t})) + max(epoch_us({t}))) / 2.0 from two_times) as late from two_times),
+s_{t} as (select c, v, cast(count(case when not late then 1 end) as double) as e, cast(count(case when late then 1 end) as double) as l from ({cells}) q group by all),
+d_{t} as (select '{t}' as time_column, c, 'shares' as method, round(sum(abs(e / et - l / lt)) / 2, 6) as distance from (select *, sum(e) over (partition by c) as et, sum(l) over (partition by c) as lt from s_{t}) q group by c),
+n_{t} as (select c, v, cast(count(case when not late then 1 end) as double) as e, cast(count(case when late then 1 end) as double) as l from ({ranks}) q group by all),
+k_{t} as (select '{t}' as time_column, c, 'ranks' as method, max(abs(gap)) as distance from (
+  select c, sum(e) over w / sum(e) over (partition by c) - sum(l) over w / sum(l) over (partition by c) as gap from n_{t} window w as (partition by c order by v)) q group by c)"""
+
+
+@query("a14_drift_all_times", "with " + ",\n".join(_drift_sql(t) for t in _TIMES) + """
+select 'orders' as run_id, time_column, c as "column", method, case when method = 'shares' then distance end as share_distance, distance > 0.2 as drift_detected
+from (""" + " union all ".join(f"select * from {k}_{t}" for t in _TIMES for k in "dk") + ") u", ("two_times",))
+def a14_drift_all_times(tb):
+    """Distances of shares are exact; those of ranks come from a sketch, so only their verdict is compared."""
+    out = profile.all_drift(tb.input("two_times"), "orders", list(_TIMES), list(_STATES), list(_LOADS))
+    return out.select("run_id", "time_column", "column", "method", F.when(F.col("method") == "shares", F.col("drift_distance")).alias("share_distance"), "drift_detected")
+
+
 @query("a11_glimpses", """
 with base as (select event_id as row_key, event_type, cast(user_id as varchar) as user_id, props from events),
 ranked as (

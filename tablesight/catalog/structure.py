@@ -387,6 +387,30 @@ def a9_roles(tb):
     return structure.roles(profile.parse_shares(p._hist(tb)), _members_of(tb)).drop("role_candidates")
 
 
+VISIT = ["customer", "visit", "spent", "order_no", "priority"]
+_REPEAT = [(k, c) for k in ("customer", "priority") for c in ("visit", "order_no", "customer") if k != c]
+
+
+@query("a9_refined_roles", f"""
+with {p.long_sql("visits", VISIT)}, {_ROLE_SHARES},
+facts as (select *, coalesce(cast(unique_count as double) / nullif(n_present, 0), 0) as u, false as fam from shares),
+base as (select *, {_ROLE_CASES} as base_role from facts),
+groups as (""" + " union all ".join(
+    f"select '{c}' as c, count(*) as n, count(distinct {c}) as d, min({c}) as lo, max({c}) as hi from visits group by {k} having count(*) > 1" for k, c in _REPEAT) + """),
+repeats as (""" + " union ".join(
+    f"select '{c}' as c from (select count(*) as n, count(distinct {c}) as d, min({c}) as lo, max({c}) as hi from visits group by {k} having count(*) > 1) q having avg((d = n and lo in (0, 1) and hi - lo + 1 = n)::int) >= 0.99"
+    for k, c in _REPEAT) + """)
+select 'visits' as run_id, "column", case when "column" in (select c from repeats) and base_role in ('coded_categorical', 'measure', 'measure_item') then 'repeat_index'
+  when base_role = 'measure' and integral_share < 0.95 then 'measure_numeric' else base_role end as primary_role from base
+""", ("visits",))
+def a9_refined_roles(tb):
+    visits = tb.input("visits")
+    shares = cut(profile.parse_shares(profile.cell_histogram(visits, "visits", VISIT)))
+    none = tb.spark.createDataFrame([], "run_id string, column string, family_id string")
+    repeats = structure.repeat_indexes(visits, "visits", ["customer", "priority"], ["visit", "order_no", "customer"])
+    return structure.refined_roles(structure.roles(shares, none), repeats, shares).select("run_id", "column", "primary_role")
+
+
 TARGETS = [*REFUND, "click_depth", "noise"]
 _SKIP_SQL = "long as (" + " union all ".join(
     f"select event_type as level, '{c}' as target, {p.missing(f'cast({c} as varchar)')} as gap from gated_events" for c in TARGETS) + """),

@@ -7,6 +7,8 @@ combine, and every later metric reads each distinct text once instead of each ce
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -364,6 +366,64 @@ def drift(df: DataFrame, run_id: str | Column, order_by: str, columns: list[str]
     )
 
 
+def _bin(value: Column, points: list) -> Column:
+    """How many of the cut points lie below ``value``."""
+    above = F.filter(F.array(*[F.lit(float(p)) for p in points]), lambda p: value > p)
+    return F.size(above).cast("long") if points else F.lit(0).cast("long")
+
+
+DRIFT = "run_id string, time_column string, column string, method string, drift_distance double, drift_detected boolean"
+
+
+def all_drift(df: DataFrame, run_id: str, times: Sequence[str], levels: Sequence[str], numbers: Sequence[str], bins: int = 64) -> DataFrame:
+    """Distance between the early and the late half of every time column, for every other column.
+
+    ``levels`` are compared by the shares of their values (total variation), ``numbers`` by their distributions
+    (the largest gap between the two, at ``bins`` cut points that a mergeable quantile sketch gives). The
+    halves split each time's range at its midpoint; rows without that time take no part, nor do missing
+    cells of numbers. One pass finds midpoints and cut points; one expansion counts (column, digest of a
+    value or its bin) for the halves of all times at once, so the shuffled rows are as wide for a long text
+    as for a digit. ``times`` are dates or timestamps.
+    """
+    spark = df.sparkSession
+    if not times or not (levels or numbers):
+        return spark.createDataFrame([], DRIFT)
+    micros = {t: F.unix_micros(F.col(f"`{t}`").cast("timestamp")) for t in times}
+    number = {c: cells.as_double(F.col(f"`{c}`").cast("string")) for c in numbers}
+    ranks = F.array(*[F.lit((i + 1) / (bins + 1)) for i in range(bins)])
+    one = df.agg(*[((F.min(m) + F.max(m)) / 2).alias(f"m_{i}") for i, m in enumerate(micros.values())],
+                 *[F.percentile_approx(n, ranks, F.lit(10_000)).alias(f"q_{j}") for j, n in enumerate(number.values())]).first()
+    late = [F.when(m.isNotNull(), m > F.lit(one[f"m_{i}"])).alias(f"late_{i}") for i, m in enumerate(micros.values())]
+    entries = []
+    for c in levels:
+        both = F.col(f"`{c}`").isNull(), F.col(f"`{c}`")
+        entries.append(F.struct(F.lit(c).alias("column"), F.xxhash64(*both).alias("a"), F.xxhash64(F.lit("second"), *both).alias("b")))
+    for j, (c, n) in enumerate(number.items()):
+        points = sorted(set(one[f"q_{j}"] or []))
+        place = _bin(n, points)
+        entries.append(F.when(n.isNotNull(), F.struct(F.lit(c).alias("column"), place.alias("a"), F.lit(0).cast("long").alias("b"))))
+    rows = df.select(*late, F.inline(F.array_compact(F.array(*entries))))
+    counted = rows.groupBy("column", "a", "b").agg(*[
+        F.struct(F.count_if(~F.col(f"late_{i}")).alias("e"), F.count_if(F.col(f"late_{i}")).alias("l")).alias(f"of_{i}") for i in range(len(times))])
+    halves = counted.select("column", "a", "b", F.inline(F.array(*[
+        F.struct(F.lit(t).alias("time_column"), F.col(f"of_{i}.e").alias("e"), F.col(f"of_{i}.l").alias("l")) for i, t in enumerate(times)])))
+    halves = halves.where(F.col("column") != F.col("time_column"))
+    # totals come from the reduced counts; a column has few bins, and values of a column combine before the shuffle
+    totals = halves.groupBy("time_column", "column").agg(F.sum("e").alias("all_e"), F.sum("l").alias("all_l"))
+    shared = left_join_lookup(halves, totals, ["time_column", "column"]).withColumn("gap", F.col("e") / F.col("all_e") - F.col("l") / F.col("all_l"))
+    parts = []
+    if levels:
+        varied = shared.where(F.col("column").isin(*levels)).groupBy("time_column", "column").agg((F.sum(F.abs("gap")) / 2).alias("distance"))
+        parts.append(varied.withColumn("method", F.lit("shares")))
+    if numbers:
+        upto = Window.partitionBy("time_column", "column").orderBy("a").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row per bin
+        gaps = shared.where(F.col("column").isin(*numbers)).withColumn("upto", F.abs(F.sum("gap").over(upto)))
+        parts.append(gaps.groupBy("time_column", "column").agg(F.max("upto").alias("distance")).withColumn("method", F.lit("ranks")))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    distance = F.round(F.coalesce("distance", F.lit(0.0)), 6)
+    return out.select(F.lit(run_id).alias("run_id"), "time_column", "column", "method", distance.alias("drift_distance"), (distance > vocab.DRIFT_DISTANCE).alias("drift_detected"))
+
+
 def glimpses(df: DataFrame, run_id: str | Column, key: str, columns: list[str], n: int = 3, seed: int = 7) -> DataFrame:
     """Head, tail and random panels of n rows each, ranked by key; top-k per run is taken before
     the shuffle, so no task sees more than n rows per run and input partition."""

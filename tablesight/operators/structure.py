@@ -47,6 +47,44 @@ def roles(shares: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def repeat_indexes(df: DataFrame, run_id: str, keys: Sequence[str], columns: Sequence[str], cut_off: float = 0.99) -> DataFrame:
+    """Columns that number the rows of a repeated key without gaps: run_id, key, column, checked, held_share.
+
+    Every pair of key and integer column is looked at in one pass. A key counts if it has several rows; its
+    values must be as many as its rows, all different, and run from 0 or 1 without a gap. Rows combine per
+    key and value first, so a hot key is as many rows as it has values.
+    """
+    pairs = [(k, c) for k in keys for c in columns if k != c]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "run_id string, key string, column string, checked long, held_share double")
+    cell = {x: F.col(f"`{x}`").cast("string") for pair in pairs for x in pair}
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(c).alias("column"), cell[k].alias("of"), cells.as_double(cell[c]).cast("long").alias("at")) for k, c in pairs])
+    counted = df.select(F.inline(entries)).where("of is not null").groupBy("key", "column", "of", "at").agg(F.count(F.lit(1)).alias("n"))
+    keyed = counted.groupBy("key", "column", "of").agg(
+        F.sum("n").alias("n"), F.count("at").alias("values"), F.min("at").alias("low"), F.max("at").alias("high")).where("n > 1")
+    gapless = (F.col("values") == F.col("n")) & F.col("low").isin(0, 1) & (F.col("high") - F.col("low") + 1 == F.col("n"))
+    out = keyed.groupBy("key", "column").agg(F.count(F.lit(1)).alias("checked"), F.count_if(gapless).alias("held"))
+    return out.select(F.lit(run_id).alias("run_id"), "key", "column", "checked", F.round(F.col("held") / F.col("checked"), 6).alias("held_share")).where(F.col("held_share") >= cut_off)
+
+
+def refined_roles(role_rows: DataFrame, repeats: DataFrame, shares: DataFrame) -> DataFrame:
+    """``role_rows`` with two narrower roles: ``repeat_index`` for columns that number a key's rows, and ``measure_numeric``
+    for measures that are not whole numbers. The former role stays among the candidates."""
+    counts = repeats.groupBy(*KEY).agg(F.lit(True).alias("counts"))
+    joined = role_rows.join(counts, KEY, "left").join(shares.select(*KEY, "integral_share"), KEY, "left")
+    role = (
+        F.when(F.col("counts") & F.col("primary_role").isin("coded_categorical", "measure", "measure_item"), "repeat_index")
+        .when((F.col("primary_role") == "measure") & (F.coalesce("integral_share", F.lit(0.0)) < vocab.TYPE_SHARE), "measure_numeric")
+        .otherwise(F.col("primary_role"))
+    )
+    changed = F.col("role") != F.col("primary_role")
+    return joined.withColumn("role", role).select(
+        *KEY, F.col("role").alias("primary_role"),
+        F.when(F.col("role") == "repeat_index", "ordinal").otherwise(F.col("encoding_type")).alias("encoding_type"), "review_required",
+        F.when(changed, F.concat(F.array(F.struct(F.col("role"), F.lit(1.0).alias("score"))), F.col("role_candidates"))).otherwise(F.col("role_candidates")).alias("role_candidates"),
+    )
+
+
 def gap_groups(df: DataFrame, targets: Sequence[str]) -> list[list[str]]:
     """Columns of ``targets`` that are missing in the same rows, by sums of row hashes over those rows.
 

@@ -55,7 +55,7 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
     missingness = profile.missingness_catalog(hist)
     anchors, quality = profile.semantic_anchors(shares), profile.quality(hist)
 
-    facts = {r["column"]: r for r in stats.join(shares.select("run_id", "column", "numeric_share", "datetime_share"), ["run_id", "column"]).collect()}
+    facts = {r["column"]: r for r in stats.join(shares.select("run_id", "column", "numeric_share", "datetime_share", "integral_share"), ["run_id", "column"]).collect()}
     member_names = {r["column"] for r in members.select("column").collect()}
     indexes = {r["column"] for r in families.rejected_names(catalog).collect()}
     usable = [c for c in df.columns if c not in indexes]
@@ -127,16 +127,19 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
     if hot_blocks:
         out["A10.one_hot_blocks"] = keys.one_hot_blocks(text, run_id, hot_blocks)
     time = [c for c in usable if facts[c]["datetime_share"] >= vocab.TYPE_SHARE]
-    drift_rows = quality.select("run_id", "column", F.lit(None).cast("double").alias("drift_distance"), F.lit(None).cast("boolean").alias("drift_detected"))
-    if time and few:
-        at = text.withColumn("order_time", cells.as_datetime(F.col(f"`{time[0]}`")))
-        drift_rows = profile.drift(at, run_id, "order_time", few)
-    out["A14.columns"] = quality.join(drift_rows, ["run_id", "column"], "left")  # null: not tested for drift
     numeric = [c for c in usable if facts[c]["numeric_share"] >= vocab.TYPE_SHARE and c not in member_names]
+    spread = [c for c in numeric if levels[c] > vocab.LOW_CARDINALITY and c not in time]
+    shared = [c for c in usable if c not in spread and 2 <= levels[c] <= max(vocab.LOW_CARDINALITY, n_rows // 10)]  # beyond, nearly every value is new
+    timed = text.select(*[(cells.as_datetime(F.col(f"`{c}`")).alias(c) if c in time else F.col(f"`{c}`")) for c in text.columns])
+    out["A14.drift"] = drift = cut(profile.all_drift(timed, run_id, time, shared, spread))
+    drift_rows = drift.groupBy("run_id", "column").agg(F.max("drift_distance").alias("drift_distance"), F.bool_or("drift_detected").alias("drift_detected"))
+    out["A14.columns"] = quality.join(drift_rows, ["run_id", "column"], "left")  # null: not tested for drift
     entities = [c for c in seeds if levels[c] < n_rows and c not in time]
     typed = text.select(*[cells.as_double(F.col(f"`{c}`")).alias(c) for c in numeric], *[cells.as_datetime(F.col(f"`{c}`")).alias(c) for c in time],
                         *[F.col(f"`{c}`") for c in entities if c not in numeric])
     out["A10.deterministic_constraints"] = claims.deterministic_constraints(typed, run_id, numeric, time, n_rows)
+    whole = [c for c in numeric if facts[c]["integral_share"] >= vocab.TYPE_SHARE]
+    out["A9.columns"] = structure.refined_roles(role_rows, structure.repeat_indexes(text, run_id, entities, whole), shares)
     out["A10.audit_trail_signals"] = claims.audit_signals(typed, run_id, [c for c in numeric if (c,) in minimal], entities, time, time)
     if blocks and triggers:
         screens = [c for c in triggers if c not in member_names]
