@@ -130,10 +130,10 @@ from {lineitem}
 
 # Versions of an order's record: written later and later, one latest row each; some are written twice at once.
 INPUTS["versions"] = """
-select o.o_orderkey * 4 + v.r_regionkey as write_no, o.o_custkey as customer, o.o_orderkey as record,
-  case when o.o_orderkey % 10 > 0 then o.o_orderkey * 10 + v.r_regionkey * 2 end as written,
-  case when o.o_orderkey % 2 = 0 then v.r_regionkey else 1 end as revision, o.o_custkey * 3 + v.r_regionkey as other
-from {orders} o join {region} v on v.r_regionkey < 3
+select o_orderkey * 4 + v as write_no, o_custkey as customer, o_orderkey as record,
+  case when o_orderkey % 10 > 0 then o_orderkey * 10 + v * 2 end as written,
+  case when o_orderkey % 2 = 0 then v else 1 end as revision, o_custkey * 3 + v as other
+from (select *, 0 as v from {orders} union all select *, 1 as v from {orders} union all select *, 2 as v from {orders}) o
 """
 
 # Orders with a second time, along which a numeric column rises and a status changes; the first time has no drift.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablesight.catalog.registry import query
 from tablesight.plans.shared import scratch_folder
-from tablesight.sources import sheets, tables
+from tablesight.sources import sheets, store, tables
 
 
 def col(df):
@@ -25,9 +25,18 @@ def s_ingest_delimited(tb):
     return raw.select("doc_id", "lang", F.length("text").cast("bigint").alias("n_text"), F.md5("text").alias("digest"), "cell")
 
 
-@query("s_manifest", "select c_nationkey as run_id, count(*) as n_rows, cast(5 as bigint) as n_columns, 'customer' as source from customer group by c_nationkey")
+@query("s_manifest", """
+select c_nationkey as run_id, count(*) as n_rows, cast(5 as bigint) as n_columns, 'customer' as source, 1 as n_checksums, true as order_free,
+ '{"c_custkey":"bigint","c_name":"string","c_nationkey":"int","c_acctbal":"double","c_mktsegment":"string"}' as schema_json
+from customer group by c_nationkey
+""")
 def s_manifest(tb):
-    return tables.manifest(tb.table("customer"), F.col("c_nationkey"), "customer").select("run_id", "n_rows", "n_columns", "source")
+    """The checksum itself is Spark's own hash, so it is compared with that of the same rows in another order."""
+    customer = tb.table("customer")
+    one = tables.manifest(customer, F.col("c_nationkey"), "customer")
+    other = tables.manifest(customer.orderBy(F.desc("c_name")), F.col("c_nationkey"), "customer").select("run_id", F.col("content_checksum").alias("again"))
+    return one.join(other, "run_id").select("run_id", "n_rows", "n_columns", "source", F.lit(1).alias("n_checksums"),
+                                            (F.col("content_checksum") == F.col("again")).alias("order_free"), "schema_json")
 
 
 @query("s_artifact_store", """
@@ -47,6 +56,23 @@ def s_artifact_meta(tb):
     return tables.artifact_meta({"A2": rows}, "A2", 3)
 
 
+@query("s_committed_store", """
+with r as (select c_nationkey as run_id, count(*) as n, count(case when c_acctbal > 1000 then 1 end) as rich from customer group by c_nationkey)
+select cast(run_id as varchar) as run_id, 'A2' as artifact_id, n as n_rows, true as unchanged from r where run_id % 3 < 2
+union all select cast(run_id as varchar), 'A4', rich, true from r where run_id % 3 < 2 and rich > 0
+""")
+def s_committed_store(tb):
+    """Two commits, and one that broke off before its manifest row."""
+    folder = scratch_folder(tb.spark, "store")
+    rows = tb.table("customer").withColumnRenamed("c_nationkey", "run_id")
+    for part in (0, 1):
+        own = rows.filter(F.col("run_id") % 3 == part)
+        store.commit_runs({"A2": own, "A4": own.filter("c_acctbal > 1000")}, folder)
+    store.write_data({"A2": rows.filter("run_id % 3 = 2")}, folder, "broken")
+    same = store.verified(tb.spark, folder, "A2").unionByName(store.verified(tb.spark, folder, "A4"))
+    return store.listed(tb.spark, folder).join(same, ["run_id", "artifact_id"])
+
+
 @query("s_retention", """
 select o_orderkey as run_id, o_orderdate as run_ts, o_orderdate >= timestamp '2000-06-30' - interval 14 day as keep from orders
 """)
