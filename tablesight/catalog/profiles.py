@@ -119,7 +119,8 @@ def a2_column_stats_documents(tb):
     return profile.column_stats(profile.cell_histogram(tb.table("documents"), "documents"))
 
 
-LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate", "l_tax"]
+LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+        "l_shipdate"]
 
 
 @query("a2_column_stats_approx", f"""
