@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tablesight.catalog import profiles as p
 from tablesight.catalog.registry import query
-from tablesight.operators import families, keys, profile, structure
+from tablesight.operators import families, keys, profile, prune, structure
+from tablesight.plans import worker_views
 from tablesight.plans.shared import cut
 
 GRAINS = [["l_orderkey"], ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
@@ -103,6 +104,29 @@ def a5_key_stress(tb):
     return keys.key_stress(tb.table("lineitem"), "lineitem", STRESS_KEYS, STRESS_ATTRS)
 
 
+_CONFLICTS = " union all ".join(
+    f"""select '{",".join(k)}' as key, '{a}' as attribute, concat_ws('|', {", ".join(f"cast({c} as varchar)" for c in k)}) as key_value, min(cast({a} as varchar)) as low_value, max(cast({a} as varchar)) as high_value
+ from lineitem group by {", ".join(k)} having count(distinct {a}) > 1""" for k in STRESS_KEYS for a in STRESS_ATTRS if a not in k)
+
+
+@query("a5_nested_stress", f"""
+with {_STRESS_SQL}, conflicts as ({_CONFLICTS}),
+ranked as (select *, row_number() over (partition by key order by drift_pct desc, attribute) as a_rank, count(*) over (partition by key) as drifted from stress where drift_pct > 0),
+firsts as (select *, row_number() over (partition by key, attribute order by key_value) as e_rank from conflicts)
+select 'lineitem' as run_id, r.key, r.repeated_groups, cast(drifted as integer) as drifted_attributes, r.attribute, r.drift_pct, f.key_value, f.low_value, f.high_value
+from ranked r join firsts f on f.key = r.key and f.attribute = r.attribute and e_rank = 1 where a_rank <= 2
+""")
+def a5_nested_stress(tb):
+    """The nested rows cut as the layout reviewer's view cuts them, then laid flat."""
+    line = tb.table("lineitem")
+    nested = keys.nested_stress(keys.key_stress(line, "lineitem", STRESS_KEYS, STRESS_ATTRS), keys.stress_examples(line, "lineitem", STRESS_KEYS, STRESS_ATTRS))
+    for path, k in worker_views.PROFILES["table_layout_worker"]["A5.candidate_key_stress_tests"].nested_limits:
+        nested = prune.slice_nested(nested, path, k)
+    flat = nested.select("run_id", "key", "repeated_groups", "drifted_attributes", F.explode("top_drifted_attributes").alias("a"))
+    return flat.select("run_id", "key", "repeated_groups", "drifted_attributes", "a.attribute", "a.drift_pct", F.explode("a.example_conflicts").alias("e")).select(
+        "run_id", "key", "repeated_groups", "drifted_attributes", "attribute", "drift_pct", "e.key_value", "e.low_value", "e.high_value")
+
+
 @query("a5_conflict_examples", """
 with g as (select l_orderkey, count(distinct l_returnflag) as a, count(distinct l_shipdate) as b from lineitem group by l_orderkey)
 select 'lineitem' as run_id, 'l_orderkey' as key, 'l_returnflag' as attribute, true as varies from g group by all having max(a) > 1

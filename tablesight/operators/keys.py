@@ -22,6 +22,7 @@ KeySets = Sequence[Sequence[str]]
 #: Columns of ``grain_tests`` and ``key_stress``, for tables in which no set is to be tested.
 GRAIN_TESTS = ("run_id string, keys_tested string, n_rows long, n_groups long, uniqueness_rate double, collision_severity_score double, "
                "non_key_conflict_group_pct double, pivot_safety boolean")
+STRESS_EXAMPLES = "run_id string, key string, attribute string, key_value string, low_value string, high_value string"
 KEY_STRESS = "run_id string, key string, attribute string, repeated_groups long, drift_pct double"
 
 
@@ -192,6 +193,50 @@ def conflict_examples(df: DataFrame, run_id: str, key: Sequence[str], attributes
     ).select(F.lit(run_id).alias("run_id"), F.lit(_key_text(key)).alias("key"), "*")
 
 
+def stress_examples(df: DataFrame, run_id: str, key_sets: KeySets, attributes: Sequence[str], examples: int = 3) -> DataFrame:
+    """Per key and attribute the first ``examples`` repeated keys within which the attribute varies.
+
+    Rows are run_id, key, attribute, key_value (the key's texts, joined by a bar, null as nothing), low_value
+    and high_value. Conflicts are found by fingerprints; the smallest key values are ranked with a cut
+    before the shuffle, and values are fetched for these alone, at most ``examples`` per key and attribute.
+    """
+    def value(keys: Sequence[str]) -> Column:
+        return F.concat_ws("|", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in keys])
+
+    groups = _grouped(_attribute_prints(df, key_sets, attributes), key_sets, [
+        *[((F.min(f"a_{i}") != F.max(f"a_{i}")) | (F.min(f"b_{i}") != F.max(f"b_{i}"))).alias(f"varies_{i}") for i in range(len(attributes))]])
+    named = F.lit(None).cast("string")
+    for k in key_sets:
+        named = F.when(F.col("keys_tested") == _key_text(k), value(k)).otherwise(named)
+    rows = groups.select("keys_tested", named.alias("key_value"), F.inline(F.array(*[
+        F.struct(F.lit(a).alias("attribute"), F.col(f"varies_{i}").alias("varies")) for i, a in enumerate(attributes)]))).filter("varies")
+    order = Window.partitionBy("keys_tested", "attribute").orderBy("key_value")
+    picks = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= examples).select("keys_tested", "attribute", "key_value")
+    cell = F.map_from_arrays(F.array(*[F.lit(a) for a in attributes]), F.array(*[F.col(f"`{a}`").cast("string") for a in attributes]))
+    every = df.select(cell.alias("row"), F.inline(F.array(*[F.struct(F.lit(_key_text(k)).alias("keys_tested"), value(k).alias("key_value")) for k in key_sets])))
+    hit = every.join(F.broadcast(picks), ["keys_tested", "key_value"]).withColumn("value", F.element_at("row", F.col("attribute")))
+    out = hit.groupBy("keys_tested", "attribute", "key_value").agg(F.min("value").alias("low_value"), F.max("value").alias("high_value"))
+    return out.select(F.lit(run_id).alias("run_id"), F.col("keys_tested").alias("key"), "attribute", "key_value", "low_value", "high_value")
+
+
+def nested_stress(stress: DataFrame, found: DataFrame) -> DataFrame:
+    """One row per key: repeated_groups, drifted_attributes, and top_drifted_attributes[] with example_conflicts[] each.
+
+    ``stress`` is of ``key_stress``, ``found`` of ``stress_examples``. Attributes come by falling drift, then by
+    name, examples by key value; both lists are as long as a table is wide at most.
+    """
+    conflicts = found.groupBy("run_id", "key", "attribute").agg(
+        F.array_sort(F.collect_list(F.struct("key_value", "low_value", "high_value"))).alias("example_conflicts"))
+    rows = stress.join(conflicts, ["run_id", "key", "attribute"], "left")
+    item = F.when(F.col("drift_pct") > 0, F.struct(
+        (-F.col("drift_pct")).alias("minus"), "attribute", "drift_pct",
+        F.coalesce("example_conflicts", F.array().cast("array<struct<key_value: string, low_value: string, high_value: string>>")).alias("example_conflicts")))
+    packed = rows.groupBy("run_id", "key").agg(F.max("repeated_groups").alias("repeated_groups"), F.max("drift_pct").alias("drift_pct"),
+                                               F.array_sort(F.collect_list(item)).alias("items"))
+    return packed.select("run_id", "key", "repeated_groups", "drift_pct", F.size("items").alias("drifted_attributes"), F.transform(
+        "items", lambda x: F.struct(x["attribute"].alias("attribute"), x["drift_pct"].alias("drift_pct"), x["example_conflicts"].alias("example_conflicts"))).alias("top_drifted_attributes"))
+
+
 def invariants(stress: DataFrame) -> DataFrame:
     """Attributes that never vary within a key; that alone does not make the key a row key."""
     return stress.filter(F.col("drift_pct") == 0).select(

@@ -80,6 +80,8 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
     best = [r["keys_tested"].split(",") for r in tests.filter("grain_rank = 1").collect()]
     stress = _chunked(usable if seeds else [], ATTRIBUTES_AT_ONCE, lambda part: keys.key_stress(text, run_id, [[c] for c in seeds], part),
                       spark.createDataFrame([], keys.KEY_STRESS))
+    examples = _chunked(usable if seeds else [], ATTRIBUTES_AT_ONCE, lambda part: keys.stress_examples(text, run_id, [[c] for c in seeds if levels[c] < n_rows] or [seeds[:1]], part),
+                        spark.createDataFrame([], keys.STRESS_EXAMPLES))
     out: dict[str, DataFrame] = {
         "A1": tables.manifest(df, run_id, source),
         "A2": profile.a2_rows(hist, shares).join(catalog, ["run_id", "column"]),
@@ -91,7 +93,7 @@ def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Optio
         # the pairs are among the tested grains, so their seeds are read off those tests
         "A5.pair_key_seed_candidates": tests.filter(F.size(F.split("keys_tested", ",")) == 2).select(
             "run_id", F.col("keys_tested").alias("pair"), "n_groups", F.col("uniqueness_rate").alias("pair_ratio")),
-        "A5.candidate_key_stress_tests": stress,
+        "A5.candidate_key_stress_tests": keys.nested_stress(stress, examples),
         "A5.invariant_candidates_checked": keys.invariants(stress),
         "A6.tests": tests,
         "A6.minimal_keys": lattice.key_rows(text, run_id, minimal),

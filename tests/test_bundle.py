@@ -80,4 +80,7 @@ def test_every_profile_serves_the_bundle(bundle, name):
         assert {r.primary_role for r in views["A9.columns"].collect()} <= {"id_key", "time_index", "repeat_index", "invariant_attr", "coded_categorical"}
         assert views["A8.families_index"].first().family_signature.member_regex == "^Q9 grp_(Row|row)[_-]?[0-9]+$"
     if name == "table_layout_worker":
+        stress = [r for r in views["A5.candidate_key_stress_tests"].collect() if r.drifted_attributes]
+        assert stress and all(len(r.top_drifted_attributes) <= 2 for r in stress)
+        assert all(len(a.example_conflicts) == 1 and a.example_conflicts[0].low_value <= a.example_conflicts[0].high_value for r in stress for a in r.top_drifted_attributes)
         assert views["A12.layout_candidates"].filter("rank = 1").first().grain == "RespondentId"
