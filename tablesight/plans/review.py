@@ -9,7 +9,7 @@ from tablesight import vocab
 from tablesight.functions import cells
 from tablesight.operators import contract, patch, rules
 from tablesight.plans.shared import cut
-from tablesight.plans.validate import WORKERS, items_of
+from tablesight.plans.validate import WORKERS, items_of, parsed
 
 KEY = ["run_id", "column"]
 _ENTRY = ("change_id", "column", "field", "after_value", "reasoning", "justification", "confidence", "needs_human_review")
@@ -19,7 +19,7 @@ def contract_rows(docs: DataFrame) -> DataFrame:
     """Typed rows of contract documents (``run_id``, ``raw``); ``ordinal`` is the row's place in its document."""
     worker = WORKERS["canonical_contract"]
     names = worker.sections[0].fields
-    return items_of(worker, docs).filter("section = 0").select("run_id", F.col("position").alias("ordinal"), F.lit(True).alias("in_a2"), *names)
+    return items_of(worker, parsed(docs, "document")).filter("section = 0").select("run_id", F.col("position").alias("ordinal"), F.lit(True).alias("in_a2"), *names)
 
 
 def stated_counts(docs: DataFrame) -> DataFrame:

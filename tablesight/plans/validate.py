@@ -17,6 +17,7 @@ from tablesight import vocab
 from tablesight.functions import cells
 from tablesight.operators import rules as r
 from tablesight.operators.rules import Rules
+from tablesight.plans.shared import cut
 
 _SQL = {"s": "string", "t": "string", "l": "array<string>", "L": "array<string>", "n": "double", "b": "boolean",
         "i": "bigint", "m": "map<string,double>"}
@@ -331,15 +332,23 @@ def _tagged(found: Column, section: int) -> Column:
     return F.transform(found, lambda x, j: F.struct(F.lit(section).alias("section"), j.alias("position"), x.alias("node")))
 
 
+def parsed(docs: DataFrame, field: str) -> DataFrame:
+    """``docs`` (run_id, raw) with ``doc``, the document as a variant, and ``fault``, why it is none; written once.
+
+    Whatever is checked later reads these two, so each document is parsed here and nowhere else.
+    """
+    return cut(docs.select("run_id", "raw", F.try_parse_json("raw").alias("doc"), cells.json_error(F.col("raw"), field).alias("fault")))
+
+
 def items_of(worker: Worker, docs: DataFrame) -> DataFrame:
-    """run_id, section, position, node (the item as a variant) and every field any section of the worker reads."""
-    doc = F.try_parse_json("raw")
+    """Of ``docs`` (of ``parsed``): run_id, section, position, node (the item as a variant) and every field any section of the worker reads."""
+    doc = F.col("doc")
     packs = []
     for i, s in enumerate(worker.sections):
         found = _get(doc, f"$.{s.path}", "array<variant>") if s.many else F.when(
             _kind(_get(doc, f"$.{s.path}", "variant")) == "OBJECT", F.array(_get(doc, f"$.{s.path}", "variant")))
         packs.append(_tagged(F.coalesce(found, F.array().cast("array<variant>")), i))
-    live = docs.filter(cells.json_error(F.col("raw"), "x").isNull())
+    live = docs.filter("fault is null")
     if worker.skip_reasons:
         live = live.filter(~(_get(doc, "$.status", "string") == "skipped") | _get(doc, "$.status", "string").isNull())
     rows = live.select("run_id", F.explode(F.flatten(F.array(*packs))).alias("p"),
@@ -366,11 +375,12 @@ def validate(name: str, docs: DataFrame, expected: DataFrame | None = None, toke
     token_missing_placeholders_detected) the dataset-wide token rule of contracts.
     """
     worker = WORKERS[name]
-    raw, doc = F.col("raw"), F.try_parse_json("raw")
+    raw, doc = F.col("raw"), F.col("doc")
+    docs = parsed(docs, f"{name} output")
     place = lambda a, b, c: F.struct(F.lit(a).alias("stage"), F.lit(b).cast("int").alias("position") if isinstance(b, int) else b.alias("position"),
                                      F.lit(c).cast("int").alias("rule") if isinstance(c, int) else c.alias("rule"))
-    broken = r.document_errors(docs, "raw", f"{name} output").withColumn("place", place(0, 0, 0))
-    live = docs.filter(cells.json_error(raw, "x").isNull())
+    broken = docs.filter("fault is not null").select("run_id", F.col("fault").alias("message"), place(0, 0, 0).alias("place"))
+    live = docs.filter("fault is null")
     if worker.skip_reasons:
         skipped = live.select("run_id", _get(doc, "$.status", "string").alias("status"), _get(doc, "$.reason", "string").alias("reason"))
         broken = broken.unionByName(r.skip_sentinel(skipped, worker.skip_reasons).withColumn("place", place(0, 0, 1)))
@@ -414,7 +424,7 @@ def validate(name: str, docs: DataFrame, expected: DataFrame | None = None, toke
 
 def defaults_log(worker: Worker, live: DataFrame, items: DataFrame) -> DataFrame:
     """Every field that was filled with its default: run_id, path, defaulted_to."""
-    doc = F.try_parse_json("raw")
+    doc = F.col("doc")
     absent = lambda v: F.coalesce(_kind(v), F.lit("VOID")) == "VOID"
     entry = lambda path, text: F.struct(path.alias("path"), F.lit(text).alias("defaulted_to"))
     top = [F.when(absent(_get(doc, f"$.{k}", "variant")), entry(F.lit(k), v)) for k, v in worker.defaults]

@@ -139,3 +139,11 @@ def test_contract_documents(frame):
             "column_contracts[0].canonical_table_name must be non-blank for resolved assignments",
             "column_contracts[0].missingness_handling must be one of ['no_action_needed'] when missingness_disposition is no_material_missingness",
             "column_contracts is missing A2 source columns: z"} == errors["bad"]
+
+
+def test_a_document_is_parsed_once(frame):
+    docs = frame("run_id string, raw string", ("a", "{\"worker\": 1}"), ("b", "no json"))
+    out = validate("type_transform_worker", docs)
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in out.values()]
+    assert not any("parse_json" in p.lower() or "parsejson" in p.lower() for p in plans)
+    assert {r.run_id for r in out["errors"].collect()} == {"a", "b"}
