@@ -99,17 +99,21 @@ def raked(cells: DataFrame, targets: Targets | None = None, temper: float = TEMP
     return state.select(*CELL, "tokens", "present", "fitted")
 
 
-def _marked(docs: DataFrame, languages: Sequence[str], topics: Sequence[tuple[str, str]], targets: Targets | None) -> tuple[DataFrame, str, str]:
-    """``docs`` with a cell struct and a probability, under two names that ``docs`` does not use."""
-    mark, odds = (next(n for i in range(len(docs.columns) + 1) if (n := f"{base}_{i}") not in docs.columns) for base in ("cell", "odds"))
-    counted = docs.select(cell(languages, topics).alias("c")).groupBy(*[F.col(f"c.{x}").alias(x) for x in CELL]).agg(F.sum("c.tokens").alias("tokens"))
-    fitted = raked(stored(counted, "cells"), targets).where("fitted > 0")
+def _chances(cells: DataFrame, targets: Targets | None, odds: str) -> DataFrame:
+    """Of ``cells`` (cell columns, tokens; counted): ``at``, a struct of the cell columns, and the probability that keeps its documents."""
+    fitted = raked(stored(cells, "cells"), targets).where("fitted > 0")
     keep = float(fitted.agg(F.min(F.col("present") / F.col("fitted"))).first()[0] or 1.0)
     chance = F.round(F.least(F.lit(1.0), F.lit(keep) * F.col("fitted") / F.col("present")), 9)
-    named = fitted.select(F.struct(*CELL).alias("at"), chance.alias(odds))
-    marked = docs.withColumn(mark, cell(languages, topics))
-    joined = marked.join(named, F.struct(*[F.col(f"{mark}.{x}").alias(x) for x in CELL]) == F.col("at"), "left").drop("at")
-    return joined.withColumn(odds, F.coalesce(F.col(odds), F.lit(0.0))), mark, odds
+    return fitted.select(F.struct(*CELL).alias("at"), chance.alias(odds))
+
+
+def _counted(rows: DataFrame, mark: str) -> DataFrame:
+    return rows.groupBy(*[F.col(f"{mark}.{x}").alias(x) for x in CELL]).agg(F.sum(f"{mark}.tokens").alias("tokens"))
+
+
+def _with_odds(rows: DataFrame, mark: str, named: DataFrame, odds: str) -> DataFrame:
+    joined = rows.join(named, F.struct(*[F.col(f"{mark}.{x}").alias(x) for x in CELL]) == F.col("at"), "left").drop("at")
+    return joined.withColumn(odds, F.coalesce(F.col(odds), F.lit(0.0)))
 
 
 def mixture(docs: DataFrame, languages: Sequence[str] = LANGUAGES, topics: Sequence[tuple[str, str]] = TOPICS, targets: Targets | None = None) -> DataFrame:
@@ -117,17 +121,21 @@ def mixture(docs: DataFrame, languages: Sequence[str] = LANGUAGES, topics: Seque
 
     Repeated rows are kept or left together. Columns other than doc_id, text, lang and source are not read.
     """
-    marked, mark, odds = _marked(docs.select("doc_id", "text", "lang", "source"), languages, topics, targets)
-    of = F.col(mark)
-    return marked.select(
+    # texts are read once: what is kept of a document is narrow
+    rows = stored(docs.select("doc_id", cell(languages, topics).alias("of")), "document-cells")
+    named = _chances(_counted(rows, "of"), targets, "odds")
+    of = F.col("of")
+    return _with_odds(rows, "of", named, "odds").select(
         "doc_id", of["source_cell"].alias("source"), of["lang_cell"].alias("lang"), of["topic_cell"].alias("topic"),
-        of["tokens"].alias("tokens"), F.round(odds, 6).alias("probability"), (of["draw"] < F.col(odds)).alias("kept"),
+        of["tokens"].alias("tokens"), F.round("odds", 6).alias("probability"), (of["draw"] < F.col("odds")).alias("kept"),
     )
 
 
 def sample_mixture(docs: DataFrame, languages: Sequence[str] = LANGUAGES, topics: Sequence[tuple[str, str]] = TOPICS, targets: Targets | None = None) -> DataFrame:
     """The rows of ``docs`` that the draw keeps, with their columns as they are."""
-    marked, mark, odds = _marked(docs, languages, topics, targets)
+    mark, odds = (next(n for i in range(len(docs.columns) + 1) if (n := f"{base}_{i}") not in docs.columns) for base in ("cell", "odds"))
+    named = _chances(_counted(docs.select(cell(languages, topics).alias(mark)), mark), targets, odds)
+    marked = _with_odds(docs.withColumn(mark, cell(languages, topics)), mark, named, odds)
     return marked.where(F.col(mark)["draw"] < F.col(odds)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
