@@ -116,7 +116,7 @@ def a2_column_stats_wide(tb):
 @query("a2_column_stats_documents", _fill(_STATS, long=long_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"]),
                                           miss=missing()).replace("RUN", "documents"))
 def a2_column_stats_documents(tb):
-    return profile.column_stats(profile.cell_histogram(tb.table("documents"), "documents"))
+    return profile.column_stats(profile.digest_histogram(tb.table("documents"), "documents"))
 
 
 LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
@@ -157,6 +157,47 @@ def a2_samples(tb):
     return profile.samples(_hist(tb), 5, 7)
 
 
+_LONG = {"documents": ["text", "source"], "pages": ["url", "html"]}
+
+
+def _long_texts(tb, name):
+    df = tb.table(name).select(*_LONG[name])
+    return profile.with_texts(profile.digest_histogram(df, name), df, name)
+
+
+@query("a2_top_levels_pages", f"""
+with {long_sql("pages", _LONG["pages"])},
+counted as (select "column", value, count(*) as n from cells where not {missing()} group by all),
+ranked as (select *, row_number() over (partition by "column" order by n desc, value) as level_rank from counted)
+select 'pages' as run_id, "column", value, n, cast(level_rank as integer) as level_rank from ranked where level_rank <= 8
+""")
+def a2_top_levels_pages(tb):
+    """Whole pages that nearly all tie in count and begin alike: found by digests and heads."""
+    return profile.top_levels(_long_texts(tb, "pages"), 8)
+
+
+@query("a2_samples_documents", f"""
+with {long_sql("documents", _LONG["documents"])},
+vals as (select distinct "column", value from cells where not {missing()}),
+ranked as (select *, row_number() over (partition by "column" order by md5(value || '#7'), value) as sample_rank from vals)
+select 'documents' as run_id, "column", value, cast(sample_rank as integer) as sample_rank from ranked where sample_rank <= 5
+""")
+def a2_samples_documents(tb):
+    return profile.samples(_long_texts(tb, "documents"), 5)
+
+
+@query("a2_parse_shares_documents", f"""
+with {long_sql("documents", _LONG["documents"])}, {shares_sql("numeric", "datetime", "categorical_multi", "range_like", "email", "code")}
+select 'documents' as run_id, "column", n_rows, n_present, unique_count, numeric_share, datetime_share, categorical_multi_share,
+  range_like_share, email_share, code_share from shares
+""")
+def a2_parse_shares_documents(tb):
+    """Texts are asked before the shuffle, digests are counted after it."""
+    shares = profile.parse_shares(profile.digest_histogram(tb.table("documents").select(*_LONG["documents"]), "documents"))
+    return shares.select("run_id", "column", "n_rows", "n_present", "unique_count",
+                         *[f"{k}_share" for k in ("numeric", "datetime", "categorical_multi", "range_like", "email", "code")])
+
+
 @query("a2_missing_tokens", f"""
 with {long_sql("dirty_customer", DIRTY)}
 select 'customer' as run_id, "column", lower({t()}) as token, count(*) as n
@@ -293,7 +334,7 @@ def a13_anchors(tb):
 
 @query("a13_anchors_pages", _anchor_sql("pages", ["page_id", "url", "html"], "pages"))
 def a13_anchors_pages(tb):
-    hist = profile.cell_histogram(tb.table("pages"), "pages")
+    hist = profile.digest_histogram(tb.table("pages"), "pages")
     return _flat_anchors(profile.semantic_anchors(profile.parse_shares(hist)))
 
 

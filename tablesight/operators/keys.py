@@ -311,7 +311,10 @@ def candidate_column_pairs(hist: DataFrame, columns: Sequence[str], agreement: f
     place = {c: i for i, c in enumerate(columns)}
     rows = hist.where(F.col("column").isin(*columns))
     totals = {r["column"]: r["n"] for r in rows.groupBy("column").agg(F.sum("n").alias("n")).collect()}
-    texts = rows.groupBy(F.sha2(F.coalesce(F.concat(F.lit("="), "value"), F.lit("")), 256).alias("text")).agg(
+    key = F.concat(F.lit("="), "value")
+    if "digest" in hist.columns:  # long texts of a digest histogram
+        key = F.coalesce(F.concat(F.lit("#"), F.hex("digest")), key)
+    texts = rows.groupBy(F.sha2(F.coalesce(key, F.lit("")), 256).alias("text")).agg(
         F.array_sort(F.collect_list(F.struct("column", "n"))).alias("held")).where(F.size("held") > 1)
     left = texts.select("held", F.posexplode("held").alias("i", "a"))
     pairs = left.select("a", F.explode(F.slice("held", F.col("i") + 2, F.size("held"))).alias("b"))

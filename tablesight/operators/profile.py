@@ -3,20 +3,26 @@
 Everything here starts from one shared frame, the *cell histogram*: one row per run, column and
 distinct cell text with its count. Building it costs one scan and one shuffle with map-side
 combine, and every later metric reads each distinct text once instead of each cell.
+
+Of columns with long texts ``digest_histogram`` moves digests only: what the metrics ask of a long text is
+answered in one number before the shuffle, and ``with_texts`` reads back the few texts that results show.
+All functions take either histogram.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesight import vocab
 from tablesight.functions import cells
-from tablesight.plans.shared import left_join_lookup
+from tablesight.plans.shared import left_join_lookup, stored
 
 KEY = ["run_id", "column"]
+DIGEST_KEY = [*KEY, "digest"]
 
 
 def _run(run_id: str | Column) -> Column:
@@ -39,8 +45,133 @@ def cell_histogram(df: DataFrame, run_id: str | Column, columns: list[str] | Non
     )
 
 
+def _text_flags(value: Column) -> dict[str, Column]:
+    """What the metrics ask of a text, null for some questions about a null one."""
+    text = cells.trimmed(value)
+    return {
+        "missing": cells.is_missing(value),
+        "blank": cells.is_blank(value),
+        "zero": text == "0",
+        "one": text == "1",
+        "solid": text.rlike(r"^\S+$"),
+        "numeric": cells.as_double(value).isNotNull(),
+        "integral": cells.read_number(value).rlike(cells.INTEGRAL),
+        "datetime": cells.as_datetime(value).isNotNull(),
+        "time_of_day": text.rlike(cells.DATETIME_FORMATS[0][0]) | text.rlike(cells.DATETIME_FORMATS[1][0]),
+        "boolean": cells.as_boolean(value).isNotNull(),
+        "range_like": text.rlike(cells.RANGE),
+        "numeric_with_unit": text.rlike(cells.UNIT),
+        "categorical_multi": text.rlike(cells.MULTI),
+        "percent": text.rlike(cells.PERCENT),
+        "currency": text.rlike(cells.CURRENCY),
+        "email": text.rlike(cells.EMAIL),
+        "url": text.rlike(cells.URL),
+        "code": text.rlike(cells.CODE),
+        "country": text.rlike(cells.COUNTRY),
+        "words": text.rlike(cells.WORDS),
+        "prose": text.rlike(cells.PROSE),
+    }
+
+
+#: Longest text, in characters, that a histogram key holds as it is, and by how much heads grow while too many texts tie.
+HEAD, GROWTH = 64, 8
+#: Most digests looked up by broadcast where more than those of the results tie.
+LOOKUP_ROWS = 10_000
+SAMPLE_SEED = 7
+_TOKEN_SHIFT = 40
+
+
+def _draw(value: Column, seed: int = SAMPLE_SEED) -> Column:
+    return F.md5(F.concat(value, F.lit(f"#{seed}")))
+
+
+def _bits(value: Column) -> Column:
+    """The flags of a text and the place of the placeholder it spells, as one long."""
+    flags = [F.when(flag, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, flag in enumerate(_text_flags(value).values())]
+    token = F.coalesce(F.array_position(F.array(*map(F.lit, vocab.MISSING_TOKENS)), cells.missing_token(value)), F.lit(0))
+    return reduce(lambda a, b: a.bitwiseOR(b), flags, F.shiftleft(token.cast("long"), _TOKEN_SHIFT))
+
+
+def _long_keys(df: DataFrame, run_id: str | Column, columns: list[str] | None) -> DataFrame:
+    """``long_cells`` with the digest of long texts, which is also their draw for samples; null for short ones."""
+    value = F.col("value")
+    return long_cells(df, run_id, columns).withColumn("digest", F.when(F.length(value) > HEAD, F.unhex(_draw(value))))
+
+
+def digest_histogram(df: DataFrame, run_id: str | Column, columns: list[str] | None = None) -> DataFrame:
+    """run_id, column, value, digest, n, bits: the cell histogram without moving long texts.
+
+    A text above ``HEAD`` characters is known by a 128-bit digest; ``value`` holds its head, and ``bits`` what the
+    metrics ask of it. Shorter texts are as in ``cell_histogram``, with null digest and bits.
+    """
+    value = F.col("value")
+    keyed = _long_keys(df, run_id, columns)
+    narrow = keyed.select(*KEY, F.substring(value, 1, HEAD).alias("value"), "digest", F.when(F.col("digest").isNotNull(), _bits(value)).alias("bits"))
+    return narrow.groupBy(*KEY, "value", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("bits").alias("bits"))
+
+
+def _heads(df: DataFrame, run_id: str | Column, wanted: DataFrame, columns: list[str], width: int | None, few: bool) -> DataFrame:
+    """run_id, column, digest, text of ``wanted`` (run_id, column, digest): the first ``width`` characters, or all."""
+    keyed = _long_keys(df, run_id, columns).where(F.col("digest").isNotNull())
+    text = F.col("value") if width is None else F.substring("value", 1, width)
+    rows = keyed.select(*DIGEST_KEY, text.alias("text"))
+    # not a semi join, which would be moved before the cut to heads
+    return rows.join(F.broadcast(wanted) if few else wanted, DIGEST_KEY).groupBy(*DIGEST_KEY).agg(F.min("text").alias("text"))
+
+
+def with_texts(hist: DataFrame, df: DataFrame, run_id: str | Column, k: int = 8, n: int = 5, seed: int = SAMPLE_SEED) -> DataFrame:
+    """``hist`` of ``digest_histogram``, with the whole texts of all ``top_levels(k)`` and ``samples(n)`` in ``value``.
+
+    Levels are ordered by text where counts tie, and heads may tie as well. All that tie at the edge are looked
+    up; while these are many, longer heads are read for them, and only heads move. ``df`` is read once where
+    columns hold long texts and once more per such round. ``whole`` tells texts from heads; no text that is only
+    a head is among the levels up to ``k``. A null cell and an empty table have nothing to look up.
+    """
+    long = hist.where("digest is not null").select(*KEY).distinct().collect()
+    columns = sorted({r["column"] for r in long})
+    if not long:
+        return hist
+    shown = hist.where(F.col("column").isin(*columns))
+    levels, width = shown.where(~_flag(hist, "missing")).select(*DIGEST_KEY, "value", "n"), HEAD
+    drawn = samples(shown, n, seed, keep=("digest",)).where("digest is not null").select(*DIGEST_KEY)
+    edge = Window.partitionBy(*KEY).orderBy(F.col("n").desc(), F.col("value"))
+    while True:
+        levels = stored(levels.withColumn("rank", F.rank().over(edge)).where(F.col("rank") <= k).drop("rank"), "levels")
+        wanted = stored(levels.where("digest is not null").select(*DIGEST_KEY).unionByName(drawn).distinct(), "wanted")
+        if wanted.count() <= max(LOOKUP_ROWS, (k + n) * len(long)):
+            break
+        width *= GROWTH
+        longer = _heads(df, run_id, wanted, columns, width, few=False)
+        levels = levels.join(longer, DIGEST_KEY, "left").select(*DIGEST_KEY, F.coalesce("text", "value").alias("value"), "n")
+    texts = stored(_heads(df, run_id, wanted, columns, None, few=True), "texts")
+    named = hist.join(F.broadcast(wanted), DIGEST_KEY, "left_semi").drop("value").join(texts.withColumnRenamed("text", "value"), DIGEST_KEY)
+    rest = hist.join(F.broadcast(wanted), DIGEST_KEY, "left_anti").withColumn("whole", F.col("digest").isNull())
+    return stored(rest.unionByName(named.withColumn("whole", F.lit(True))), "histogram")
+
+
+def _flags(hist: DataFrame) -> dict[str, Column]:
+    """The flags of the rows of either histogram."""
+    plain = _text_flags(F.col("value"))
+    if "digest" not in hist.columns:
+        return plain
+    return {k: F.when(F.col("digest").isNull(), c).otherwise(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0) for i, (k, c) in enumerate(plain.items())}
+
+
+def _flag(hist: DataFrame, name: str) -> Column:
+    return _flags(hist)[name]
+
+
+def _token(hist: DataFrame) -> Column:
+    """The placeholder a row's text spells, or null."""
+    plain = cells.missing_token(F.col("value"))
+    if "digest" not in hist.columns:
+        return plain
+    place = F.shiftright("bits", _TOKEN_SHIFT).cast("int") - 1
+    return F.when(F.col("digest").isNull(), plain).otherwise(F.get(F.array(*map(F.lit, vocab.MISSING_TOKENS)), place))
+
+
 def _tagged(hist: DataFrame) -> DataFrame:
-    return hist.withColumn("missing", cells.is_missing(F.col("value")))
+    return hist.withColumn("missing", _flag(hist, "missing"))
 
 
 def _weight(cond: Column) -> Column:
@@ -90,8 +221,11 @@ def column_stats_approx(df: DataFrame, run_id: str | Column, columns: list[str]
 def top_levels(hist: DataFrame, k: int = 8) -> DataFrame:
     """The k most frequent non-missing texts of each column, ties by text."""
     order = Window.partitionBy(*KEY).orderBy(F.col("n").desc(), F.col("value"))
+    if "whole" in hist.columns:  # heads, which were ruled out by longer ones
+        hist = hist.filter("whole")
     return (
-        hist.filter(~cells.is_missing(F.col("value")))
+        hist.filter(~_flag(hist, "missing"))
+        .select(*KEY, "value", "n")
         .withColumn("level_rank", F.row_number().over(order))
         .filter(F.col("level_rank") <= k)
     )
@@ -105,13 +239,16 @@ def top_level_arrays(hist: DataFrame, k: int = 8) -> DataFrame:
     )
 
 
-def samples(hist: DataFrame, n: int = 5, seed: int = 7) -> DataFrame:
-    """n pseudo-random distinct texts per column; the same every time for one seed."""
-    draw = F.md5(F.concat(F.col("value"), F.lit(f"#{seed}")))
+def samples(hist: DataFrame, n: int = 5, seed: int = SAMPLE_SEED, keep: Sequence[str] = ()) -> DataFrame:
+    """n pseudo-random distinct texts per column; the same every time for one seed. ``keep`` names more columns of ``hist``."""
+    draw = _draw(F.col("value"), seed)
+    if "digest" in hist.columns:
+        known = F.lower(F.hex("digest"))  # the draw of the usual seed
+        draw = F.when(F.col("digest").isNull(), draw).otherwise(known if seed == SAMPLE_SEED else _draw(known, seed))
     order = Window.partitionBy(*KEY).orderBy("draw", "value")
     return (
-        hist.filter(~cells.is_missing(F.col("value")))
-        .select(*KEY, "value", draw.alias("draw"))
+        hist.filter(~_flag(hist, "missing"))
+        .select(*KEY, "value", *keep, draw.alias("draw"))
         .withColumn("sample_rank", F.row_number().over(order))
         .filter(F.col("sample_rank") <= n)
         .drop("draw")
@@ -128,7 +265,7 @@ def sample_maps(hist: DataFrame, n: int = 5, seed: int = 7) -> DataFrame:
 def missing_tokens(hist: DataFrame) -> DataFrame:
     """Placeholder texts seen per column with their counts."""
     return (
-        hist.withColumn("token", cells.missing_token(F.col("value")))
+        hist.withColumn("token", _token(hist))
         .filter(F.col("token").isNotNull())
         .groupBy(*KEY, "token")
         .agg(F.sum("n").alias("n"))
@@ -144,11 +281,10 @@ def missing_token_maps(hist: DataFrame) -> DataFrame:
 
 def missingness_catalog(hist: DataFrame) -> DataFrame:
     """Missing share per column, split into blank or null cells and placeholder cells."""
-    value = F.col("value")
     tagged = hist.select(
         *KEY, "n",
-        cells.is_blank(value).alias("blank"),
-        cells.missing_token(value).isNotNull().alias("token"),
+        _flag(hist, "blank").alias("blank"),
+        _token(hist).isNotNull().alias("token"),
     )
     counts = tagged.groupBy(*KEY).agg(
         F.sum("n").alias("n_rows"),
@@ -175,25 +311,7 @@ def global_tokens(hist: DataFrame) -> DataFrame:
 
 def parse_shares(hist: DataFrame) -> DataFrame:
     """Share of non-missing cells that fit each textual shape."""
-    value, text = F.col("value"), cells.trimmed(F.col("value"))
-    flags = {
-        "numeric": cells.as_double(value).isNotNull(),
-        "integral": cells.read_number(value).rlike(cells.INTEGRAL),
-        "datetime": cells.as_datetime(value).isNotNull(),
-        "time_of_day": text.rlike(cells.DATETIME_FORMATS[0][0]) | text.rlike(cells.DATETIME_FORMATS[1][0]),
-        "boolean": cells.as_boolean(value).isNotNull(),
-        "range_like": text.rlike(cells.RANGE),
-        "numeric_with_unit": text.rlike(cells.UNIT),
-        "categorical_multi": text.rlike(cells.MULTI),
-        "percent": text.rlike(cells.PERCENT),
-        "currency": text.rlike(cells.CURRENCY),
-        "email": text.rlike(cells.EMAIL),
-        "url": text.rlike(cells.URL),
-        "code": text.rlike(cells.CODE),
-        "country": text.rlike(cells.COUNTRY),
-        "words": text.rlike(cells.WORDS),
-        "prose": text.rlike(cells.PROSE),
-    }
+    flags = {k: c for k, c in _flags(hist).items() if k not in ("missing", "blank", "zero", "one", "solid")}
     tagged = _tagged(hist).select(*KEY, "n", "missing", *[c.alias(k) for k, c in flags.items()])
     counts = tagged.groupBy(*KEY).agg(
         F.sum("n").alias("n_rows"),
@@ -280,12 +398,12 @@ def type_queue(shares: DataFrame, margin: float = 0.5) -> DataFrame:
 
 def one_hot_like(hist: DataFrame) -> DataFrame:
     """True for columns whose only non-missing texts are 0 and 1, both present."""
-    value = cells.trimmed(F.col("value"))
+    zero, one = _flag(hist, "zero"), _flag(hist, "one")
     return _tagged(hist).groupBy(*KEY).agg(
         (
-            (F.count_if(~F.col("missing") & ~value.isin("0", "1")) == 0)
-            & (F.count_if(value == "0") > 0)
-            & (F.count_if(value == "1") > 0)
+            (F.count_if(~F.col("missing") & ~(zero | one)) == 0)
+            & (F.count_if(zero) > 0)
+            & (F.count_if(one) > 0)
         ).alias("is_one_hot_like")
     )
 
@@ -306,12 +424,12 @@ def semantic_anchors(shares: DataFrame) -> DataFrame:
 
 def quality(hist: DataFrame) -> DataFrame:
     """Quality score, entropy of values, and how mixed the textual shapes are."""
-    value, text = F.col("value"), cells.trimmed(F.col("value"))
+    flags = _flags(hist)
     shape = (
-        F.when(cells.as_double(value).isNotNull(), "number")
-        .when(cells.as_datetime(value).isNotNull(), "date")
-        .when(text.rlike(cells.WORDS), "words")
-        .when(text.rlike(r"^\S+$"), "code")
+        F.when(flags["numeric"], "number")
+        .when(flags["datetime"], "date")
+        .when(flags["words"], "words")
+        .when(flags["solid"], "code")
         .otherwise("text")
     )
     shapes = ("number", "date", "words", "code", "text")

@@ -39,13 +39,13 @@ def _chunked(items: Sequence, size: int, run: Callable[[Sequence], DataFrame], n
 
 
 def profile_dataset(df: DataFrame, run_id: str, source: str = "", options: Options = Options()) -> dict[str, DataFrame]:
-    """Artifact frames by id. ``df`` is read once for the histogram and once per structural test.
+    """Artifact frames by id. ``df`` is read once for the histogram, once for the long texts it shows and once per structural test.
 
     Column-grain results (one row per column) are brought to the driver to pick candidate columns;
     dataset rows never are.
     """
     text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-    hist = cut(profile.cell_histogram(text, run_id))
+    hist = profile.with_texts(cut(profile.digest_histogram(text, run_id)), text, run_id)
     shares = cut(profile.parse_shares(hist))
     stats = cut(profile.column_stats(hist))
     catalog = families.column_catalog(df, run_id)
