@@ -188,7 +188,7 @@ def a2_samples_documents(tb):
 
 @query("a2_parse_shares_documents", f"""
 with {long_sql("documents", _LONG["documents"])}, {shares_sql("numeric", "datetime", "categorical_multi", "range_like", "email", "code")}
-select 'documents' as run_id, "column", n_rows, n_present, unique_count, numeric_share, datetime_share, categorical_multi_share,
+select 'documents' as run_id, "column", n_rows, cast(n_present as bigint) as n_present, unique_count, numeric_share, datetime_share, categorical_multi_share,
   range_like_share, email_share, code_share from shares
 """)
 def a2_parse_shares_documents(tb):
