@@ -6,12 +6,13 @@ brought to length one, and a linear hinge-loss model is fitted by dual coordinat
 fitted on a fifth of the sample left out for that, turns margins into scores from 0 to 1.
 
 The fit reads at most ``SAMPLE`` labelled documents, those with the smallest hash of their doc_id; that
-is the only bound. Scoring reads whole texts and nothing but the text.
+is the only bound. However long they are, each reaches the driver as at most ``BUCKETS`` bits, and is unpacked
+only while it is looked at. Scoring reads whole texts and nothing but the text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,6 +68,34 @@ class Features:
         return np.flatnonzero(seen).astype(np.int32)
 
 
+def packed(found: np.ndarray, buckets: int = BUCKETS) -> bytes:
+    """Sorted buckets (65,536 at most) as two bytes each, or as ``buckets`` bits where that is not more."""
+    if 2 * len(found) < buckets // 8:
+        return found.astype(np.uint16).tobytes()
+    bits = np.zeros(buckets, bool)
+    bits[found] = True
+    return np.packbits(bits).tobytes()
+
+
+class PackedRows(Sequence):
+    """Feature rows held packed; each is unpacked when it is taken."""
+
+    def __init__(self, rows: Sequence[bytes], buckets: int = BUCKETS):
+        self.rows, self.buckets = rows, buckets
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        raw = self.rows[i]
+        if len(raw) < self.buckets // 8:
+            return np.frombuffer(raw, np.uint16).astype(np.int32)
+        return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8))).astype(np.int32)
+
+    def part(self, index: np.ndarray) -> PackedRows:
+        return PackedRows([self.rows[i] for i in index], self.buckets)
+
+
 @dataclass
 class Model:
     """Per bucket the weight times ratio, and the squared ratio; the bias; slope and shift of the sigmoid."""
@@ -85,7 +114,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(found) + self.shift, -40, 40))))
 
 
-def log_ratios(rows: list[np.ndarray], good: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+def log_ratios(rows: Sequence[np.ndarray], good: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Class log-count ratios of the indicators, with a pseudo-count."""
     counts = np.full((2, buckets), SMOOTHING)
     for found, label in zip(rows, good, strict=True):
@@ -94,20 +123,22 @@ def log_ratios(rows: list[np.ndarray], good: np.ndarray, buckets: int = BUCKETS)
     return np.log(shares[1] / shares[0])
 
 
-def hinge_weights(rows: list[np.ndarray], scale: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, float]:
+def hinge_weights(rows: Sequence[np.ndarray], scale: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear hinge-loss model, by dual coordinate descent over unit vectors."""
     weights, bias, order = np.zeros(len(scale)), 0.0, np.random.default_rng(0)
-    values = [scale[f] / (np.sqrt((scale[f] ** 2).sum()) or 1.0) for f in rows]
-    norms = np.array([(v**2).sum() + 1 for v in values])  # the bias is a constant feature
+    sizes = np.array([np.sqrt((scale[f] ** 2).sum()) or 1.0 for f in rows])
+    norms = np.array([((scale[f] / size) ** 2).sum() + 1 for f, size in zip(rows, sizes, strict=True)])  # the bias is a constant feature
     signs, alpha = np.where(good, 1.0, -1.0), np.zeros(len(rows))
     cost = PENALTY * np.where(good, len(rows) / max(2 * good.sum(), 1), len(rows) / max(2 * (~good).sum(), 1))
     for _ in range(PASSES):
         for i in order.permutation(len(rows)):
-            gradient = signs[i] * (weights[rows[i]] @ values[i] + bias) - 1
+            found = rows[i]
+            values = scale[found] / sizes[i]
+            gradient = signs[i] * (weights[found] @ values + bias) - 1
             step = np.clip(alpha[i] - gradient / norms[i], 0, cost[i]) - alpha[i]
             if step:
                 alpha[i] += step
-                weights[rows[i]] += step * signs[i] * values[i]
+                weights[found] += step * signs[i] * values
                 bias += step * signs[i]
     return weights, bias
 
@@ -124,7 +155,7 @@ def sigmoid(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return max(float(theta[0]), 1e-3), float(theta[1])
 
 
-def fit(rows: list[np.ndarray], good: np.ndarray, buckets: int = BUCKETS) -> Model:
+def fit(rows: Sequence[np.ndarray], good: np.ndarray, buckets: int = BUCKETS) -> Model:
     """Fit on feature rows and their boolean labels; with one class or none every score is that class's share, or 0.5."""
     zero = np.zeros(buckets, np.float32)
     if not len(rows) or good.all() or not good.any():
@@ -132,7 +163,7 @@ def fit(rows: list[np.ndarray], good: np.ndarray, buckets: int = BUCKETS) -> Mod
         return Model(zero, zero, 0.0, 1.0, float(np.log(share / (1 - share))))
 
     def trained(part: np.ndarray) -> Model:
-        own, labels = [rows[i] for i in part], good[part]
+        own, labels = rows.part(part) if isinstance(rows, PackedRows) else [rows[i] for i in part], good[part]
         scale = log_ratios(own, labels, buckets)
         weights, bias = hinge_weights(own, scale, labels)
         return Model((weights * scale).astype(np.float32), (scale**2).astype(np.float32), bias, 1.0, 0.0)
@@ -161,15 +192,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            rows = [features(t.as_py()).tobytes() for t in batch.column(0)]
+            rows = [packed(features(t.as_py())) for t in batch.column(0)]
             yield pa.record_batch([batch.column(1), batch.column(2), pa.array(rows, pa.binary())], ["quality", "doc_id", "found"])
 
     texts = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     ones = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     known = ones.join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int"), F.col("doc_id").cast("long"))
-    rows = known.mapInArrow(found, "quality int, doc_id long, found binary").toPandas()  # at most ``sample`` documents
+    rows = known.mapInArrow(found, "quality int, doc_id long, found binary").toPandas()  # at most ``sample`` rows of ``BUCKETS`` bits
     rows = rows.sort_values(["doc_id", "found"])
-    return fit([np.frombuffer(f, np.int32) for f in rows["found"]], rows["quality"].to_numpy() == 1)
+    return fit(PackedRows(rows["found"].tolist()), rows["quality"].to_numpy() == 1)
 
 
 def held_out(doc_id: Column) -> Column:
