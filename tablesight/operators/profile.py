@@ -484,10 +484,13 @@ def drift(df: DataFrame, run_id: str | Column, order_by: str, columns: list[str]
     )
 
 
-def _bin(value: Column, points: list) -> Column:
-    """How many of the cut points lie below ``value``."""
-    above = F.filter(F.array(*[F.lit(float(p)) for p in points]), lambda p: value > p)
-    return F.size(above).cast("long") if points else F.lit(0).cast("long")
+def _bin(value: Column, points: Sequence[float], first: int = 0) -> Column:
+    """How many of the ascending cut points lie below ``value``, by halving; null counts as below all."""
+    if not points:
+        return F.lit(first).cast("long")
+    half = len(points) // 2
+    above = _bin(value, points[half + 1 :], first + half + 1)
+    return F.when(value > F.lit(float(points[half])), above).otherwise(_bin(value, points[:half], first))
 
 
 DRIFT = "run_id string, time_column string, column string, method string, drift_distance double, drift_detected boolean"
@@ -509,18 +512,21 @@ def all_drift(df: DataFrame, run_id: str, times: Sequence[str], levels: Sequence
     micros = {t: F.unix_micros(F.col(f"`{t}`").cast("timestamp")) for t in times}
     number = {c: cells.as_double(F.col(f"`{c}`").cast("string")) for c in numbers}
     ranks = F.array(*[F.lit((i + 1) / (bins + 1)) for i in range(bins)])
-    one = df.agg(*[((F.min(m) + F.max(m)) / 2).alias(f"m_{i}") for i, m in enumerate(micros.values())],
-                 *[F.percentile_approx(n, ranks, F.lit(10_000)).alias(f"q_{j}") for j, n in enumerate(number.values())]).first()
-    late = [F.when(m.isNotNull(), m > F.lit(one[f"m_{i}"])).alias(f"late_{i}") for i, m in enumerate(micros.values())]
+    # a text is read as a number once per row, and not once per cut point
+    parsed = df.select(*[m.alias(f"at_{i}") for i, m in enumerate(micros.values())], *[n.alias(f"number_{j}") for j, n in enumerate(number.values())],
+                       *[F.col(f"`{c}`").alias(f"level_{j}") for j, c in enumerate(levels)])
+    one = parsed.agg(*[((F.min(f"at_{i}") + F.max(f"at_{i}")) / 2).alias(f"m_{i}") for i in range(len(times))],
+                     *[F.percentile_approx(f"number_{j}", ranks, F.lit(10_000)).alias(f"q_{j}") for j in range(len(numbers))]).first()
+    late = [F.when(F.col(f"at_{i}").isNotNull(), F.col(f"at_{i}") > F.lit(one[f"m_{i}"])).alias(f"late_{i}") for i in range(len(times))]
     entries = []
-    for c in levels:
-        both = F.col(f"`{c}`").isNull(), F.col(f"`{c}`")
+    for j, c in enumerate(levels):
+        both = F.col(f"level_{j}").isNull(), F.col(f"level_{j}")
         entries.append(F.struct(F.lit(c).alias("column"), F.xxhash64(*both).alias("a"), F.xxhash64(F.lit("second"), *both).alias("b")))
-    for j, (c, n) in enumerate(number.items()):
-        points = sorted(set(one[f"q_{j}"] or []))
+    for j, c in enumerate(number):
+        n, points = F.col(f"number_{j}"), sorted(set(one[f"q_{j}"] or []))
         place = _bin(n, points)
         entries.append(F.when(n.isNotNull(), F.struct(F.lit(c).alias("column"), place.alias("a"), F.lit(0).cast("long").alias("b"))))
-    rows = df.select(*late, F.inline(F.array_compact(F.array(*entries))))
+    rows = parsed.select(*late, F.inline(F.array_compact(F.array(*entries))))
     counted = rows.groupBy("column", "a", "b").agg(*[
         F.struct(F.count_if(~F.col(f"late_{i}")).alias("e"), F.count_if(F.col(f"late_{i}")).alias("l")).alias(f"of_{i}") for i in range(len(times))])
     halves = counted.select("column", "a", "b", F.inline(F.array(*[
