@@ -36,9 +36,69 @@ def _key_text(keys: Sequence[str]) -> str:
     return ",".join(keys)
 
 
+#: Buckets in which the spread of a column is counted, and the largest share of the rows that one of them may hold.
+BUCKETS, BUCKET_SHARE = 4096, 1 / 256
+#: Groups, over all sets, that one partition is to hold.
+GROUPS_AT_ONCE = 1_000_000
+
+
+def _shared_columns(base: DataFrame, sets: KeySets) -> tuple[dict[str, list[Sequence[str]]], int]:
+    """Columns by which rows can be dealt once for several sets, with these sets, and the number of rows.
+
+    A hot value would put its rows into one task, so only columns that spread evenly over buckets count; one pass
+    that combines before the shuffle tells which.
+    """
+    open_ = [c for c in sorted({k for s in sets for k in s}) if sum(c in s for s in sets) > 1]
+    if not open_ or len({frozenset(s) for s in sets}) < len(sets):  # a set listed twice counts twice
+        return {}, 0
+    bucket = F.array(*[F.struct(F.lit(i).alias("i"), F.pmod(F.xxhash64(F.col(f"`{c}`")), F.lit(BUCKETS)).alias("b")) for i, c in enumerate(open_)])
+    counts = base.select(F.inline(bucket)).groupBy("i", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("i").agg(F.max("n").alias("most"), F.sum("n").alias("n")).collect()
+    even, n_rows = [open_[r["i"]] for r in counts if r["most"] <= BUCKET_SHARE * r["n"]], max((r["n"] for r in counts), default=0)
+    shared, left = {}, list(sets)
+    while even:
+        column = min(even, key=lambda c: (-sum(c in s for s in left), c))
+        held = [s for s in left if column in s]
+        if len(held) < 2:
+            break
+        shared[column], left = held, [s for s in left if column not in s]
+        even.remove(column)
+    return shared, n_rows
+
+
+def _dealt(base: DataFrame, column: str, sets: KeySets, used: Sequence[str], n_rows: int, aggs: list[Column]) -> DataFrame:
+    """Groups of ``sets``, all of which hold ``column``: rows are shuffled once, and every set is grouped where they lie."""
+    kinds = dict(base.dtypes)
+    rest = [k for k in used if k != column and any(k in s for s in sets)]
+    tested = F.array(*[F.struct(F.lit(n).alias("set_no"), *[
+        (F.col(f"`{k}`") if k in s else F.lit(None).cast(kinds[k])).alias(f"of_{i}") for i, k in enumerate(rest)]) for n, s in enumerate(sets)])
+    values = [c for c in base.columns if c not in (column, *rest)]
+    rows = base.repartition(max(1, math.ceil(n_rows * len(sets) / GROUPS_AT_ONCE)), F.col(f"`{column}`"))
+    split = rows.select(F.col(f"`{column}`").alias("dealt_by"), *[F.col(f"`{c}`") for c in values], F.inline(tested))
+    groups = split.groupBy("dealt_by", "set_no", *[f"of_{i}" for i in range(len(rest))]).agg(*aggs)
+    named = groups.withColumn("keys_tested", F.get(F.array(*[F.lit(_key_text(s)) for s in sets]), F.col("set_no"))).drop("set_no")
+    return named.withColumnsRenamed({"dealt_by": column, **{f"of_{i}": k for i, k in enumerate(rest)}})
+
+
 def _grouped(base: DataFrame, sets: KeySets, aggs: list[Column]) -> DataFrame:
-    """Aggregate once per key set in one pass; ``keys_tested`` says which set a row belongs to."""
+    """Groups of every key set; ``keys_tested`` says which set a row belongs to.
+
+    Sets that share an evenly spread column are grouped after one shuffle by it, which moves each row once for
+    all of them; the others are grouping sets of one aggregation, which combines before its shuffle.
+    """
     used = sorted({k for s in sets for k in s})
+    shared, n_rows = _shared_columns(base, sets)
+    parts = [_dealt(base, c, held, used, n_rows, aggs) for c, held in shared.items()]
+    left = [s for s in sets if not any(s in held for held in shared.values())]
+    if left:
+        parts.append(_combined(base, left, sorted({k for s in left for k in s}), aggs))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _combined(base: DataFrame, sets: KeySets, used: Sequence[str], aggs: list[Column]) -> DataFrame:
+    """Groups of every key set in one pass, combined before the shuffle."""
     grouping = base.groupingSets([[F.col(f"`{k}`") for k in s] for s in sets], *[F.col(f"`{k}`") for k in used])
     out = grouping.agg(F.grouping_id(*[F.col(f"`{k}`") for k in used]).alias("set_bits"), *aggs)
     label = F.lit(None).cast("string")
@@ -119,7 +179,7 @@ def worthwhile_sets(columns: Sequence[str], distinct: dict[str, int], n_rows: in
 
 def pair_key_seeds(df: DataFrame, run_id: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Distinct share of the listed column pairs; all rows are counted for every pair."""
-    groups = _grouped(df, pairs, [F.count(F.lit(1)).alias("n")])
+    groups = _grouped(df.select(*[F.col(f"`{c}`") for c in sorted({c for p in pairs for c in p})]), pairs, [F.count(F.lit(1)).alias("n")])
     return groups.groupBy("keys_tested").agg(
         F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"), F.max("n").alias("largest_group")
     ).select(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablesight.operators import profile
+from tablesight.operators import keys, profile, scale
 
 
 def test_bins_count_cut_points_below_without_a_loop_per_point(spark):
@@ -14,3 +14,65 @@ def test_bins_count_cut_points_below_without_a_loop_per_point(spark):
         assert got == {str(v): sum(v > p or v != v for p in part) for v in map(float, got)}
     plan = df.select(profile._bin(F.col("v"), points).alias("b"))._jdf.queryExecution().executedPlan().toString()
     assert "lambda" not in plan
+
+
+def _lines(spark):
+    """Orders of four lines, one order and one part null, one line written twice, and every hundredth line differing."""
+    n = F.col("id")
+    rows = spark.range(0, 8000, 1, 4).select(
+        F.when(n >= 4, F.floor(n / 4)).alias("o"), (n % 4).cast("int").alias("l"), F.when(n != 77, n * 7919 % 3001).alias("p"),
+        F.when(n % 100 == 0, n).otherwise(F.floor(n / 4)).cast("string").alias("v"))
+    return rows.unionByName(rows.where("o = 9 and l = 1"))
+
+
+def test_sets_with_a_shared_column_are_grouped_after_one_shuffle(spark):
+    df, sets = _lines(spark), [["o"], ["o", "l"], ["o", "p", "l"], ["p", "l"]]
+    got = {r.keys_tested: (r.n_rows, r.n_groups, r.non_key_conflict_group_pct) for r in keys.grain_tests(df, "r", sets).collect()}
+    rows = [tuple(r) for r in df.collect()]
+    for s in sets:
+        groups = {}
+        for row in rows:
+            groups.setdefault(tuple(row["olpv".index(k)] for k in s), []).append(row)
+        many = [g for g in groups.values() if len(g) > 1]
+        assert got[",".join(s)] == (len(rows), len(groups), round(100 * sum(len(set(g)) > 1 for g in many) / max(len(many), 1), 6))
+    assert list(keys._shared_columns(df, sets)[0]) == ["o"]
+    plan = keys._grouped(df, sets[:3], [F.count(F.lit(1)).alias("n")])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Expand" not in plan
+
+
+def test_a_hot_column_is_not_dealt_by(spark):
+    df = _lines(spark).withColumn("o", F.when(F.col("o") % 3 == 0, 0).otherwise(F.col("o")))
+    sets = [["o"], ["o", "l"]]
+    assert keys._shared_columns(df, sets) == ({}, 8001)
+    got = {r.keys_tested: r.n_groups for r in keys.grain_tests(df, "r", sets).collect()}
+    assert got == {"o": df.select("o").distinct().count(), "o,l": df.select("o", "l").distinct().count()}
+
+
+def test_stress_and_its_examples_read_the_same_shuffle(spark):
+    df, sets = _lines(spark), [["o"], ["o", "l"]]
+    got = {(r.key, r.attribute): (r.repeated_groups, r.drift_pct) for r in keys.key_stress(df, "r", sets, ["v", "l"]).collect()}
+    assert got == {("o", "v"): (2000, 3.95), ("o", "l"): (2000, 100.0), ("o,l", "v"): (1, 0.0)}
+    found = keys.stress_examples(df, "r", sets, ["v"]).collect()
+    assert [(r.key, r.key_value) for r in sorted(found, key=lambda r: r.key_value)] == [("o", "100"), ("o", "1000"), ("o", "1025")]
+
+
+def test_ladders_are_inferred_from_one_row_per_column_and_text(spark):
+    texts = {"good": ["Low 1", "High 2 ", "High 2"], "one": ["Low 1"], "same_score": ["Low 1", "High 1"], "signed_zero": ["Low 0", "High -0"],
+             "plain": ["1", "2"], "word": ["Low 1", "Never"]}
+    levels = spark.createDataFrame([("r", c, v) for c, vs in texts.items() for v in vs], "run_id string, column string, value string")
+    none = spark.createDataFrame([], "run_id string, column string, family_id string, primary_role string")
+    out = scale.infer_textual(levels, none, none)
+    assert {r.target_id: r.ordered_labels for r in out.collect()} == {"good": ["Low 1", "High 2"]}
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_read_back_from_a_histogram_made_once(spark, monkeypatch):
+    made = []
+    keep = profile.stored
+    monkeypatch.setattr(profile, "stored", lambda df, name="table": made.append(name) or keep(df, name))
+    df = spark.range(200).select(F.concat(F.lit("a long text that ends in its number " * 3), F.col("id") % 50).alias("t"), F.col("id").alias("n"))
+    hist = profile.with_texts(profile.digest_histogram(df, "r"), df, "r", 3, 2)
+    assert made[0] == "narrow-histogram"
+    plain = profile.cell_histogram(df, "r")
+    for got, want in ((profile.top_levels(hist, 3), profile.top_levels(plain, 3)), (profile.column_stats(hist), profile.column_stats(plain))):
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
