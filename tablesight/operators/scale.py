@@ -126,8 +126,11 @@ def infer_textual(levels: DataFrame, members: DataFrame, role_rows: DataFrame) -
     per = text.groupBy("run_id", "column").agg(
         F.array_sort(F.collect_set(F.struct(number.alias("score"), "value"))).alias("steps"),
         F.bool_and(F.col("value").rlike(r"[A-Za-z].*[0-9]+$")).alias("ladder"),
-        F.count_distinct("value").alias("n_labels"), F.count_distinct(number).alias("n_scores"),
-    ).filter(F.col("ladder") & (F.col("n_labels") == F.col("n_scores")) & (F.col("n_labels") > 1))
+    )
+    # the steps hold every label with its number, so neither is counted again; 0 is added to take -0 for 0
+    n_labels = F.size(F.filter("steps", lambda s: s["value"].isNotNull()))
+    n_scores = F.size(F.array_distinct(F.transform(F.filter("steps", lambda s: s["score"].isNotNull()), lambda s: s["score"] + 0.0)))
+    per = per.filter(F.col("ladder") & (n_labels == n_scores) & (n_labels > 1))
     keys = role_rows.filter(F.col("primary_role") == "id_key").select("run_id", "column")
     per = per.join(members.select("run_id", "column"), ["run_id", "column"], "left_anti").join(keys, ["run_id", "column"], "left_anti")
     labels, scores = F.transform("steps", lambda s: s["value"]), F.transform("steps", lambda s: s["score"])
