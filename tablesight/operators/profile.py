@@ -123,10 +123,11 @@ def with_texts(hist: DataFrame, df: DataFrame, run_id: str | Column, k: int = 8,
     """``hist`` of ``digest_histogram``, with the whole texts of all ``top_levels(k)`` and ``samples(n)`` in ``value``.
 
     Levels are ordered by text where counts tie, and heads may tie as well. All that tie at the edge are looked
-    up; while these are many, longer heads are read for them, and only heads move. ``df`` is read once where
-    columns hold long texts and once more per such round. ``whole`` tells texts from heads; no text that is only
+    up; while these are many, longer heads are read for them, and only heads move. ``hist`` is made once; ``df`` is
+    read once where columns hold long texts and once more per such round. ``whole`` tells texts from heads; no text that is only
     a head is among the levels up to ``k``. A null cell and an empty table have nothing to look up.
     """
+    hist = stored(hist, "narrow-histogram")  # heads and digests, read several times
     long = hist.where("digest is not null").select(*KEY).distinct().collect()
     columns = sorted({r["column"] for r in long})
     if not long:
