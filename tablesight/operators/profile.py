@@ -127,11 +127,12 @@ def with_texts(hist: DataFrame, df: DataFrame, run_id: str | Column, k: int = 8,
     read once where columns hold long texts and once more per such round. ``whole`` tells texts from heads; no text that is only
     a head is among the levels up to ``k``. A null cell and an empty table have nothing to look up.
     """
-    hist = stored(hist, "narrow-histogram")  # heads and digests, read several times
-    long = hist.where("digest is not null").select(*KEY).distinct().collect()
+    made = stored(hist, "narrow-histogram")  # heads and digests, read several times
+    long = made.where("digest is not null").select(*KEY).distinct().collect()
     columns = sorted({r["column"] for r in long})
     if not long:
         return hist
+    hist = made
     shown = hist.where(F.col("column").isin(*columns))
     levels, width = shown.where(~_flag(hist, "missing")).select(*DIGEST_KEY, "value", "n"), HEAD
     drawn = samples(shown, n, seed, keep=("digest",)).where("digest is not null").select(*DIGEST_KEY)
