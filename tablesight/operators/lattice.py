@@ -7,12 +7,13 @@ Column sets are searched level by level, and most are ruled out before any pass
 * **witnesses.** Two rows that agree on a set of columns refute every key inside that set, and every
   dependency from columns inside it to one outside. Pairs come from a bounded sample of rows that share a
   value of some column. A sample can only rule out: what survives is checked on all rows;
-* **whole groups of some hashes.** While very many sets are open, one pass looks at those groups of each
-  set whose hash falls in a fraction of the range. Every group is complete, so a repeat there is a fact;
+* **whole groups of some hashes.** While very many sets are open, or there are many rows, passes look at those
+  groups of each set whose hash falls in a fraction of the range. Every group is complete, so a repeat there is a
+  fact, and only sets without one there meet all rows;
 * **repeats found.** A set that fails its check on all rows yields rows of one repeated group, which become
   witnesses against the wider sets still to come.
 
-Groups are known by two independent 64-bit hashes. Null is a value here, as it is in grouping. Only column
+Groups are known by a 64-bit hash and 32 bits of an independent one. Null is a value here, as it is in grouping. Only column
 sets, counts and agreement patterns reach the driver, at most ``PATTERNS`` of the last.
 """
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Copies of a row that one pass makes on average, and column sets that it looks at.
 COPIES, SETS_AT_ONCE = 40, 400
+#: Largest divisors of the hashes that a pass over some of them may use, the first pass first, and rows it is to see at least.
+SHARES, ROWS_SEEN = (64, 8), 50_000
 #: Sampled groups per column, rows per group, and agreement patterns kept.
 GROUPS, ROWS, PATTERNS = 32, 8, 20_000
 
@@ -109,6 +112,18 @@ def sampled_witnesses(df: DataFrame, columns: Sequence[str], levels: dict[str, i
     return known
 
 
+def _shares(n_rows: int) -> list[int]:
+    """Divisors of the hashes for the passes before the one over all rows; none where these would see few rows."""
+    return [s for s in SHARES if s * ROWS_SEEN <= n_rows]
+
+
+def _entry(place: dict[str, int], number: int, columns: Sequence[str], *more: Column) -> Column:
+    """What a row says of its group in a set: probe, the set's number; at and also, the group's hashes; ``more``."""
+    second = F.xxhash64(*[F.col(f"q_{place[c]}") for c in columns])
+    return F.struct(F.lit(number).alias("probe"), F.xxhash64(*[F.col(f"p_{place[c]}") for c in columns]).alias("at"),
+                    F.shiftright(second, 32).cast("int").alias("also"), *more)
+
+
 def _groups(df: DataFrame, sets: Sequence[Sequence[str]], modulus: int, others: Sequence[str] = ()) -> DataFrame:
     """A row per group of each set (probe: its number; at, also: its hashes), with n and whether each of ``others`` varies.
 
@@ -117,10 +132,7 @@ def _groups(df: DataFrame, sets: Sequence[Sequence[str]], modulus: int, others:
     used = sorted({c for s in sets for c in s} | set(others))
     place = {c: i for i, c in enumerate(used)}
     base = df.select(*[_print(c).alias(f"p_{i}") for c, i in place.items()], *[_print(c, "second").alias(f"q_{i}") for c, i in place.items()])
-    entries = F.array(*[
-        F.struct(F.lit(k).alias("probe"), F.xxhash64(*[F.col(f"p_{place[c]}") for c in s]).alias("at"), F.xxhash64(*[F.col(f"q_{place[c]}") for c in s]).alias("also"))
-        for k, s in enumerate(sets)
-    ])
+    entries = F.array(*[_entry(place, k, s) for k, s in enumerate(sets)])
     if modulus > 1:
         entries = F.filter(entries, lambda e: F.pmod(e["at"], F.lit(modulus)) == 0)
     kept = [f"{x}_{place[c]}" for c in others for x in "pq"]
@@ -179,42 +191,70 @@ def minimal_keys(df: DataFrame, columns: Sequence[str], levels: dict[str, int],
             break
         waiting = list(_open_sets(open_, size, levels, n_rows, keys, known))
         thin = True  # passes over some hashes still rule sets out
+        shares = _shares(n_rows)
         while waiting:
             take = waiting[:SETS_AT_ONCE] if thin else waiting[:COPIES]
-            modulus = -(-len(take) // COPIES)
+            modulus = max([-(-len(take) // COPIES), *shares])
             passed, failed = _unique(df, take, modulus)
             if modulus == 1:
                 keys += passed
             if failed:
                 _learn(df, known, take, dict(list(failed.items())[:COPIES]))
             thin = modulus == 1 or len(failed) * 2 >= len(take)
+            if not thin and shares:
+                thin, shares = len(shares) > 1, shares[1:]
+            elif modulus == 1 and len(waiting) > COPIES:
+                shares = _shares(n_rows)
             gone = {take[k] for k in failed} | (set(passed) if modulus == 1 else set())
             waiting = [s for s in waiting if s not in gone and not known.refute_key(known.bits(s))]
     return sorted(keys, key=lambda k: (len(k), k))
 
 
-def _holding(df: DataFrame, claims: dict[tuple[str, ...], list[str]], modulus: int) -> tuple[dict[tuple[str, ...], list[str]], dict[tuple[str, ...], int]]:
-    """Of ``claims`` (left side: dependents) those without a group that varies, and the number of groups looked at."""
+def _holding(df: DataFrame, claims: dict[tuple[str, ...], list[str]], modulus: int) -> dict[tuple[str, ...], list[str]]:
+    """Of ``claims`` (left side: dependents) those without a group that varies."""
     sets, others = list(claims), sorted({y for ys in claims.values() for y in ys})
     groups = _groups(df, sets, modulus, others)
-    rows = groups.groupBy("probe").agg(F.count(F.lit(1)).alias("groups"), *[F.max(f"v_{j}").alias(f"v_{j}") for j in range(len(others))]).collect()
+    rows = groups.groupBy("probe").agg(*[F.max(f"v_{j}").alias(f"v_{j}") for j in range(len(others))]).collect()
     varied = {sets[r["probe"]]: {y for j, y in enumerate(others) if r[f"v_{j}"]} for r in rows}
     left = {x: [y for y in ys if y not in varied.get(x, ())] for x, ys in claims.items()}
-    return {x: ys for x, ys in left.items() if ys}, {sets[r["probe"]]: r["groups"] for r in rows}
+    return {x: ys for x, ys in left.items() if ys}
+
+
+def _counted(df: DataFrame, claims: Sequence[tuple[tuple[str, ...], list[str]]]) -> list[tuple[int, bool]]:
+    """For each of ``claims`` the number of groups of its left side, and whether its dependents, as one value, vary in some."""
+    used = sorted({c for x, ys in claims for c in (*x, *ys)})
+    place = {c: i for i, c in enumerate(used)}
+    base = df.select(*[_print(c).alias(f"p_{i}") for c, i in place.items()], *[_print(c, "second").alias(f"q_{i}") for c, i in place.items()])
+    entries = F.array(*[_entry(place, k, x, F.xxhash64(*[F.col(f"p_{place[y]}") for y in ys]).alias("y")) for k, (x, ys) in enumerate(claims)])
+    groups = base.select(F.inline(entries)).groupBy("probe", "at", "also").agg((F.min("y") != F.max("y")).alias("varies"))
+    rows = {r["probe"]: (r["n"], r["varies"]) for r in groups.groupBy("probe").agg(F.count(F.lit(1)).alias("n"), F.max("varies").alias("varies")).collect()}
+    return [rows[k] for k in range(len(claims))]
+
+
+def _held(df: DataFrame, claims: dict[tuple[str, ...], list[str]]) -> dict[tuple[str, ...], tuple[list[str], int]]:
+    """``claims`` that hold on all rows, with the number of groups. A side's dependents are judged together, and one by one where they vary."""
+    out: dict[tuple[str, ...], tuple[list[str], int]] = {}
+    open_ = list(claims.items())
+    while open_:
+        take, open_ = open_[:COPIES], open_[COPIES:]
+        for (x, ys), (groups, varies) in zip(take, _counted(df, take), strict=True):
+            if not varies:
+                out[x] = ([y for y in claims[x] if y in ys or y in out.get(x, ((),))[0]], groups)
+            elif len(ys) > 1:
+                open_ += [(x, [y]) for y in ys]
+    return out
 
 
-def _verified(df: DataFrame, claims: dict[tuple[str, ...], list[str]]) -> dict[tuple[str, ...], tuple[list[str], int]]:
+def _verified(df: DataFrame, claims: dict[tuple[str, ...], list[str]], n_rows: int) -> dict[tuple[str, ...], tuple[list[str], int]]:
     """``claims`` that hold on all rows, with the number of groups of their left side."""
     out: dict[tuple[str, ...], tuple[list[str], int]] = {}
     open_ = list(claims)
     for a in range(0, len(open_), SETS_AT_ONCE):
         part = {x: claims[x] for x in open_[a : a + SETS_AT_ONCE]}
-        if len(part) > 1:  # first on an eighth of the groups, or fewer if there are many sets
-            part, _ = _holding(df, part, max(8, -(-len(part) // COPIES)))
-        left = list(part)
-        for b in range(0, len(left), COPIES):
-            held, groups = _holding(df, {x: part[x] for x in left[b : b + COPIES]}, 1)
-            out |= {x: (ys, groups[x]) for x, ys in held.items()}
+        for share in _shares(n_rows) or SHARES[-1:]:  # first on some of the groups, fewer if there are many sets
+            if len(part) > 1:
+                part = _holding(df, part, max(share, -(-len(part) // COPIES)))
+        out |= _held(df, part)
     return out
 
 
@@ -247,7 +287,7 @@ def functional_dependencies(df: DataFrame, columns: Sequence[str], levels: dict[
             ys = [c for c in columns if may >> known.columns.index(c) & 1]
             if ys:
                 claims[x] = ys
-        for x, (ys, groups) in _verified(df, claims).items():
+        for x, (ys, groups) in _verified(df, claims, n_rows).items():
             implied[known.bits(x)] = implied.get(known.bits(x), 0) | known.bits(ys)
             found += [(x, y, groups) for y in ys]
     return sorted(found)

@@ -1,8 +1,10 @@
 """What keeps larger tables within time and shuffle: results as before, and the work that no longer grows."""
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
-from tablesight.operators import keys, profile, scale
+from tablesight.operators import keys, lattice, profile, scale
 
 
 def test_bins_count_cut_points_below_without_a_loop_per_point(spark):
@@ -76,3 +78,28 @@ def test_texts_are_read_back_from_a_histogram_made_once(spark, monkeypatch):
     plain = profile.cell_histogram(df, "r")
     for got, want in ((profile.top_levels(hist, 3), profile.top_levels(plain, 3)), (profile.column_stats(hist), profile.column_stats(plain))):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_most_column_sets_never_meet_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "ROWS_SEEN", 50, raising=False)
+    n = F.col("id")
+    df = spark.range(0, 6000, 1, 4).select((n % 60).alias("a"), F.floor(n / 60).alias("b"), (n % 77).alias("c"), (n * 7919 % 83).alias("d"),
+                                           F.when(n % 5 > 0, n * 31 % 89).alias("e"), (n % 97 * n % 91).alias("f"))
+    levels = {c: df.select(c).distinct().count() for c in df.columns}
+    seen, unique = [], lattice._unique
+    monkeypatch.setattr(lattice, "_unique", lambda f, sets, modulus: seen.append((modulus, len(sets))) or unique(f, sets, modulus))
+    monkeypatch.setattr(lattice, "PATTERNS", 1)  # hardly any witness, so that passes have to tell
+    got = lattice.minimal_keys(df, df.columns, levels, 6000, lattice.Witnesses(df.columns), largest=2)
+    assert got == [s for s in combinations(df.columns, 2) if df.select(*s).distinct().count() == 6000]
+    assert ("a", "b") in got and seen[0][0] == 64 and sum(k for m, k in seen if m == 1) <= len(got) + 2
+
+
+def test_dependents_of_a_side_are_judged_together_then_one_by_one(spark, monkeypatch):
+    n = F.col("id")
+    df = spark.range(0, 4000, 1, 4).select((n % 400).alias("x"), (n % 400 % 7).alias("good"), F.when(n % 400 > 3, n % 400 % 9).alias("gap"),
+                                           F.when(n != 3999, n % 400 % 5).alias("one_off"))
+    claims = {("x",): ["good", "gap", "one_off"], ("good", "gap"): ["x"]}
+    asked, counted = [], lattice._counted
+    monkeypatch.setattr(lattice, "_counted", lambda f, c: asked.append([tuple(ys) for _, ys in c]) or counted(f, c))
+    assert lattice._held(df, claims) == {("x",): (["good", "gap"], 400)}
+    assert asked == [[("good", "gap", "one_off"), ("x",)], [("good",), ("gap",), ("one_off",)]]
