@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tablesight import vocab
 from tablesight.operators.contract import row_invariant_errors, summary_counts
+from tablesight.plans.shared import stored
 
 KEY = ["run_id", "column"]
 
@@ -29,9 +30,9 @@ def _typed(field: str, text: Column) -> Column:
     return F.try_variant_get(F.try_parse_json(text), "$", _TYPES.get(field, "string"))
 
 
-def _json(field: str) -> Column:
+def _json(value: Column) -> Column:
     """A contract field as compact JSON text (``null`` when it has no value)."""
-    value = F.to_json(F.struct(F.col(field).alias("v")), {"ignoreNullFields": "false"})
+    value = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
     return F.regexp_extract(value, r'^\{"v":([\s\S]*)\}$', 1)
 
 
@@ -43,7 +44,22 @@ def _patched(contract: DataFrame, patches: DataFrame) -> DataFrame:
 def field_values(contract: DataFrame) -> Column:
     """Map of every patchable field to its JSON text."""
     have = [f for f in vocab.PATCHABLE_FIELDS if f in contract.columns]
-    return F.create_map(*[x for f in have for x in (F.lit(f), _json(f))])
+    return F.create_map(*[x for f in have for x in (F.lit(f), _json(F.col(f)))])
+
+
+def _value_of(contract: DataFrame, field: Column, row: str) -> Column:
+    """JSON text of the one field of ``contract`` that ``field`` names, read from the struct ``row``; one writer per type."""
+    kinds: dict[str, list[str]] = {}
+    for f, kind in contract.dtypes:
+        if f in vocab.PATCHABLE_FIELDS:
+            kinds.setdefault(kind, []).append(f)
+    out = F.lit(None).cast("string")
+    for kind, fields in kinds.items():
+        value = F.lit(None).cast(kind)
+        for f in fields:
+            value = F.when(field == f, F.col(f"{row}.{f}")).otherwise(value)
+        out = F.when(field.isin(*fields), _json(value)).otherwise(out)
+    return out
 
 
 def _canonical(field: Column, text: Column) -> Column:
@@ -134,17 +150,19 @@ def change_log(patches: DataFrame, before: DataFrame, after: DataFrame, stated:
     ``before`` and ``after`` carry ``ordinal``, the 0-based row position in their contract.
     ``stated`` holds the counts the contracts claimed; without it their recomputed counts are used.
     """
-    old = _patched(before, patches).select(*KEY, "ordinal", field_values(before).alias("old"))
-    new = after.select(*KEY, field_values(after).alias("new"))
+    fields = lambda c: F.struct(*[f for f in vocab.PATCHABLE_FIELDS if f in c.columns])
+    old = before.select(*KEY, "ordinal", fields(before).alias("old"))
+    new = after.select(*KEY, fields(after).alias("new"))
     rows = patches.join(old, KEY).join(new, KEY).select(
         "run_id", "position", "change_id", "column",
         F.concat(F.lit("/reviewed_contract/column_contracts/"), F.col("ordinal").cast("string"), F.lit("/"), "field").alias("target_path"),
-        F.element_at("old", F.col("field")).alias("before_value"), F.element_at("new", F.col("field")).alias("after_value"),
+        _value_of(before, F.col("field"), "old").alias("before_value"), _value_of(after, F.col("field"), "new").alias("after_value"),
         F.coalesce("reasoning", F.lit("")).alias("reasoning"), F.coalesce("justification", F.lit("")).alias("justification"),
         F.col("confidence").cast("double").alias("confidence"), F.coalesce("needs_human_review", F.lit(False)).alias("needs_human_review"),
     )
     claimed = stated if stated is not None else summary_counts(before)
-    log = rows.unionByName(summary_corrections(claimed, summary_counts(after)))
+    # numbering reads the log several times, most of them its ids alone
+    log = stored(rows.unionByName(summary_corrections(claimed, summary_counts(after))), "change_log")
     return unique_ids(log).drop("change_id").withColumnRenamed("unique_id", "change_id")
 
 

@@ -4,7 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from tablesight.operators import keys, lattice, profile, scale
+from tablesight.operators import keys, lattice, patch, profile, scale
 
 
 def test_bins_count_cut_points_below_without_a_loop_per_point(spark):
@@ -103,3 +103,18 @@ def test_dependents_of_a_side_are_judged_together_then_one_by_one(spark, monkeyp
     monkeypatch.setattr(lattice, "_counted", lambda f, c: asked.append([tuple(ys) for _, ys in c]) or counted(f, c))
     assert lattice._held(df, claims) == {("x",): (["good", "gap"], 400)}
     assert asked == [[("good", "gap", "one_off"), ("x",)], [("good",), ("gap",), ("one_off",)]]
+
+
+def test_a_log_entry_writes_one_field_as_text_not_all(spark):
+    kinds = "run_id long, column string, ordinal int, canonical_modeling_status string, type_decision_source string, missingness_decision_source string"
+    before = spark.createDataFrame([(1, "a", 0, "unresolved", "a17_baseline", "a17_baseline", "iden\"tifier", 0.25, ["x", "y"], True, None)],
+                                   f"{kinds}, recommended_logical_type string, confidence double, interpretation_hints array<string>, needs_human_review boolean, semantic_meaning string")
+    given = [("recommended_logical_type", '"free_text"', '"iden\\"tifier"'), ("confidence", "0.5", "0.25"), ("interpretation_hints", '["z"]', '["x","y"]'),
+             ("needs_human_review", "false", "true"), ("semantic_meaning", '"m"', "null"), ("type_decision_source", '"other"', None)]
+    patches = spark.createDataFrame([(1, i, "c", "a", f, v, "r", "j", 0.9, False) for i, (f, v, _) in enumerate(given)],
+                                    "run_id long, position long, change_id string, column string, field string, after_value string, reasoning string, justification string, confidence double, needs_human_review boolean")
+    log = patch.change_log(patches, before, patch.apply(before, patches)).orderBy("position").collect()
+    assert [(r.before_value, r.after_value) for r in log] == [(old, new if old else None) for _, new, old in given]
+    assert [r.change_id for r in log] == ["c", *[f"c_{i}" for i in range(1, 6)]]
+    plan = patch.change_log(patches, before, patch.apply(before, patches))._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in plan and "map(" not in plan  # the log is written once; numbering reads it without making values again
