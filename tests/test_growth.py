@@ -4,7 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from tablesight.operators import keys, lattice, patch, profile, scale
+from tablesight.operators import keys, lattice, patch, profile, rules, scale
 
 
 def test_bins_count_cut_points_below_without_a_loop_per_point(spark):
@@ -118,3 +118,21 @@ def test_a_log_entry_writes_one_field_as_text_not_all(spark):
     assert [r.change_id for r in log] == ["c", *[f"c_{i}" for i in range(1, 6)]]
     plan = patch.change_log(patches, before, patch.apply(before, patches))._jdf.queryExecution().optimizedPlan().toString()
     assert "to_json" not in plan and "map(" not in plan  # the log is written once; numbering reads it without making values again
+
+
+def test_rules_of_one_kind_stay_out_of_one_generated_method(spark):
+    row = {"run_id": 1, "position": 3, "table_name": " ", "kind": "cube", "source_basis_kind": "primary_grain", "parent_table_name": None, "repeat_index_name": "", "build_strategy": "direct_select",
+           "confidence": 2.0, "reasoning": "r", "needs_human_review": False, "source_family_id": "f", "included_column_count": 1, "parent_key": ["id"], "grain_columns": [],
+           "excluded_columns": [], "included_columns": [], "included_columns_preview": []}
+    texts = ", ".join(f"{k} {'array<string>' if isinstance(v, list) else 'boolean' if v is False else 'double' if v == 2.0 else 'int' if isinstance(v, int) else 'string'}" for k, v in row.items())
+    df = spark.createDataFrame([tuple(row.values())], texts)
+    errors = rules.layout_table_rules().errors(df)
+    path = "table_suggestions[3]"
+    assert [(r.rule, r.message) for r in errors.orderBy("rule").collect()] == list(enumerate([
+        f"{path}.parent_table_name is required.", f"{path}.table_name must not be blank.", f"{path}.kind is invalid.", f"{path}.grain_columns must not be empty.",
+        f"{path}.confidence must be between 0 and 1.", f"{path}.source_family_id must be omitted or blank for non-family tables."]))
+    parts = errors._jdf.queryExecution().debug().codegenToSeq().iterator()
+    longest = 0
+    while parts.hasNext():
+        longest = max(longest, parts.next()._3().maxMethodCodeSize())
+    assert longest < 8000  # the JVM runs longer methods without compiling them
