@@ -240,9 +240,22 @@ def _none() -> Column:
 
 
 def _kind(v: Column) -> Column:
-    k = F.schema_of_variant(v)
-    return F.when(k.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "NUMBER").when(k.startswith("ARRAY"), "ARRAY").when(
-        k.startswith("OBJECT"), "OBJECT").otherwise(k)
+    """STRING, BOOLEAN, NUMBER, ARRAY, OBJECT, VOID or another type's name; null for null.
+
+    A schema is made of plain values alone, since that of an array or object reads all that it holds. The lambdas name
+    a value once, so that it is read once.
+    """
+    return _once(v, lambda x: F.when(_get(x, "$", "array<variant>").isNotNull(), "ARRAY").when(
+        _get(x, "$", "map<string,variant>").isNotNull(), "OBJECT").otherwise(_once(F.schema_of_variant(x), _named)))
+
+
+def _named(schema: Column) -> Column:
+    return F.when(schema.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "NUMBER").when(schema.startswith("ARRAY"), "ARRAY").when(
+        schema.startswith("OBJECT"), "OBJECT").otherwise(schema)
+
+
+def _once(v: Column, of: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(v), of), F.lit(0))
 
 
 def _get(v: Column, path: str, kind: str) -> Column:
@@ -257,26 +270,33 @@ def _default(kind: str, text: str) -> Column:
     return _none() if text == "[]" else F.lit(text.strip('"'))
 
 
-def _shape(section: Section, path: Column) -> Column:
+def _places(worker: Worker) -> list[str]:
+    """The JSON paths of all fields that any section reads; ``kinds`` of ``items_of`` has their types in this order."""
+    return list(dict.fromkeys(s.at.get(f, f"$.{f}") for s in worker.sections for f in s.fields))
+
+
+def _shape(section: Section, path: Column, places: Sequence[str]) -> Column:
     """Missing fields, wrong JSON types, and list items that are not text."""
-    out = [F.array_compact(F.array(_say(F.col("node_kind") != "OBJECT", path, " must be an object.")))]
+    out, said = [], [_say(F.col("node_kind") != "OBJECT", path, " must be an object.")]
     for f, kind in section.fields.items():
         name = section.at.get(f, f"$.{f}")[2:] if f in section.at else f
         v = _get(F.col("node"), section.at.get(f, f"$.{f}"), "variant")
-        found, word = _kind(v), section.bool_word if kind == "b" else _WORD[kind]
+        found, word = F.get("kinds", F.lit(places.index(section.at.get(f, f"$.{f}")))), section.bool_word if kind == "b" else _WORD[kind]
         if f not in section.optional and f not in section.defaults:
-            out.append(F.array_compact(F.array(_say(found.isNull(), path, f".{name} is required."))))
+            said.append(_say(found.isNull(), path, f".{name} is required."))
         wrong = found.isNotNull() & (found != _KIND[kind])
         if f in section.defaults or f in section.optional:
             wrong = wrong & (found != "VOID")
-        out.append(F.array_compact(F.array(_say(wrong, path, f".{name} must be {word}."))))
+        said.append(_say(wrong, path, f".{name} must be {word}."))
         if kind == "L":
+            out.append(F.array_compact(F.array(*said)))
+            said = []
             items = F.transform(_get(v, "$", "array<variant>"), lambda x, j: F.struct(
                 _kind(x).alias("k"), cells.trimmed(F.try_variant_get(x, "$", "string")).alias("x"), j.cast("string").alias("j")))
             bad = F.filter(F.coalesce(items, F.array()), lambda t: (t["k"] != "STRING") | (t["x"] == ""))
             out.append(F.transform(bad, lambda t: F.concat(path, F.lit(f".{name}["), t["j"], F.when(
                 t["k"] != "STRING", "] must be a string.").otherwise("] must not be blank."))))
-    return F.flatten(F.array(*out))
+    return F.flatten(F.array(*out, *([F.array_compact(F.array(*said))] if said else [])))
 
 
 def _document_level(worker: Worker, doc: Column, raw: Column) -> Column:
@@ -341,7 +361,7 @@ def parsed(docs: DataFrame, field: str) -> DataFrame:
 
 
 def items_of(worker: Worker, docs: DataFrame) -> DataFrame:
-    """Of ``docs`` (of ``parsed``): run_id, section, position, node (the item as a variant) and every field any section of the worker reads."""
+    """Of ``docs`` (of ``parsed``): run_id, section, position, node (the item as a variant) kinds, and every field any section of the worker reads."""
     doc = F.col("doc")
     packs = []
     for i, s in enumerate(worker.sections):
@@ -353,7 +373,9 @@ def items_of(worker: Worker, docs: DataFrame) -> DataFrame:
         live = live.filter(~(_get(doc, "$.status", "string") == "skipped") | _get(doc, "$.status", "string").isNull())
     rows = live.select("run_id", F.explode(F.flatten(F.array(*packs))).alias("p"),
                        *([_get(doc, "$.family_id", "string").alias("root_family_id")] if worker.worker == "family_specialist" else []))
-    rows = rows.select("*", "p.*").drop("p").withColumn("node_kind", _kind(F.col("node")))
+    # each field's type is read once here, as text; the rules of a field name it several times
+    types = F.array(*[F.schema_of_variant(_get(F.col("node"), p, "variant")) for p in _places(worker)])
+    rows = rows.select("*", "p.*").drop("p").withColumns({"node_kind": _kind(F.col("node")), "kinds": F.transform(types, _named)})
     fields: dict[str, tuple[str, str, str | None]] = {}
     for s in worker.sections:
         for f, kind in s.fields.items():
@@ -362,7 +384,7 @@ def items_of(worker: Worker, docs: DataFrame) -> DataFrame:
     for f, (path, kind, default) in fields.items():
         value = _get(F.col("node"), path, kind)
         if default is not None:
-            absent = F.coalesce(_kind(_get(F.col("node"), path, "variant")), F.lit("VOID")) == "VOID"
+            absent = F.coalesce(F.get("kinds", F.lit(_places(worker).index(path))), F.lit("VOID")) == "VOID"
             value = F.when(absent, _default(kind, default)).otherwise(value)
         cols[f] = value
     return rows.withColumns(cols)
@@ -397,7 +419,7 @@ def validate(name: str, docs: DataFrame, expected: DataFrame | None = None, toke
     found = _none()
     for i, s in reversed(list(enumerate(worker.sections))):
         path = F.format_string(f"{s.path}[%d]", "position") if s.many else F.lit(s.path)
-        parts = [_shape(s, path)] if s.shape else []
+        parts = [_shape(s, path, _places(worker))] if s.shape else []
         if s.rules is not None:
             flag = F.col("token_missing_placeholders_detected") if token_flags is not None and name == "canonical_contract" else None
             own = s.rules(flag) if flag is not None else s.rules()
@@ -436,7 +458,7 @@ def defaults_log(worker: Worker, live: DataFrame, items: DataFrame) -> DataFrame
     for i, s in enumerate(worker.sections):
         path = F.format_string(f"{s.path}[%d]", "position") if s.many else F.lit(s.path)
         here = (F.col("section") == i) & (F.col("node_kind") == "OBJECT")
-        per += [F.when(here & absent(_get(F.col("node"), s.at.get(f, f"$.{f}"), "variant")), entry(F.concat(path, F.lit(f".{f}")), v))
+        per += [F.when(here & (F.coalesce(F.get("kinds", F.lit(_places(worker).index(s.at.get(f, f"$.{f}")))), F.lit("VOID")) == "VOID"), entry(F.concat(path, F.lit(f".{f}")), v))
                 for f, v in s.defaults.items()]
     if per:
         rows = items.select("run_id", F.explode(F.array_compact(F.array(*per))).alias("e")).select("run_id", "e.*")

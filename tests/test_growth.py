@@ -4,7 +4,9 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from tablesight.functions import cells
 from tablesight.operators import keys, lattice, patch, profile, rules, scale
+from tablesight.plans import validate
 
 
 def test_bins_count_cut_points_below_without_a_loop_per_point(spark):
@@ -136,3 +138,17 @@ def test_rules_of_one_kind_stay_out_of_one_generated_method(spark):
     while parts.hasNext():
         longest = max(longest, parts.next()._3().maxMethodCodeSize())
     assert longest < 8000  # the JVM runs longer methods without compiling them
+
+
+def test_a_document_is_parsed_once_for_its_fault_and_a_field_typed_once(spark):
+    texts = ['{"a": 1}', ' \n{"a": [1, {"b": 2}]}', "[1]", '"x"', "3", '{"a": 1} x', '{"a": 1}, 2', "", " \t", None, "{", "null", '{"a": 1}\x0b']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "run_id int, raw string")
+    got = [r.e for r in df.select("run_id", cells.json_error(F.col("raw"), "x").alias("e")).orderBy("run_id").collect()]
+    root, bad, empty = "x root must be an object.", "x is not valid JSON", "x is empty."
+    assert got == [None, None, root, root, root, bad, bad, empty, empty, "x must be a string.", bad, root, bad]
+    plan = df.select(cells.json_error(F.col("raw"), "x").alias("e"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parsejson(") + plan.count("parse_json(") <= 1 and "schema" not in plan
+    values = ["1", "1.5", "true", '"s"', "null", "[]", '[{"a": 1}]', "{}", '{"a": [1]}']
+    v = F.try_parse_json("raw")
+    kinds = spark.createDataFrame([(i, t) for i, t in enumerate([*values, "{"])], "i int, raw string").select("i", validate._kind(v).alias("k"))
+    assert [r.k for r in kinds.orderBy("i").collect()] == ["NUMBER", "NUMBER", "BOOLEAN", "STRING", "VOID", "ARRAY", "ARRAY", "OBJECT", "OBJECT", None]
