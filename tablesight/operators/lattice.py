@@ -13,7 +13,8 @@ Column sets are searched level by level, and most are ruled out before any pass
 * **repeats found.** A set that fails its check on all rows yields rows of one repeated group, which become
   witnesses against the wider sets still to come.
 
-Groups are known by a 64-bit hash and 32 bits of an independent one. Null is a value here, as it is in grouping. Only column
+Groups are known by a 64-bit hash and 32 bits of an independent one; on all rows, the dependents of a side
+by one 64-bit hash. Null is a value here, as it is in grouping. Only column
 sets, counts and agreement patterns reach the driver, at most ``PATTERNS`` of the last.
 """
 
