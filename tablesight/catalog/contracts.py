@@ -228,12 +228,16 @@ patches as (
 
 
 def patch_rows(tb):
+    """The patches, each branch of their text a possible row of one reading of the columns, so that these stay where they lie."""
     import re
 
-    text = re.sub(r"^\s*patches as \((.*)\)\s*$", r"\1", PATCHES, flags=re.S).replace("from fleet_columns", "from {fleet_columns}").replace("as varchar)", "as string)")
+    text = re.sub(r"^\s*patches as \((.*)\)\s*$", r"\1", PATCHES, flags=re.S).replace("as varchar)", "as string)")
+    branches = re.findall(r"select run_id, (.*?) from fleet_columns where (.*?)\s*(?=union all|$)", text, flags=re.S)
+    kind = "struct<position: bigint, change_id: string, column: string, field: string, after_value: string>"
+    rows = ", ".join(f"case when {cond} then cast(struct({values}) as {kind}) end" for values, cond in branches)
     # JSON text holds double quotes, so this input skips the identifier-quote translation
-    frame = tb.spark.sql(text, fleet_columns=tb.input("fleet_columns"))
-    return col(frame).withColumns({
+    frame = tb.spark.sql(f"select run_id, inline(array_compact(array({rows}))) from {{fleet_columns}}", fleet_columns=tb.input("fleet_columns"))
+    return frame.withColumns({
         "reasoning": F.lit("r"), "justification": F.lit("j"), "confidence": F.lit(0.9), "needs_human_review": F.lit(False)})
 
 
@@ -275,9 +279,11 @@ good as (select * from chk where known and field in {_STRICT} and not moved)
 
 
 def good_patches(tb):
-    rows, base = patch_rows(tb), cut(small_contract(tb))
+    """Patches that can be applied, the contract, and what keeps frames of runs beside them, dealt by run."""
+    keep = tb.by_run()
+    rows, base = patch_rows(tb), small_contract(tb)
     bad = patch.rejected(rows, base).select("run_id", "position")
-    return cut(rows.join(bad, ["run_id", "position"], "left_anti")), base
+    return keep(rows.join(bad, ["run_id", "position"], "left_anti"), "patches"), base, keep
 
 
 @query("c_patch_reject", f"""
@@ -307,7 +313,7 @@ with {PATCHES}, {SMALL}, {_REJECT}, {_APPLY}
 select run_id, column_name as "column", ordinal, status as canonical_modeling_status, lt as recommended_logical_type, conf as confidence, review as needs_human_review, meaning as semantic_meaning, ih as interpretation_hints from after
 """, ("fleet_columns",))
 def c_patch_apply(tb):
-    rows, base = good_patches(tb)
+    rows, base, _ = good_patches(tb)
     out = patch.apply(base, rows)
     return out.select("run_id", "column", "ordinal", "canonical_modeling_status", "recommended_logical_type", "confidence", "needs_human_review",
                       "semantic_meaning", F.to_json("interpretation_hints").alias("interpretation_hints"))
@@ -345,7 +351,7 @@ from good g join small s on g.run_id = s.run_id and g.column_name = s.column_nam
 union all select run_id, '', '/reviewed_contract/summary/' || key, cast(a as varchar), cast(b as varchar), cast(1.0 as double) from sys where a <> b
 """, ("fleet_columns",))
 def c_change_log(tb):
-    rows, base = good_patches(tb)
+    rows, base, _ = good_patches(tb)
     log = patch.change_log(rows, base, cut(patch.apply(base, rows)))
     return log.select("run_id", "column", "target_path", "before_value", "after_value", "confidence")
 
@@ -376,7 +382,7 @@ select o.run_id, 'Post-review canonical column contract for ' || cast(o.total_so
 from new_c o left join agg on o.run_id = agg.run_id
 """, ("fleet_columns",))
 def c_review_summary(tb):
-    rows, base = good_patches(tb)
+    rows, base, _ = good_patches(tb)
     after = cut(patch.apply(base, rows))
     out = patch.stamped_summary(after, patch.change_log(rows, base, after))
     return out.select("run_id", "overview", "included_column_count", "review_change_count", "review_changed_column_count")
@@ -390,9 +396,9 @@ from (select distinct run_id from small) s join (select run_id, count(*) as n fr
 left join (select run_id, count(*) as n from log group by run_id) l on s.run_id = l.run_id
 """, ("fleet_columns",))
 def c_review_envelope(tb):
-    rows, base = good_patches(tb)
-    after = cut(patch.apply(base, rows))
-    log = cut(patch.change_log(rows, base, after))
+    rows, base, keep = good_patches(tb)
+    after = keep(patch.apply(base, rows), "contract")
+    log = patch.change_log(rows, base, after, keep=keep)
     review = base.select("run_id").distinct().withColumns({"review_overview": F.lit("Reviewed."), "review_principles": F.array(F.lit("evidence first"))})
     doc = patch.envelope(patch.stamped_summary(after, log), log, after, review)
     parsed = F.try_parse_json("canon_review_json")

@@ -9,10 +9,11 @@ on part of the columns and the rest must come from defaults and the baseline.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesight.plans.shared import cut
+from tablesight.plans.shared import cut, dealt
 
 _CENTS = "cast(round(abs(c_acctbal) * 100) as bigint)"
 _UNITS = f"cast(floor({_CENTS} / 100) as bigint)"
@@ -347,6 +348,18 @@ class Tables:
             self._kept[name] = cut(self.sql(INPUTS[name]))
         return self._kept[name]
 
+    def by_run(self) -> Callable[[DataFrame, str], DataFrame]:
+        """From now on ``fleet_columns`` lies dealt by run; returns what keeps frames of that key beside it.
+
+        The lines move once, as they are read. There are as many parts as keep each at some 200,000 lines.
+        """
+        lines = self.table("lineitem")
+        parts = max(self.spark.sparkContext.defaultParallelism, lines.count() // 200_000)
+        keep = lambda df, name: dealt(df, "run_id", parts, name)
+        rows = self.spark.sql(INPUTS["fleet_columns"], lineitem=lines.repartition(parts, "l_orderkey"))
+        self._kept["fleet_columns"] = keep(rows, "fleet_columns")
+        return keep
+
 
 def with_inputs(body: str, *names: str) -> str:
     """Oracle text: the named inputs as CTEs in front of ``body``."""

@@ -7,6 +7,8 @@ JSON text (a patch may set a field to null, so presence and value are kept apart
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,31 +126,35 @@ def unique_ids(rows: DataFrame) -> DataFrame:
     ``a_1``) need the order-dependent rule, and only those are folded, one array per run and root.
     """
     group = ["run_id", "root"]
-    rooted = rows.withColumn("root", F.regexp_replace("change_id", r"(_[0-9]+)+$", ""))
-    mixed = rooted.groupBy(*group).agg((F.min("change_id") != F.max("change_id")).alias("mixed"))
-    marked = rooted.join(mixed, group)
-    place = F.row_number().over(Window.partitionBy("run_id", "change_id").orderBy("position")) - 1
-    plain = marked.filter(~F.col("mixed")).withColumn("place", place).withColumn(
-        "unique_id", F.when(F.col("place") == 0, F.col("change_id")).otherwise(F.concat_ws("_", "change_id", F.col("place").cast("string"))))
-    clash = marked.filter("mixed")
-    ids = clash.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("position", "change_id"))).alias("items"))
+    live = rows.withColumn("root", F.regexp_replace("change_id", r"(_[0-9]+)+$", "")).filter("run_id is not null and root is not null")
+    of_root = Window.partitionBy(*group)
+    mixed = F.min("change_id").over(of_root) != F.max("change_id").over(of_root)
+    place = F.row_number().over(Window.partitionBy(*group, "change_id").orderBy("position")) - 1
+    marked = live.withColumn("mixed", mixed)
+    others = [c for c in rows.columns if c != "run_id"]
+    plain = marked.filter(~F.col("mixed")).withColumn("place", place).select("run_id", *others, F.when(
+        F.col("place") == 0, F.col("change_id")).otherwise(F.concat_ws("_", "change_id", F.col("place").cast("string"))).alias("unique_id"))
+    ids = marked.filter("mixed").groupBy(*group).agg(
+        F.array_sort(F.collect_list(F.struct("position", "change_id"))).alias("items"), F.collect_list(F.struct(*others)).alias("rows"))
     numbered = lambda base, s: F.when(s.startswith(F.concat(base, F.lit("_"))), F.substring(s, F.length(base) + 2, F.length(s)))
     plain_number = lambda n: F.when(n.rlike("^[1-9][0-9]{0,8}$"), n.cast("int"))
     taken = lambda seen, base: F.transform(seen, lambda s: plain_number(numbered(base, s)))
     first = lambda seen, base: F.array_min(F.array_except(F.sequence(F.lit(1), F.size(seen) + 1), taken(seen, base)))
     free = lambda seen, base: F.when(~F.array_contains(seen, base), base).otherwise(F.concat_ws("_", base, first(seen, base).cast("string")))
     seen = F.aggregate("items", F.array().cast("array<string>"), lambda acc, x: F.concat(acc, F.array(free(acc, x["change_id"]))))
-    named = ids.select(*group, F.explode(F.arrays_zip("items", seen.alias("names"))).alias("z")).select(
-        *group, F.col("z.items.position").alias("position"), F.col("z.names").alias("unique_id"))
-    resolved = clash.join(named, [*group, "position"])
-    return plain.drop("place").unionByName(resolved).drop("root", "mixed")
+    # a row takes the names of its position, as many as rows have it
+    found = ids.withColumn("names", seen).select("run_id", F.arrays_zip("items", "names").alias("named"), F.explode("rows").alias("row"))
+    own = F.filter("named", lambda z: z["items"]["position"] == F.col("row.position"))
+    return plain.unionByName(found.select("run_id", "row.*", F.explode(F.transform(own, lambda z: z["names"])).alias("unique_id")))
 
 
-def change_log(patches: DataFrame, before: DataFrame, after: DataFrame, stated: DataFrame | None = None) -> DataFrame:
+def change_log(patches: DataFrame, before: DataFrame, after: DataFrame, stated: DataFrame | None = None,
+               keep: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """One row per applied patch, and one per summary count that had to be corrected.
 
     ``before`` and ``after`` carry ``ordinal``, the 0-based row position in their contract.
     ``stated`` holds the counts the contracts claimed; without it their recomputed counts are used.
+    ``keep`` writes the log once; where the inputs lie dealt by run, it keeps the log so.
     """
     fields = lambda c: F.struct(*[f for f in vocab.PATCHABLE_FIELDS if f in c.columns])
     old = before.select(*KEY, "ordinal", fields(before).alias("old"))
@@ -162,7 +168,7 @@ def change_log(patches: DataFrame, before: DataFrame, after: DataFrame, stated:
     )
     claimed = stated if stated is not None else summary_counts(before)
     # numbering reads the log several times, most of them its ids alone
-    log = stored(rows.unionByName(summary_corrections(claimed, summary_counts(after))), "change_log")
+    log = keep(rows.unionByName(summary_corrections(claimed, summary_counts(after))), "change_log")
     return unique_ids(log).drop("change_id").withColumnRenamed("unique_id", "change_id")
 
 
