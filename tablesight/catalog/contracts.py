@@ -382,9 +382,9 @@ select o.run_id, 'Post-review canonical column contract for ' || cast(o.total_so
 from new_c o left join agg on o.run_id = agg.run_id
 """, ("fleet_columns",))
 def c_review_summary(tb):
-    rows, base, _ = good_patches(tb)
-    after = cut(patch.apply(base, rows))
-    out = patch.stamped_summary(after, patch.change_log(rows, base, after))
+    rows, base, keep = good_patches(tb)
+    after = keep(patch.apply(base, rows), "contract")
+    out = patch.stamped_summary(after, patch.change_log(rows, base, after, keep=keep))
     return out.select("run_id", "overview", "included_column_count", "review_change_count", "review_changed_column_count")
 
 

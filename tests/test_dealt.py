@@ -69,3 +69,7 @@ def moves_nothing(spark, monkeypatch, lines, name):
 
 def test_envelopes_move_the_lines_once(spark, monkeypatch, lines):
     assert moves_nothing(spark, monkeypatch, lines, "c_review_envelope")
+
+
+def test_summaries_of_reviews_move_the_lines_once(spark, monkeypatch, lines):
+    assert moves_nothing(spark, monkeypatch, lines, "c_review_summary")
