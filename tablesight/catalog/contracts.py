@@ -351,8 +351,8 @@ from good g join small s on g.run_id = s.run_id and g.column_name = s.column_nam
 union all select run_id, '', '/reviewed_contract/summary/' || key, cast(a as varchar), cast(b as varchar), cast(1.0 as double) from sys where a <> b
 """, ("fleet_columns",))
 def c_change_log(tb):
-    rows, base, _ = good_patches(tb)
-    log = patch.change_log(rows, base, cut(patch.apply(base, rows)))
+    rows, base, keep = good_patches(tb)
+    log = patch.change_log(rows, base, keep(patch.apply(base, rows), "contract"), keep=keep)
     return log.select("run_id", "column", "target_path", "before_value", "after_value", "confidence")
 
 

@@ -73,3 +73,7 @@ def test_envelopes_move_the_lines_once(spark, monkeypatch, lines):
 
 def test_summaries_of_reviews_move_the_lines_once(spark, monkeypatch, lines):
     assert moves_nothing(spark, monkeypatch, lines, "c_review_summary")
+
+
+def test_change_logs_move_the_lines_once(spark, monkeypatch, lines):
+    assert moves_nothing(spark, monkeypatch, lines, "c_change_log")
