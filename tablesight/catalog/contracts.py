@@ -278,12 +278,16 @@ good as (select * from chk where known and field in {_STRICT} and not moved)
 """
 
 
-def good_patches(tb):
-    """Patches that can be applied, the contract, and what keeps frames of runs beside them, dealt by run."""
-    keep = tb.by_run()
-    rows, base = patch_rows(tb), small_contract(tb)
+def good_patches(rows, base):
     bad = patch.rejected(rows, base).select("run_id", "position")
-    return keep(rows.join(bad, ["run_id", "position"], "left_anti"), "patches"), base, keep
+    return rows.join(bad, ["run_id", "position"], "left_anti")
+
+
+def dealt_patches(tb):
+    """Patches that can be applied and the contract, dealt by run, and what keeps other frames of runs beside them."""
+    keep = tb.by_run()
+    base = keep(small_contract(tb), "base")
+    return keep(good_patches(patch_rows(tb), base), "patches"), base, keep
 
 
 @query("c_patch_reject", f"""
@@ -313,8 +317,8 @@ with {PATCHES}, {SMALL}, {_REJECT}, {_APPLY}
 select run_id, column_name as "column", ordinal, status as canonical_modeling_status, lt as recommended_logical_type, conf as confidence, review as needs_human_review, meaning as semantic_meaning, ih as interpretation_hints from after
 """, ("fleet_columns",))
 def c_patch_apply(tb):
-    rows, base, _ = good_patches(tb)
-    out = patch.apply(base, rows)
+    rows, base = patch_rows(tb), cut(small_contract(tb))
+    out = patch.apply(base, cut(good_patches(rows, base)))
     return out.select("run_id", "column", "ordinal", "canonical_modeling_status", "recommended_logical_type", "confidence", "needs_human_review",
                       "semantic_meaning", F.to_json("interpretation_hints").alias("interpretation_hints"))
 
@@ -351,7 +355,7 @@ from good g join small s on g.run_id = s.run_id and g.column_name = s.column_nam
 union all select run_id, '', '/reviewed_contract/summary/' || key, cast(a as varchar), cast(b as varchar), cast(1.0 as double) from sys where a <> b
 """, ("fleet_columns",))
 def c_change_log(tb):
-    rows, base, keep = good_patches(tb)
+    rows, base, keep = dealt_patches(tb)
     log = patch.change_log(rows, base, keep(patch.apply(base, rows), "contract"), keep=keep)
     return log.select("run_id", "column", "target_path", "before_value", "after_value", "confidence")
 
@@ -382,7 +386,7 @@ select o.run_id, 'Post-review canonical column contract for ' || cast(o.total_so
 from new_c o left join agg on o.run_id = agg.run_id
 """, ("fleet_columns",))
 def c_review_summary(tb):
-    rows, base, keep = good_patches(tb)
+    rows, base, keep = dealt_patches(tb)
     after = keep(patch.apply(base, rows), "contract")
     out = patch.stamped_summary(after, patch.change_log(rows, base, after, keep=keep))
     return out.select("run_id", "overview", "included_column_count", "review_change_count", "review_changed_column_count")
@@ -396,7 +400,7 @@ from (select distinct run_id from small) s join (select run_id, count(*) as n fr
 left join (select run_id, count(*) as n from log group by run_id) l on s.run_id = l.run_id
 """, ("fleet_columns",))
 def c_review_envelope(tb):
-    rows, base, keep = good_patches(tb)
+    rows, base, keep = dealt_patches(tb)
     after = keep(patch.apply(base, rows), "contract")
     log = patch.change_log(rows, base, after, keep=keep)
     review = base.select("run_id").distinct().withColumns({"review_overview": F.lit("Reviewed."), "review_principles": F.array(F.lit("evidence first"))})
